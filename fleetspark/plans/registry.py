@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.functions import text
+from fleetspark.functions import names, text
 from fleetspark.operators import catalog as cat
+from fleetspark.operators import layout, reconcile, settings, status
+from fleetspark.plans import fleet_status as status_plan
 from fleetspark.plans import schema_sync
 from fleetspark.session import tune
 from fleetspark.sources import fleet_tables as fx
+from fleetspark.sources import settings_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +97,341 @@ def pending_statements(spark: SparkSession, sf: str) -> DataFrame:
     )
     pending = cat.pending_statements(statements, fx.statement_ledger(spark, sf), ["host", "part"])
     return pending.select("host", "part", "name", "statement", "attempts")
+
+
+# Topology ---------------------------------------------------------------------
+
+
+def _replicas(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.allocate_replicas(fx.fleet_layout(spark, sf), fx.delete_slots(spark, sf))
+
+
+def _desired(spark: SparkSession, sf: str) -> DataFrame:
+    """Replicas with the spec they should run."""
+    return _replicas(spark, sf).select(
+        "inst",
+        "cluster",
+        "shard",
+        "ordinal",
+        "replica_name",
+        ((F.col("cluster") + F.col("shard") + F.col("ordinal")) % 2).cast("int").alias("image"),
+        F.lit(1).alias("replicas"),
+        F.lit("RollingUpdate").alias("strategy"),
+        F.concat(F.lit("owner-"), "cluster").alias("owner"),
+        F.lit("desired").alias("label"),
+    )
+
+
+@register
+def layout_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.layout_defaults(fx.fleet_layout(spark, sf), fx.installations(spark, sf))
+
+
+@register
+def slot_parse(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = fx.delete_slots(spark, sf).select("slot", names.last_ordinal(F.col("slot")).alias("ordinal"))
+    return parsed.groupBy("ordinal").agg(
+        F.count(F.lit(1)).alias("slots"), F.count_distinct("slot").alias("distinct_slots")
+    )
+
+
+@register
+def allocate_replicas(spark: SparkSession, sf: str) -> DataFrame:
+    return _replicas(spark, sf).drop("installation_name", "cluster_name")
+
+
+@register
+def replica_names(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.replica_names(_replicas(spark, sf), fx.installations(spark, sf))
+
+
+@register
+def replica_macros(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.replica_macros(_replicas(spark, sf))
+
+
+@register
+def topology_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.topology_counts(_replicas(spark, sf))
+
+
+@register
+def routing_topology(spark: SparkSession, sf: str) -> DataFrame:
+    weights = layout.expand_shards(fx.fleet_layout(spark, sf)).select(
+        "shard_name", (F.col("cluster") % 3).cast("int").alias("weight")
+    )
+    return layout.routing_topology(_replicas(spark, sf), weights)
+
+
+@register
+def surplus_replicas(spark: SparkSession, sf: str) -> DataFrame:
+    place = ["inst", "cluster", "shard", "ordinal"]
+    before = layout.previous_layout(fx.fleet_layout(spark, sf))
+    no_slots = spark.createDataFrame([], "cluster bigint, slot string")
+    old = layout.allocate_replicas(before, no_slots).select(*place)
+    return reconcile.surplus_replicas(old, _replicas(spark, sf).select(*place))
+
+
+# Reconciliation ---------------------------------------------------------------
+
+
+@register
+def reconcile_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return reconcile.reconcile_plan(_desired(spark, sf), fx.observed_replicas(spark, sf), fx.fleet_layout(spark, sf))
+
+
+@register
+def action_counts(spark: SparkSession, sf: str) -> DataFrame:
+    phases = status.replica_phase(fx.observed_replicas(spark, sf))
+    return reconcile.action_counts(reconcile_plan(spark, sf), phases, fx.fleet_layout(spark, sf))
+
+
+@register
+def action_events(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat_ws("-", "cluster", F.lit("cluster"), "shard", "ordinal")
+    return reconcile.action_events(reconcile_plan(spark, sf), name, failed=F.expr("cluster % 11 = 0"))
+
+
+@register
+def upsert_plan(spark: SparkSession, sf: str) -> DataFrame:
+    desired = _desired(spark, sf).select(*reconcile.PLACE, "image")
+    current = fx.observed_replicas(spark, sf)
+    first = reconcile.upsert_plan(desired, current, reconcile.PLACE, update=False).withColumn("pass", F.lit(1))
+    second = reconcile.upsert_plan(desired, current, reconcile.PLACE, update=True).withColumn("pass", F.lit(2))
+    return first.unionByName(second)
+
+
+@register
+def merge_update(spark: SparkSession, sf: str) -> DataFrame:
+    return reconcile.merge_update(_desired(spark, sf), fx.observed_replicas(spark, sf))
+
+
+@register
+def cascade_delete_plan(spark: SparkSession, sf: str) -> DataFrame:
+    reclaim = fx.fleet_layout(spark, sf).select("cluster", "reclaim_delete")
+    return reconcile.cascade_delete_plan(fx.deleted_installations(spark, sf), _replicas(spark, sf), reclaim)
+
+
+@register
+def owner_events(spark: SparkSession, sf: str) -> DataFrame:
+    events = fx.change_feed(spark, sf).select(
+        "key", "kind", "event_id", F.when(F.col("kind") != "ADDED", F.col("event_id")).alias("object")
+    )
+    ownership = fx.fleet_layout(spark, sf).select(F.col("cluster").alias("object"), F.col("inst").alias("owner"))
+    return reconcile.map_to_owner(events, ownership)
+
+
+@register
+def unseen_versions(spark: SparkSession, sf: str) -> DataFrame:
+    new = fx.change_feed(spark, sf).select(
+        F.concat(F.lit("ns-"), F.col("key") % 5).alias("namespace"), F.col("key").cast("string").alias("name"), "version"
+    )
+    return reconcile.unseen_versions(new, new.filter("version % 3 = 0"))
+
+
+@register
+def watched_filter(spark: SparkSession, sf: str) -> DataFrame:
+    watched = text.split_namespaces("NATION_1:NATION_3,,NATION_7")
+    return reconcile.watched_namespaces(fx.installations(spark, sf), watched).select("inst", "namespace")
+
+
+@register
+def label_select(spark: SparkSession, sf: str) -> DataFrame:
+    matched = reconcile.match_labels(fx.objects(spark, sf), fx.selectors(spark, sf))
+    return matched.select("selector", "namespace", "kind", "name").orderBy("selector", "name")
+
+
+@register
+def object_counts(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = fx.selectors(spark, sf)
+    kinds = F.array(F.lit("set"), F.lit("service"), F.lit("config"))
+    expected = chosen.select("selector", F.explode(kinds).alias("kind"), (F.col("selector") % 4).alias("expected"))
+    return reconcile.object_counts(reconcile.match_labels(fx.objects(spark, sf), chosen), expected)
+
+
+@register
+def diff_columns(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.claims(spark, sf)
+    old = rows.filter("old_size IS NOT NULL").select("object", "claim", "class", F.col("old_size").alias("size"), "line")
+    moved = F.when(F.expr("line % 3 = 0"), F.lit("class-new")).otherwise(F.col("class"))
+    new = rows.select(
+        "object", "claim", moved.alias("class"), F.col("new_size").alias("size"), (F.col("line") + 1).alias("line")
+    )
+    return reconcile.diff_columns(old, new, ["object", "claim"], ignore=("line",))
+
+
+# Status -----------------------------------------------------------------------
+
+
+@register
+def replica_phase(spark: SparkSession, sf: str) -> DataFrame:
+    phases = status.replica_phase(fx.observed_replicas(spark, sf))
+    return phases.select("cluster", "shard", "ordinal", "phase", "state", "counts_ready")
+
+
+@register
+def shard_phase(spark: SparkSession, sf: str) -> DataFrame:
+    shards = layout.allocate_ordinals(layout.expand_shards(fx.fleet_layout(spark, sf)), fx.delete_slots(spark, sf))
+    return status.shard_phase(shards, fx.observed_replicas(spark, sf))
+
+
+@register
+def health_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return status.health_rollup(fx.fleet_layout(spark, sf), status.replica_phase(fx.observed_replicas(spark, sf)))
+
+
+@register
+def previous_state(spark: SparkSession, sf: str) -> DataFrame:
+    return status.previous_state(fx.observed_replicas(spark, sf))
+
+
+@register
+def installation_state(spark: SparkSession, sf: str) -> DataFrame:
+    desired = _desired(spark, sf)
+    counts = fx.installations(spark, sf).select("inst").join(layout.topology_counts(desired_names(desired)), "inst", "left")
+    phases = status.replica_phase(fx.observed_replicas(spark, sf))
+    return status.installation_state(counts, desired, phases, fx.deleted_installations(spark, sf))
+
+
+def desired_names(desired: DataFrame) -> DataFrame:
+    return desired.withColumn("shard_name", F.col("shard"))
+
+
+@register
+def fleet_status(spark: SparkSession, sf: str) -> DataFrame:
+    return status_plan.fleet_status(
+        fx.installations(spark, sf),
+        fx.fleet_layout(spark, sf),
+        _desired(spark, sf),
+        fx.observed_replicas(spark, sf),
+        fx.deleted_installations(spark, sf),
+    )
+
+
+# Settings ---------------------------------------------------------------------
+
+
+def _joined(df: DataFrame, *columns: str) -> DataFrame:
+    """Settings with the vector as one text column."""
+    return df.select(*columns, "is_scalar", "scalar", F.array_join("vector", ",").alias("vector"))
+
+
+def _effective(spark: SparkSession, sf: str) -> DataFrame:
+    return settings.effective_settings(fx.settings_layers(spark, sf))
+
+
+def _user_settings(spark: SparkSession, sf: str) -> DataFrame:
+    regexp = names.fill_pattern(names.HOST_REGEXP, di=F.col("inst"), namespace=F.col("namespace"))
+    owners = fx.installations(spark, sf).select(F.col("inst").alias("owner"), regexp.alias("host_regexp"))
+    return settings.user_defaults(settings.effective_settings(fx.user_settings(spark, sf)).drop("seq"), owners)
+
+
+@register
+def ingest_settings(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(settings_json.ingest_settings(fx.settings_json(spark, sf), "settings"), "owner", "seq", "path")
+
+
+@register
+def merge_settings(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(settings.merge_fill(fx.settings_layers(spark, sf)), "owner", "path", "seq")
+
+
+@register
+def normalize_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(_effective(spark, sf), "owner", "path", "seq")
+
+
+@register
+def settings_filter(spark: SparkSession, sf: str) -> DataFrame:
+    kept = settings.filter_sections(_effective(spark, sf), None, ["USERS"], include_unspecified=True)
+    return _joined(kept, "owner", "path", "section")
+
+
+def _override_fields() -> dict[str, Column]:
+    return {"scalar": F.col("scalar").isNotNull() & ~F.col("scalar").isin("", "_removed_"), "timeout": F.col("timeout") > 0}
+
+
+def _with_timeout(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.settings_layers(spark, sf).withColumn("timeout", (F.col("num") / 10).cast("int"))
+
+
+@register
+def merge_override(spark: SparkSession, sf: str) -> DataFrame:
+    return settings.merge_override(_with_timeout(spark, sf), ["owner", "path"], _override_fields(), ["layer", "seq"])
+
+
+@register
+def effective_config(spark: SparkSession, sf: str) -> DataFrame:
+    configs = _with_timeout(spark, sf).select(
+        "owner",
+        "seq",
+        "scalar",
+        "timeout",
+        (F.col("layer") > 0).alias("is_custom"),
+        F.when(F.col("layer") > 0, F.concat(F.lit("cr-"), F.col("seq") % 10)).otherwise("").alias("name"),
+    )
+    defaults = {"scalar": "default", "timeout": 300}
+    return settings.fold_configs(configs, ["owner"], _override_fields(), defaults)
+
+
+@register
+def merge_where(spark: SparkSession, sf: str) -> DataFrame:
+    rows = settings.normalize_paths(fx.settings_layers(spark, sf), ["owner", "layer"])
+    base = rows.filter("layer = 0").drop("layer")
+    source = rows.filter("layer = 2").drop("layer")
+    accept = text.path_section(F.col("path")) == "HOST"
+    return _joined(settings.merge_where(base, source, accept), "owner", "path", "seq")
+
+
+def _inherited(spark: SparkSession, sf: str) -> DataFrame:
+    """Layer 0 belongs to the installation, 1 to its first cluster, 2 to that cluster's first shard.
+
+    Every seventh row of layer 2 belongs to the first replica of that shard.
+    """
+    replicas = _replicas(spark, sf)
+    rows = fx.settings_layers(spark, sf).withColumn("kind", F.expr("CASE WHEN seq % 2 = 0 THEN 'files' ELSE 'settings' END"))
+    level = F.expr("CASE WHEN layer < 2 THEN layer WHEN seq % 7 = 0 THEN 3 ELSE 2 END")
+    merged = settings.normalize_paths(rows.withColumn("level", level), ["owner", "level", "kind"])
+    first = fx.fleet_layout(spark, sf).groupBy("inst").agg(F.min("cluster").alias("cluster"))
+    placed = merged.withColumnRenamed("owner", "inst")
+    at_first = placed.join(first, "inst").withColumn("shard_name", F.concat("cluster", F.lit("-cluster-0")))
+    first_replica = replicas.filter("shard = 0").groupBy("shard_name").agg(F.min_by("replica_name", "ordinal").alias("replica_name"))
+    return settings.inherit_settings(
+        replicas,
+        placed.filter("level = 0"),
+        at_first.filter("level = 1"),
+        at_first.filter("level = 2"),
+        at_first.filter("level = 3").join(first_replica, "shard_name"),
+    )
+
+
+@register
+def inherit_settings(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(_inherited(spark, sf), "replica_name", "kind", "path")
+
+
+@register
+def user_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(_user_settings(spark, sf), "owner", "path")
+
+
+@register
+def section_files(spark: SparkSession, sf: str) -> DataFrame:
+    return settings.section_files(_effective(spark, sf), "COMMON", include_unspecified=True)
+
+
+@register
+def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return settings.fingerprint(_effective(spark, sf))
+
+
+@register
+def bool_settings_tally(spark: SparkSession, sf: str) -> DataFrame:
+    return settings.bool_tally(_effective(spark, sf))
+
+
+@register
+def port_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    owners = fx.installations(spark, sf).select(F.col("inst").alias("owner"))
+    ports = {"tcp_port": "COMMON/f0", "http_port": "COMMON/f1", "interserver_http_port": "HOST/f2"}
+    return settings.port_inventory(owners, _effective(spark, sf), ports)

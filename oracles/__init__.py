@@ -27,9 +27,9 @@ def with_views(sql: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    from oracles import catalog
+    from oracles import catalog, fleet, settings
 
     found: dict[str, str] = {}
-    for module in (catalog,):
+    for module in (catalog, fleet, settings):
         found.update(module.ORACLES)
     return found

@@ -164,3 +164,147 @@ SELECT o_orderkey AS "set", 'data' AS data_claim,
        CASE o_orderkey % 5 WHEN 0 THEN 'archive' WHEN 1 THEN '' ELSE 'log' END AS log_claim
 FROM orders
 """
+VIEWS["fx_shards"] = """
+SELECT inst, cluster, shard::INT AS shard, cluster || '-cluster-' || shard AS shard_name,
+       greatest(replicas_raw, 1) AS replicas, internal_raw
+FROM (SELECT *, unnest(range(greatest(shards_raw, 1))) AS shard FROM fx_layout)
+"""
+VIEWS["fx_parsed_slots"] = """
+SELECT slot, CASE WHEN len(string_split(slot, '-')) >= 3
+                  THEN coalesce(try_cast(string_split(slot, '-')[-1] AS INT), 0) ELSE -1 END::INT AS ordinal,
+       regexp_replace(slot, '-[^-]*$', '') AS shard_name
+FROM fx_slots
+"""
+VIEWS["fx_allocated"] = """
+SELECT s.inst, s.cluster, s.shard, s.shard_name, s.replicas, s.internal_raw,
+       CASE WHEN len(coalesce(d.slots, [])) < s.replicas THEN coalesce(d.slots, []) ELSE [] END AS slots,
+       (s.replicas - CASE WHEN len(coalesce(d.slots, [])) < s.replicas THEN len(coalesce(d.slots, [])) ELSE 0 END)::INT
+         AS replica_count
+FROM fx_shards s
+LEFT JOIN (SELECT shard_name, list(DISTINCT ordinal) AS slots FROM fx_parsed_slots GROUP BY shard_name) d USING (shard_name)
+"""
+VIEWS["fx_replicas"] = """
+SELECT inst, cluster, shard, shard_name, replica_count,
+       CASE WHEN lower(internal_raw) IN ('1', 'true', 'yes', 'on', 'enabled') THEN 'true'
+            WHEN lower(internal_raw) IN ('0', 'false', 'no', 'off', 'disabled') THEN 'false'
+            WHEN replica_count > 1 THEN 'true' ELSE 'false' END AS internal_replication,
+       ordinal::INT AS ordinal, shard_name || '-' || ordinal AS replica_name
+FROM (SELECT *, unnest(list_filter(range(replicas), lambda x: NOT list_contains(slots, x))[1:replica_count]) AS ordinal
+      FROM fx_allocated)
+"""
+VIEWS["fx_desired"] = """
+SELECT inst, cluster, shard, ordinal, replica_name, ((cluster + shard + ordinal) % 2)::INT AS image,
+       1 AS replicas, 'RollingUpdate' AS strategy, 'owner-' || cluster AS owner, 'desired' AS label
+FROM fx_replicas
+"""
+VIEWS["fx_phases"] = """
+SELECT *, CASE WHEN ready <> 1 THEN 'Scale' WHEN generation = observed_generation AND prev_state = 'NotSync' THEN 'Ready'
+               ELSE 'Normal' END AS phase,
+       CASE WHEN ready <> 1 THEN 'NotSync' ELSE prev_state END AS state
+FROM fx_observed
+"""
+VIEWS["fx_plan"] = """
+SELECT l.inst, j.cluster, j.shard, j.ordinal, j.action, j.snapshot FROM (
+  SELECT coalesce(d.cluster, o.cluster) AS cluster, coalesce(d.shard, o.shard) AS shard,
+         coalesce(d.ordinal, o.ordinal) AS ordinal,
+         CASE WHEN o.cluster IS NULL THEN 'Add' WHEN d.cluster IS NULL THEN 'Delete'
+              WHEN d.image IS DISTINCT FROM o.applied_image THEN 'Update' ELSE 'None' END AS action,
+         CASE WHEN d.cluster IS NOT NULL
+              THEN '{"image":' || d.image || ',"replicas":1,"strategy":"RollingUpdate"}' END AS snapshot
+  FROM fx_desired d FULL JOIN fx_observed o
+    ON d.cluster = o.cluster AND d.shard = o.shard AND d.ordinal = o.ordinal
+) j JOIN fx_layout l ON l.cluster = j.cluster WHERE NOT l.paused
+"""
+VIEWS["fx_matched"] = """
+SELECT s.selector, o.namespace, o.kind, o.name FROM fx_objects o JOIN fx_selectors s
+  ON o.namespace = s.namespace AND o.l_instance = s.m_instance AND (s.m_priority IS NULL OR s.m_priority = o.l_priority)
+"""
+_VALUE = "{'seq': seq, 'is_scalar': is_scalar, 'scalar': scalar, 'vector': vector}"
+_NORMAL = "trim(regexp_replace(path, '//+', '/', 'g'), '/')"
+
+
+def _merged(source: str) -> str:
+    return f"""
+SELECT owner, path, v.seq AS seq, v.is_scalar AS is_scalar, v.scalar AS scalar, v.vector AS vector
+FROM (SELECT owner, path, arg_min({_VALUE}, (layer, seq)) AS v FROM {source} GROUP BY owner, path)
+"""
+
+
+def normalized(source: str, keys: str = "owner") -> str:
+    return f"""
+SELECT {keys}, path, v.seq AS seq, v.is_scalar AS is_scalar, v.scalar AS scalar, v.vector AS vector
+FROM (SELECT {keys}, {_NORMAL} AS path, arg_max({_VALUE}, (path <> {_NORMAL}, seq)) AS v
+      FROM {source} GROUP BY ALL)
+"""
+
+
+VIEWS["fx_merged"] = _merged("fx_settings")
+VIEWS["fx_effective"] = normalized("fx_merged")
+VIEWS["fx_user_merged"] = _merged("fx_user_settings")
+VIEWS["fx_user_effective"] = normalized("fx_user_merged")
+VIEWS["fx_sections"] = """
+SELECT *, CASE WHEN NOT contains(path, '/') THEN 'none'
+               WHEN lower(string_split(path, '/')[1]) IN ('common', 'config.d') THEN 'COMMON'
+               WHEN lower(string_split(path, '/')[1]) IN ('users', 'users.d') THEN 'USERS'
+               WHEN lower(string_split(path, '/')[1]) IN ('host', 'conf.d') THEN 'HOST' ELSE 'unknown' END AS section
+FROM fx_effective
+"""
+VIEWS["fx_user_final"] = """
+WITH users AS (
+  SELECT DISTINCT owner, string_split(path, '/')[1] AS "user" FROM fx_user_effective WHERE contains(path, '/')
+  UNION SELECT inst, 'default' FROM fx_installations
+),
+facts AS (
+  SELECT u.owner, u."user", p.owner IS NOT NULL AS has_pass, d.owner IS NOT NULL AS has_digest,
+         CASE WHEN p.owner IS NOT NULL THEN CASE WHEN p.is_scalar THEN p.scalar ELSE array_to_string(p.vector, ',') END
+              WHEN u."user" <> 'default' THEN 'default' ELSE '' END AS pass
+  FROM users u
+  LEFT JOIN fx_user_effective p ON p.owner = u.owner AND p.path = u."user" || '/password'
+  LEFT JOIN fx_user_effective d ON d.owner = u.owner AND d.path = u."user" || '/password_sha256_hex'
+),
+missing AS (
+  SELECT u.owner, u."user" || '/' || k.key AS path, k.key FROM users u, (VALUES ('profile'), ('quota'), ('networks/ip'), ('networks/host_regexp')) k(key)
+  WHERE NOT EXISTS (SELECT 1 FROM fx_user_effective s WHERE s.owner = u.owner AND s.path = u."user" || '/' || k.key)
+)
+SELECT s.owner, s.path, s.is_scalar, s.scalar, s.vector FROM fx_user_effective s
+LEFT JOIN facts f ON f.owner = s.owner AND s.path = f."user" || '/password'
+WHERE f.owner IS NULL OR NOT (f.has_digest OR f.pass <> '')
+UNION ALL
+SELECT m.owner, m.path, m.key <> 'networks/ip',
+       CASE m.key WHEN 'networks/ip' THEN NULL WHEN 'networks/host_regexp'
+         THEN i.inst || '-[^.]+\\d+-\\d+\\.' || i.namespace || '\\.svc\\.cluster\\.local$' ELSE 'default' END,
+       CASE WHEN m.key = 'networks/ip' THEN ['::/0'] END
+FROM missing m LEFT JOIN fx_installations i ON i.inst = m.owner
+UNION ALL
+SELECT owner, "user" || '/password_sha256_hex', TRUE, sha256(pass), NULL FROM facts WHERE pass <> '' AND NOT has_digest
+UNION ALL
+SELECT owner, 'default/password', TRUE, '_removed_', NULL FROM facts WHERE "user" = 'default' AND (has_digest OR pass <> '')
+"""
+_LEVELS = """
+  SELECT *, CASE WHEN layer < 2 THEN layer WHEN seq % 7 = 0 THEN 3 ELSE 2 END AS level,
+         CASE WHEN seq % 2 = 0 THEN 'files' ELSE 'settings' END AS kind FROM fx_settings
+"""
+VIEWS["fx_levels"] = normalized(f"({_LEVELS})", "owner, level, kind")
+VIEWS["fx_inherited"] = """
+WITH place AS (SELECT inst, min(cluster) AS cluster FROM fx_layout GROUP BY inst),
+ranked AS (
+  SELECT r.replica_name, l.kind, l.path, l.is_scalar, l.scalar, l.vector, 2 AS rank
+  FROM fx_levels l JOIN fx_replicas r ON r.inst = l.owner
+  WHERE l.level = 0 AND l.kind = 'files' AND contains(l.path, '/') AND lower(string_split(l.path, '/')[1]) IN ('host', 'conf.d')
+  UNION ALL
+  SELECT r.replica_name, l.kind, l.path, l.is_scalar, l.scalar, l.vector, 3
+  FROM fx_levels l JOIN place p ON p.inst = l.owner JOIN fx_replicas r ON r.cluster = p.cluster WHERE l.level = 1
+  UNION ALL
+  SELECT r.replica_name, l.kind, l.path, l.is_scalar, l.scalar, l.vector, 1
+  FROM fx_levels l JOIN place p ON p.inst = l.owner JOIN fx_replicas r ON r.cluster = p.cluster AND r.shard = 0
+  WHERE l.level = 2
+  UNION ALL
+  SELECT r.replica_name, l.kind, l.path, l.is_scalar, l.scalar, l.vector, 0
+  FROM fx_levels l JOIN place p ON p.inst = l.owner
+  JOIN (SELECT cluster, arg_min(replica_name, ordinal) AS replica_name FROM fx_replicas WHERE shard = 0 GROUP BY cluster) r
+    ON r.cluster = p.cluster WHERE l.level = 3
+)
+SELECT replica_name, kind, path, v.is_scalar AS is_scalar, v.scalar AS scalar, v.vector AS vector
+FROM (SELECT replica_name, kind, path, arg_min({'is_scalar': is_scalar, 'scalar': scalar, 'vector': vector}, rank) AS v
+      FROM ranked GROUP BY ALL)
+"""
