@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from fleetspark.functions import names, text
 from fleetspark.operators import catalog as cat
-from fleetspark.operators import layout, reconcile, settings, status
+from fleetspark.operators import documents, layout, reconcile, settings, status, templates
+from fleetspark.plans import config_documents, normalize, schema_sync
 from fleetspark.plans import fleet_status as status_plan
-from fleetspark.plans import schema_sync
 from fleetspark.session import tune
 from fleetspark.sources import fleet_tables as fx
 from fleetspark.sources import settings_json
@@ -435,3 +435,89 @@ def port_inventory(spark: SparkSession, sf: str) -> DataFrame:
     owners = fx.installations(spark, sf).select(F.col("inst").alias("owner"))
     ports = {"tcp_port": "COMMON/f0", "http_port": "COMMON/f1", "interserver_http_port": "HOST/f2"}
     return settings.port_inventory(owners, _effective(spark, sf), ports)
+
+
+# Templates --------------------------------------------------------------------
+
+
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
+    all_templates = fx.templates(spark, sf)
+    fetched = templates.registered(all_templates.filter("ord % 2 = 0"))
+    return templates.resolve_templates(fx.template_references(spark, sf), templates.registered(all_templates), fetched)
+
+
+@register
+def resolve_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return _resolved(spark, sf).select("inst", "ord", "name", "source", "template_ord", "template_size")
+
+
+@register
+def merge_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.merge_nodes(fx.nodes(spark, sf))
+
+
+@register
+def merge_templates(spark: SparkSession, sf: str) -> DataFrame:
+    present = {"size": F.col("size") > 0, "storage_class": F.col("storage_class") != ""}
+    return templates.merge_templates(fx.templates(spark, sf).withColumnRenamed("namespace", "owner"), present)
+
+
+@register
+def normalized_replicas(spark: SparkSession, sf: str) -> DataFrame:
+    own = fx.installations(spark, sf).select(
+        "inst",
+        F.expr("CASE WHEN inst % 4 = 0 THEN 'own-data' ELSE '' END").alias("data_claim"),
+        F.expr("CAST(inst % 3 AS INT)").alias("claim_size"),
+    )
+    defaults = normalize.template_defaults(own, _resolved(spark, sf))
+    return normalize.normalized_replicas(_replicas(spark, sf), defaults, _inherited(spark, sf))
+
+
+# Documents --------------------------------------------------------------------
+
+
+@register
+def render_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Each owner's settings and user settings as one document, with nested and hidden nodes."""
+    both = _effective(spark, sf).drop("seq").unionByName(_user_settings(spark, sf))
+    deeper = _effective(spark, sf).filter("seq % 3 = 0").withColumn("path", F.concat("path", F.lit("/x-1"))).drop("seq")
+    return documents.render_document(both.unionByName(deeper), ["owner"])
+
+
+@register
+def routing_document(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.routing_document(routing_topology(spark, sf))
+
+
+@register
+def coordination_document(spark: SparkSession, sf: str) -> DataFrame:
+    options = fx.nodes(spark, sf).groupBy("owner").agg(
+        (F.max("ord") % 3 * 1000).alias("session_timeout_ms"),
+        (F.max("ord") % 2 * 500).alias("operation_timeout_ms"),
+        F.min("host").alias("root"),
+        F.lit("").alias("identity"),
+    )
+    return documents.coordination_document(templates.merge_nodes(fx.nodes(spark, sf)), options)
+
+
+@register
+def config_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _effective(spark, sf).drop("seq")
+    region = fx.table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("content"))
+    extra = region.select(
+        F.when(F.col("r_regionkey") == 0, "f3").otherwise(F.concat(F.lit("r"), "r_regionkey", F.lit(".xml"))).alias("file"),
+        "content",
+    )
+    owners = fx.installations(spark, sf).select(F.col("inst").alias("owner"))
+    return config_documents.config_files(
+        owners=owners,
+        common_settings=rows.filter("path NOT LIKE 'users.d/%'"),
+        files=rows,
+        users=_user_settings(spark, sf),
+        quotas=rows.filter("path LIKE 'misc/%'"),
+        profiles=rows.filter("path NOT LIKE '%/%'"),
+        routing=layout.routing_topology(_replicas(spark, sf)),
+        replicas=_replicas(spark, sf),
+        replica_settings=_inherited(spark, sf),
+        extra={"common": extra, "users": extra.filter("file <> 'r2.xml'"), "host": extra.filter("file = 'f3'")},
+    )

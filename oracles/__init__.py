@@ -27,9 +27,9 @@ def with_views(sql: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    from oracles import catalog, fleet, settings
+    from oracles import catalog, documents, fleet, settings
 
     found: dict[str, str] = {}
-    for module in (catalog, fleet, settings):
+    for module in (catalog, documents, fleet, settings):
         found.update(module.ORACLES)
     return found
