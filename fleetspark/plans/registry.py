@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.functions import names, text
+from fleetspark.functions import hashes, names, text
 from fleetspark.operators import catalog as cat
-from fleetspark.operators import documents, layout, reconcile, settings, status, templates
-from fleetspark.plans import config_documents, normalize, schema_sync
+from fleetspark.operators import documents, layout, reconcile, settings, status, storage, templates
+from fleetspark.plans import admission, config_documents, normalize, schema_sync
 from fleetspark.plans import fleet_status as status_plan
-from fleetspark.session import tune
+from fleetspark.session import materialize, tune
 from fleetspark.sources import fleet_tables as fx
-from fleetspark.sources import settings_json
+from fleetspark.sources import logs, settings_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,12 +384,12 @@ def merge_where(spark: SparkSession, sf: str) -> DataFrame:
     return _joined(settings.merge_where(base, source, accept), "owner", "path", "seq")
 
 
-def _inherited(spark: SparkSession, sf: str) -> DataFrame:
+def _inherited(spark: SparkSession, sf: str, replicas: DataFrame | None = None) -> DataFrame:
     """Layer 0 belongs to the installation, 1 to its first cluster, 2 to that cluster's first shard.
 
     Every seventh row of layer 2 belongs to the first replica of that shard.
     """
-    replicas = _replicas(spark, sf)
+    replicas = materialize(_replicas(spark, sf), "replicas") if replicas is None else replicas
     rows = fx.settings_layers(spark, sf).withColumn("kind", F.expr("CASE WHEN seq % 2 = 0 THEN 'files' ELSE 'settings' END"))
     level = F.expr("CASE WHEN layer < 2 THEN layer WHEN seq % 7 = 0 THEN 3 ELSE 2 END")
     merged = settings.normalize_paths(rows.withColumn("level", level), ["owner", "level", "kind"])
@@ -470,7 +471,8 @@ def normalized_replicas(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("CAST(inst % 3 AS INT)").alias("claim_size"),
     )
     defaults = normalize.template_defaults(own, _resolved(spark, sf))
-    return normalize.normalized_replicas(_replicas(spark, sf), defaults, _inherited(spark, sf))
+    replicas = materialize(_replicas(spark, sf), "replicas")
+    return normalize.normalized_replicas(replicas, defaults, _inherited(spark, sf, replicas))
 
 
 # Documents --------------------------------------------------------------------
@@ -479,9 +481,10 @@ def normalized_replicas(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def render_document(spark: SparkSession, sf: str) -> DataFrame:
     """Each owner's settings and user settings as one document, with nested and hidden nodes."""
-    both = _effective(spark, sf).drop("seq").unionByName(_user_settings(spark, sf))
-    deeper = _effective(spark, sf).filter("seq % 3 = 0").withColumn("path", F.concat("path", F.lit("/x-1"))).drop("seq")
-    return documents.render_document(both.unionByName(deeper), ["owner"])
+    rows = _effective(spark, sf)
+    deeper = rows.filter("seq % 3 = 0").withColumn("path", F.concat("path", F.lit("/x-1")))
+    every = rows.unionByName(deeper).drop("seq").unionByName(_user_settings(spark, sf))
+    return documents.render_document(materialize(every, "settings"), ["owner"])
 
 
 @register
@@ -502,7 +505,8 @@ def coordination_document(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def config_files(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _effective(spark, sf).drop("seq")
+    rows = materialize(_effective(spark, sf).drop("seq"), "settings")
+    replicas = materialize(_replicas(spark, sf), "replicas")
     region = fx.table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("content"))
     extra = region.select(
         F.when(F.col("r_regionkey") == 0, "f3").otherwise(F.concat(F.lit("r"), "r_regionkey", F.lit(".xml"))).alias("file"),
@@ -513,11 +517,105 @@ def config_files(spark: SparkSession, sf: str) -> DataFrame:
         owners=owners,
         common_settings=rows.filter("path NOT LIKE 'users.d/%'"),
         files=rows,
-        users=_user_settings(spark, sf),
+        users=materialize(_user_settings(spark, sf), "users"),
         quotas=rows.filter("path LIKE 'misc/%'"),
         profiles=rows.filter("path NOT LIKE '%/%'"),
-        routing=layout.routing_topology(_replicas(spark, sf)),
-        replicas=_replicas(spark, sf),
-        replica_settings=_inherited(spark, sf),
+        routing=layout.routing_topology(replicas),
+        replicas=replicas,
+        replica_settings=materialize(_inherited(spark, sf, replicas), "replica-settings"),
         extra={"common": extra, "users": extra.filter("file <> 'r2.xml'"), "host": extra.filter("file = 'f3'")},
     )
+
+
+# Storage ----------------------------------------------------------------------
+
+
+def _old_claims(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.claims(spark, sf).filter("old_size IS NOT NULL").withColumn("size", F.col("old_size"))
+
+
+def _new_claims(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.claims(spark, sf).withColumn("size", F.col("new_size"))
+
+
+@register
+def claim_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return storage.claim_validation(_old_claims(spark, sf), _new_claims(spark, sf), fx.storage_classes(spark, sf))
+
+
+@register
+def volume_resize_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return storage.volume_resize_plan(
+        _old_claims(spark, sf), _new_claims(spark, sf), fx.volumes(spark, sf), pods=F.lit(2)
+    )
+
+
+@register
+def orphan_volumes(spark: SparkSession, sf: str) -> DataFrame:
+    return storage.orphan_volumes(fx.volumes(spark, sf), _old_claims(spark, sf), _new_claims(spark, sf), pods=F.lit(2))
+
+
+@register
+def resolve_mounts(spark: SparkSession, sf: str) -> DataFrame:
+    known = ["data", "log", "extra"]
+    return storage.resolve_mounts(fx.mounts(spark, sf), fx.mount_sets(spark, sf), known, "/data", "/log")
+
+
+@register
+def admission_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters come and go by order key; claim templates are those of an installation's orders."""
+    clusters = fx.fleet_layout(spark, sf)
+    new = clusters.filter("cluster % 11 <> 0").select(
+        "inst", "cluster", F.col("shards_raw").alias("shards"), F.col("replicas_raw").alias("replicas")
+    )
+    old = clusters.filter("cluster % 13 <> 0").select(
+        "inst", "cluster", F.col("prev_shards").alias("shards"), F.col("prev_replicas").alias("replicas")
+    )
+    owner = clusters.select("inst", F.col("cluster").alias("object"))
+
+    def of_installation(claims: DataFrame) -> DataFrame:
+        return claims.join(owner, "object").select("inst", "claim", "size", F.col("object").alias("ord"))
+
+    installations = fx.installations(spark, sf).select(
+        "inst", F.lit("data2").alias("data_claim"), F.expr("CASE WHEN inst % 4 = 0 THEN '' ELSE 'log9' END").alias("log_claim")
+    ).withColumn("log_claim", F.expr("CASE WHEN inst % 2 = 0 THEN log_claim ELSE 'log1' END"))
+    return admission.admission_report(
+        installations, old, new, of_installation(_old_claims(spark, sf)), of_installation(_new_claims(spark, sf)), strict=True
+    )
+
+
+# Logs and text ----------------------------------------------------------------
+
+LOG_NOW = datetime.date(2024, 2, 10)
+
+
+@register
+def log_retention(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.log_rows(spark, sf).filter(logs.is_retained(LOG_NOW))
+
+
+@register
+def short_id_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    ids = fx.installations(spark, sf).select("inst_name").distinct().select(
+        hashes.short_id(F.col("inst_name"), 3).alias("short_id")
+    )
+    return ids.groupBy("short_id").agg(F.count(F.lit(1)).alias("names")).filter("names > 1")
+
+
+@register
+def bucket_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.installations(spark, sf).groupBy(hashes.bucket(F.col("inst_name"), 16).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
+@register
+def masked_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    user = F.expr("CASE inst % 3 WHEN 0 THEN '' ELSE concat('u', inst % 10) END")
+    password = F.expr("CASE inst % 3 WHEN 2 THEN concat('p', inst) ELSE '' END")
+    url = text.endpoint(user, password, F.concat(F.lit("host-"), F.col("inst") % 50), F.lit(8123))
+    return (
+        fx.installations(spark, sf)
+        .groupBy("namespace", text.masked_endpoint(url).alias("endpoint"))
+        .agg(F.count(F.lit(1)).alias("installations"), F.max(url).alias("last_url"))
+    )
