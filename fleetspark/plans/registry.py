@@ -7,15 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetspark.functions import hashes, names, text
 from fleetspark.operators import catalog as cat
-from fleetspark.operators import documents, layout, reconcile, settings, status, storage, templates
+from fleetspark.operators import changes, documents, layout, reconcile, settings, status, storage, templates
 from fleetspark.plans import admission, config_documents, normalize, schema_sync
 from fleetspark.plans import fleet_status as status_plan
-from fleetspark.session import materialize, tune
+from fleetspark.session import fresh_dir, materialize, tune
 from fleetspark.sources import fleet_tables as fx
 from fleetspark.sources import logs, settings_json
+from fleetspark.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -619,3 +621,80 @@ def masked_endpoints(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("namespace", text.masked_endpoint(url).alias("endpoint"))
         .agg(F.count(F.lit(1)).alias("installations"), F.max(url).alias("last_url"))
     )
+
+
+# Change feed --------------------------------------------------------------------
+
+
+def _children(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.fleet_layout(spark, sf).filter("cluster % 8 = 0").select(F.col("inst").alias("key"))
+
+
+def _feed(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.change_feed(spark, sf).select("key", "kind", "ts", "event_id", "phase")
+
+
+@register
+def latest_state(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.present(changes.latest_per_key(_feed(spark, sf)))
+
+
+@register
+def phase_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.phase_transitions(_feed(spark, sf))
+
+
+@register
+def backlog(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.backlog(changes.latest_per_key(_feed(spark, sf)))
+
+
+@register
+def tombstones(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.tombstones(changes.latest_per_key(_feed(spark, sf)), _children(spark, sf))
+
+
+# Streams: run over all available files, then the table they keep is read.
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return feeds.read_events(spark, f"{sf}/events.parque[t]", fx.SCHEMAS["events"])
+
+
+def _streamed(spark: SparkSession, name: str, start: Callable[[str, str], StreamingQuery]) -> str:
+    table = fresh_dir(spark, name)
+    start(f"{table}/rows", f"{table}/checkpoint").awaitTermination()
+    return f"{table}/rows"
+
+
+@register
+def stream_latest_state(spark: SparkSession, sf: str) -> DataFrame:
+    stream = fx.change_columns(_event_stream(spark, sf))
+    table = _streamed(spark, "latest", lambda rows, at: feeds.coalesce_changes(stream, rows, at))
+    return changes.present(feeds.read_latest(spark, table))
+
+
+@register
+def stream_phase_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    stream = fx.change_columns(_event_stream(spark, sf))
+    return feeds.read_transitions(spark, _streamed(spark, "phases", lambda rows, at: feeds.track_phase(stream, rows, at)))
+
+
+@register
+def stream_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    stream = fx.change_columns(_event_stream(spark, sf))
+    return feeds.read_backlog(spark, _streamed(spark, "backlog", lambda rows, at: feeds.requeue_backlog(stream, rows, at)))
+
+
+@register
+def stream_tombstones(spark: SparkSession, sf: str) -> DataFrame:
+    stream = fx.change_columns(_event_stream(spark, sf))
+    table = _streamed(spark, "tombstones", lambda rows, at: feeds.soft_delete(stream, rows, at))
+    return feeds.read_tombstones(spark, table, _children(spark, sf))
+
+
+@register
+def stream_log_sink(spark: SparkSession, sf: str) -> DataFrame:
+    stream = fx.log_columns(_event_stream(spark, sf))
+    table = _streamed(spark, "log", lambda rows, at: feeds.log_sink(stream, rows, at, available_now=True))
+    return logs.read_retained(spark, table, LOG_NOW).select("event_id", "event_date", "event_time", "value")

@@ -27,9 +27,9 @@ def with_views(sql: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    from oracles import catalog, documents, fleet, settings, storage
+    from oracles import catalog, changes, documents, fleet, settings, storage
 
     found: dict[str, str] = {}
-    for module in (catalog, documents, fleet, settings, storage):
+    for module in (catalog, changes, documents, fleet, settings, storage):
         found.update(module.ORACLES)
     return found
