@@ -25,11 +25,9 @@ def quantity_bytes(text: Column) -> Column:
     """A quantity in bytes, rounded up; NULL if the text is no quantity."""
     number = F.regexp_extract(text, r"^([0-9]+(?:\.[0-9]+)?)([A-Za-z]*)$", 1)
     suffix = F.regexp_extract(text, r"^([0-9]+(?:\.[0-9]+)?)([A-Za-z]*)$", 2)
-    factor = F.lit(None).cast("bigint")
-    for name, value in FACTORS.items():
-        factor = F.when(suffix == name, F.lit(value).cast("bigint")).otherwise(factor)
-    exact = number.try_cast("decimal(30,6)") * factor
-    return F.when(number != "", F.ceil(exact).cast("bigint"))
+    factors = F.create_map(*[F.lit(part) for name, value in FACTORS.items() for part in (name, value)])
+    # No number gives NULL, and so does an unknown suffix.
+    return F.ceil(number.try_cast("decimal(30,6)") * F.element_at(factors, suffix).cast("bigint")).cast("bigint")
 
 
 def size_change(old: Column, new: Column) -> Column:

@@ -64,11 +64,9 @@ def normalize_path(path: Column) -> Column:
 
 def path_section(path: Column) -> Column:
     """COMMON, USERS or HOST; 'none' below two segments; 'unknown' otherwise."""
+    known = F.create_map(*[F.lit(part) for name, words in SECTION_ALIASES.items() for word in words for part in (word, name)])
     head = F.lower(F.substring_index(path, "/", 1))
-    section = F.when(~path.contains("/"), F.lit("none"))
-    for name, words in SECTION_ALIASES.items():
-        section = section.when(head.isin(words), F.lit(name))
-    return section.otherwise(F.lit("unknown"))
+    return F.when(path.contains("/"), F.coalesce(F.element_at(known, head), F.lit("unknown"))).otherwise("none")
 
 
 def last_segment(path: Column) -> Column:

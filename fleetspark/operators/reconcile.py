@@ -97,15 +97,14 @@ def surplus_replicas(old: DataFrame, new: DataFrame) -> DataFrame:
     ``guarded`` tells whether the shard is still there and has become smaller;
     the plan that follows the reference takes only those rows.
     """
-    key = ["cluster", "shard", "ordinal"]
-    count = lambda df, alias: df.groupBy("cluster", "shard").agg(F.count(F.lit(1)).alias(alias))
-    shrunk = F.coalesce(F.col("_old") > F.col("_new"), F.lit(False))
+    place = ["inst", "cluster", "shard", "ordinal"]
+    side = lambda df, was, now: df.select(*place, F.lit(was).alias("_old"), F.lit(now).alias("_new"))
+    both = side(old, 1, 0).unionByName(side(new, 0, 1)).groupBy(*place).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    shards = both.groupBy("cluster", "shard").agg(F.sum("_old").alias("_olds"), F.sum("_new").alias("_news"))
     return (
-        old.join(new.select(*key), key, "left_anti")
-        .join(count(old, "_old"), ["cluster", "shard"], "left")
-        .join(count(new, "_new"), ["cluster", "shard"], "left")
-        .withColumn("guarded", shrunk)
-        .drop("_old", "_new")
+        both.filter("_old = 1 AND _new = 0")
+        .join(shards, ["cluster", "shard"])
+        .select(*place, F.expr("_news > 0 AND _olds > _news").alias("guarded"))
     )
 
 

@@ -67,14 +67,10 @@ def filter_sections(
 
     Paths without a section follow the flag; an unknown section is dropped.
     """
-    section = text.path_section(F.col("path"))
-    named = F.col("section").isin("COMMON", "USERS", "HOST")
-    if include is not None:
-        named = named & F.col("section").isin(*include)
-    if exclude:
-        named = named & ~F.col("section").isin(*exclude)
-    keep = F.when(F.col("section") == "none", F.lit(include_unspecified)).otherwise(named)
-    return settings.withColumn("section", section).filter(keep)
+    named = text.SECTION_ALIASES if include is None else include
+    kept = [section for section in named if section not in (exclude or ())]
+    kept += ["none"] if include_unspecified else []
+    return settings.withColumn("section", text.path_section(F.col("path"))).filter(F.col("section").isin(kept))
 
 
 def section_files(settings: DataFrame, section: str, include_unspecified: bool, owner: str = "owner") -> DataFrame:

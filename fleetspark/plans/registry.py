@@ -79,7 +79,8 @@ def distributed_ddl(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def schema_sync_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_sync.schema_sync_plan(fx.hosts(spark, sf), fx.catalog_tables(spark, sf))
+    catalog = materialize(fx.catalog_tables(spark, sf), "catalog")
+    return schema_sync.schema_sync_plan(fx.hosts(spark, sf), catalog)
 
 
 @register
@@ -326,7 +327,8 @@ def _effective(spark: SparkSession, sf: str) -> DataFrame:
 def _user_settings(spark: SparkSession, sf: str) -> DataFrame:
     regexp = names.fill_pattern(names.HOST_REGEXP, di=F.col("inst"), namespace=F.col("namespace"))
     owners = fx.installations(spark, sf).select(F.col("inst").alias("owner"), regexp.alias("host_regexp"))
-    return settings.user_defaults(settings.effective_settings(fx.user_settings(spark, sf)).drop("seq"), owners)
+    merged = settings.effective_settings(fx.user_settings(spark, sf)).drop("seq")
+    return settings.user_defaults(materialize(merged, "user-settings"), owners)
 
 
 @register
@@ -519,7 +521,7 @@ def config_files(spark: SparkSession, sf: str) -> DataFrame:
         owners=owners,
         common_settings=rows.filter("path NOT LIKE 'users.d/%'"),
         files=rows,
-        users=materialize(_user_settings(spark, sf), "users"),
+        users=_user_settings(spark, sf),
         quotas=rows.filter("path LIKE 'misc/%'"),
         profiles=rows.filter("path NOT LIKE '%/%'"),
         routing=layout.routing_topology(replicas),

@@ -109,7 +109,7 @@ def observed_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max((F.col("l_linestatus") == "O").cast("int")).alias("ready"),
             F.max("l_linenumber").alias("generation"),
             F.min("l_linenumber").alias("observed_generation"),
-            F.min("l_returnflag").alias("_flag"),
+            F.bool_or(F.col("l_returnflag") == "A").alias("_first_flag"),
             (F.max("l_partkey") % 2).cast("int").alias("image"),
             F.max("l_shipdate").alias("last_seen"),
         )
@@ -127,7 +127,7 @@ def observed_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
         "observed_generation",
         F.lit("r1").alias("current_revision"),
         F.lit("r1").alias("update_revision"),
-        F.when(F.col("_flag") == "A", "Sync").otherwise("NotSync").alias("prev_state"),
+        F.when(F.col("_first_flag"), "Sync").otherwise("NotSync").alias("prev_state"),
         F.lit(False).alias("upgrading"),
         "image",
         "last_seen",

@@ -10,13 +10,10 @@ from fleetspark.functions.text import number_text
 NUMBERS = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
 
-def _scalar(value: Column) -> Column:
+def _scalar(value: Column, kind: Column) -> Column:
     """Text of a scalar; NULL for null, lists and objects."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "string"))
-        .when(kind.rlike(NUMBERS), number_text(F.try_variant_get(value, "$", "double")))
+    return F.when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(value, "$", "string")).when(
+        kind.rlike(NUMBERS), number_text(F.try_variant_get(value, "$", "double"))
     )
 
 
@@ -30,12 +27,15 @@ def ingest_settings(df: DataFrame, json_column: str) -> DataFrame:
     members = df.select(*keys, F.parse_json(json_column).alias("_object")).lateralJoin(
         df.sparkSession.tvf.variant_explode(F.col("_object").outer())
     )
-    items = F.transform(F.try_variant_get("value", "$", "array<variant>"), _scalar)
-    rows = members.select(
+    kind = F.col("_kind")
+    items = F.when(kind.startswith("ARRAY"), F.try_variant_get("value", "$", "array<variant>"))
+    typed = F.transform(items, lambda item: F.struct(item.alias("value"), F.schema_of_variant(item).alias("kind")))
+    texts = F.transform(typed, lambda item: _scalar(item["value"], item["kind"]))
+    rows = members.withColumn("_kind", F.schema_of_variant("value")).select(
         *keys,
         F.col("key").alias("path"),
-        _scalar(F.col("value")).alias("scalar"),
-        F.filter(items, lambda item: item.isNotNull()).alias("vector"),
+        _scalar(F.col("value"), kind).alias("scalar"),
+        F.filter(texts, lambda item: item.isNotNull()).alias("vector"),
     )
     return rows.filter(F.col("scalar").isNotNull() | (F.coalesce(F.size("vector"), F.lit(0)) > 0)).select(
         *keys, "path", F.col("scalar").isNotNull().alias("is_scalar"), "scalar", "vector"

@@ -171,9 +171,10 @@ def test_file_counts_of_a_configured_installation(spark):
 
 
 def test_own_files_replace_generated_ones(spark):
-    cols = "owner int, file string, rank int, pos string, line string"
-    rows = spark.createDataFrame([(1, "g", 0, "0", "a"), (1, "g", 0, "1", "b"), (1, "g", 1, "", "own"), (2, "g", 0, "0", "a")], cols)
-    got = sorted((r.owner, r.line) for r in documents.assemble_files(rows, ["owner"]).collect())
+    lines = spark.createDataFrame([(1, "0", "a"), (1, "1", "b"), (2, "0", "a")], "owner int, pos string, line string")
+    own = spark.createDataFrame([(1, "g", "own")], "owner int, file string, content string")
+    parts = [documents.generated_file(lines, lines, "owner", "g"), documents.whole_files(own, "owner")]
+    got = sorted((r.owner, r.line) for r in documents.assemble_files(parts, "owner").collect())
     assert got == [(1, "own"), (2, "a")]
 
 
