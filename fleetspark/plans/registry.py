@@ -534,29 +534,29 @@ def config_files(spark: SparkSession, sf: str) -> DataFrame:
 # Storage ----------------------------------------------------------------------
 
 
-def _old_claims(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.claims(spark, sf).filter("old_size IS NOT NULL").withColumn("size", F.col("old_size"))
-
-
-def _new_claims(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.claims(spark, sf).withColumn("size", F.col("new_size"))
+def _old_and_new(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    old = claims.filter("old_size IS NOT NULL").withColumn("size", F.col("old_size"))
+    return old, claims.withColumn("size", F.col("new_size"))
 
 
 @register
 def claim_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return storage.claim_validation(_old_claims(spark, sf), _new_claims(spark, sf), fx.storage_classes(spark, sf))
+    old, new = _old_and_new(fx.claims(spark, sf))
+    return storage.claim_validation(old, new, fx.storage_classes(spark, sf))
 
 
 @register
 def volume_resize_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return storage.volume_resize_plan(
-        _old_claims(spark, sf), _new_claims(spark, sf), fx.volumes(spark, sf), pods=F.lit(2)
-    )
+    claims = materialize(fx.claims(spark, sf), "claims")
+    old, new = _old_and_new(claims)
+    return storage.volume_resize_plan(old, new, fx.volumes(claims), pods=F.lit(2))
 
 
 @register
 def orphan_volumes(spark: SparkSession, sf: str) -> DataFrame:
-    return storage.orphan_volumes(fx.volumes(spark, sf), _old_claims(spark, sf), _new_claims(spark, sf), pods=F.lit(2))
+    claims = materialize(fx.claims(spark, sf), "claims")
+    old, new = _old_and_new(claims)
+    return storage.orphan_volumes(fx.volumes(claims), old, new, pods=F.lit(2))
 
 
 @register
@@ -583,8 +583,9 @@ def admission_report(spark: SparkSession, sf: str) -> DataFrame:
     installations = fx.installations(spark, sf).select(
         "inst", F.lit("data2").alias("data_claim"), F.expr("CASE WHEN inst % 4 = 0 THEN '' ELSE 'log9' END").alias("log_claim")
     ).withColumn("log_claim", F.expr("CASE WHEN inst % 2 = 0 THEN log_claim ELSE 'log1' END"))
+    old_claims, new_claims = _old_and_new(materialize(fx.claims(spark, sf), "claims"))
     return admission.admission_report(
-        installations, old, new, of_installation(_old_claims(spark, sf)), of_installation(_new_claims(spark, sf)), strict=True
+        installations, old, new, of_installation(old_claims), of_installation(new_claims), strict=True
     )
 
 

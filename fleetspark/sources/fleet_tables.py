@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspark.session import spread
+
 
 # Named schemas spare the job that would read them from the files.
 SCHEMAS = {
@@ -26,7 +28,8 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in ("orders", "events") else scan
 
 
 def _int(text: str) -> Column:
@@ -99,7 +102,7 @@ def observed_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     generation has no controller owner.
     """
     grouped = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .groupBy(
             F.col("l_orderkey").alias("cluster"),
             _int("l_linenumber % 3").alias("shard"),
@@ -280,7 +283,7 @@ def statement_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per claim of an object: class, old size (absent for new claims), new size."""
     grouped = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .groupBy("l_orderkey", "l_linenumber")
         .agg(
             F.min("l_suppkey").alias("class_key"),
@@ -315,9 +318,9 @@ def storage_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Existing volumes, named claim-set-ordinal; ordinal 2 belongs to a former, larger set."""
-    return claims(spark, sf_dir).filter("old_size IS NOT NULL").select(
+def volumes(claimed: DataFrame) -> DataFrame:
+    """Existing volumes of claims, named claim-set-ordinal; ordinal 2 belongs to a former, larger set."""
+    return claimed.filter("old_size IS NOT NULL").select(
         "object",
         F.concat_ws("-", "claim", F.col("object").cast("string"), F.expr("line % 3").cast("string")).alias("volume"),
         F.col("old_size").alias("size"),

@@ -29,6 +29,7 @@ def ingest_settings(df: DataFrame, json_column: str) -> DataFrame:
     )
     kind = F.col("_kind")
     items = F.when(kind.startswith("ARRAY"), F.try_variant_get("value", "$", "array<variant>"))
+    # A JSON value is costly to look into, so its kind is found once.
     typed = F.transform(items, lambda item: F.struct(item.alias("value"), F.schema_of_variant(item).alias("kind")))
     texts = F.transform(typed, lambda item: _scalar(item["value"], item["kind"]))
     rows = members.withColumn("_kind", F.schema_of_variant("value")).select(
