@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions import names
+from fleetspark.functions.text import split_namespaces
 
 PLACE = ["cluster", "shard", "ordinal"]
 SPEC = ["image", "replicas", "strategy"]
 
+# Fixed value: an operator that runs here watches all namespaces.
+SYSTEM_NAMESPACE = "kube-system"
+
 
 def applied_snapshot(columns: list[str]) -> Column:
     """The applied spec as JSON, columns in a fixed order so equal specs are equal text."""
     return F.to_json(F.struct(*columns))
 
 
+# Fixed value: the annotation that holds the last applied spec.
+SNAPSHOT_ANNOTATION = "last-applied-configuration"
+
+
+def same_annotations(new: Column, old: Column) -> Column:
+    """Equal annotations, leaving the snapshot itself aside; none and an empty map are the same."""
+    entries = lambda m: F.array_sort(F.map_entries(F.map_filter(m, lambda k, _: k != SNAPSHOT_ANNOTATION)))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return entries(F.coalesce(new, none)) == entries(F.coalesce(old, none))
+
+
 def reconcile(desired: DataFrame, observed: DataFrame, keys: list[str], changed: Column, *carry: str) -> DataFrame:
     """Add, Update, Delete or None per key.
 
@@ -37,14 +52,20 @@ def reconcile_plan(desired: DataFrame, observed: DataFrame, clusters: DataFrame)
     """Actions per replica with the new snapshot.
 
     ``desired`` carries the spec columns, ``observed`` the ``last_applied``
-    JSON.  The test is against what was last applied, not against the live
-    object; without a snapshot the replica counts as changed.  ``clusters`` is
-    ``(inst, cluster, paused)``: paused clusters contribute nothing.
+    JSON, and both may carry ``annotations``.  The test is against what was
+    last applied, not against the live object; without a snapshot the replica
+    counts as changed.  ``clusters`` is ``(inst, cluster, paused)``: paused
+    clusters contribute nothing.
     """
     active = clusters.filter("NOT paused").select("inst", "cluster")
-    wanted = desired.select(*PLACE, *SPEC).withColumn("snapshot", applied_snapshot(SPEC)).drop(*SPEC)
-    seen = observed.select(*PLACE, "last_applied")
+    wanted = desired.withColumn("snapshot", applied_snapshot(SPEC))
     changed = ~F.col("snapshot").eqNullSafe(F.col("last_applied"))
+    if "annotations" in desired.columns and "annotations" in observed.columns:
+        wanted = wanted.select(*PLACE, "snapshot", F.col("annotations").alias("_new_annotations"))
+        seen = observed.select(*PLACE, "last_applied", F.col("annotations").alias("_old_annotations"))
+        changed = changed | ~same_annotations(F.col("_new_annotations"), F.col("_old_annotations"))
+    else:
+        wanted, seen = wanted.select(*PLACE, "snapshot"), observed.select(*PLACE, "last_applied")
     plan = reconcile(wanted, seen, PLACE, changed, "snapshot")
     return plan.join(active, "cluster").select("inst", *PLACE, "action", "snapshot")
 
@@ -164,6 +185,22 @@ def watched_namespaces(df: DataFrame, namespaces: list[str] | None) -> DataFrame
     return df.filter(F.col("namespace").isin(namespaces)) if namespaces else df
 
 
+def watch_list(own: str, single: str = "", listed: str = "", configured: list[str] | None = None) -> list[str]:
+    """The namespaces to watch.
+
+    A list from the environment comes before a single name from there, and that
+    before the configuration.  With none, an operator in the system namespace
+    watches all and any other one its own namespace.
+    """
+    if listed:
+        chosen = split_namespaces(listed)
+    elif single:
+        chosen = [single]
+    else:
+        chosen = list(configured or [])
+    return chosen or ([] if own == SYSTEM_NAMESPACE else [own])
+
+
 def feed_namespace(namespaces: list[str] | None) -> str:
     """The namespace a feed is limited to: one listed namespace, otherwise all ('')."""
     return namespaces[0] if namespaces and len(namespaces) == 1 else ""

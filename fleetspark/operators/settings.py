@@ -151,6 +151,12 @@ def fingerprint(settings: DataFrame) -> DataFrame:
     )
 
 
+def sorted_settings(settings: DataFrame) -> DataFrame:
+    """Settings as (path, value text), sorted by path within each owner."""
+    value = text.setting_text(F.col("is_scalar"), F.col("scalar"), F.col("vector"))
+    return settings.select("owner", "path", value.alias("value")).orderBy("owner", "path")
+
+
 def bool_tally(settings: DataFrame, default: bool = False) -> DataFrame:
     value = text.flag_text(F.col("scalar"), default)
     return settings.filter("is_scalar").groupBy("owner", value.alias("value")).agg(F.count(F.lit(1)).alias("settings"))

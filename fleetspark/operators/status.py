@@ -75,6 +75,17 @@ def health_rollup(clusters: DataFrame, phases: DataFrame) -> DataFrame:
     )
 
 
+def status_of(replicas: DataFrame, phases: DataFrame) -> DataFrame:
+    """Status of each replica by its place; NULL where none is recorded."""
+    return replicas.join(phases.select(*PLACE, "phase", "state"), PLACE, "left")
+
+
+def status_by_name(replicas: DataFrame, phases: DataFrame) -> DataFrame:
+    """Status by replica name alone; if clusters share a name, the first cluster counts."""
+    first = phases.groupBy("replica_name").agg(F.min_by(F.struct("phase", "state"), F.struct(*PLACE)).alias("_first"))
+    return replicas.join(first, "replica_name", "left").select(*replicas.columns, "_first.*")
+
+
 def previous_state(observed: DataFrame) -> DataFrame:
     """State of the replica with the ordinal before; none for ordinal 0 and across gaps.
 

@@ -273,6 +273,12 @@ def replica_phase(spark: SparkSession, sf: str) -> DataFrame:
     return phases.select("cluster", "shard", "ordinal", "phase", "state", "counts_ready")
 
 
+@register
+def replica_status(spark: SparkSession, sf: str) -> DataFrame:
+    phases = status.replica_phase(fx.observed_replicas(spark, sf))
+    return status.status_of(_replicas(spark, sf).select("inst", *reconcile.PLACE, "replica_name"), phases)
+
+
 @register
 def shard_phase(spark: SparkSession, sf: str) -> DataFrame:
     shards = layout.allocate_ordinals(layout.expand_shards(fx.fleet_layout(spark, sf)), fx.delete_slots(spark, sf))
@@ -430,6 +436,11 @@ def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return settings.fingerprint(_effective(spark, sf))
 
 
+@register
+def sorted_settings(spark: SparkSession, sf: str) -> DataFrame:
+    return settings.sorted_settings(_effective(spark, sf))
+
+
 @register
 def bool_settings_tally(spark: SparkSession, sf: str) -> DataFrame:
     return settings.bool_tally(_effective(spark, sf))

@@ -2,9 +2,10 @@
 
 Every job keeps its result as one folder per micro-batch below a table folder,
 named by the batch id.  A batch that is run again overwrites its own folder, so
-a restart changes nothing.  A batch writes only the keys it touched; the table
-is the newest row of each key over all batches.  Jobs that need what came
-before read the folders of earlier batches only.
+a restart changes nothing.  A batch writes only the keys it touched; every
+SNAPSHOT_EVERY batches it writes all keys.  The table is the newest row of each
+key since the last such snapshot, so what a batch has to read does not grow
+with the age of the stream.  A batch reads folders of earlier batches only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetspark.operators import changes, reconcile
 from fleetspark.sources import logs
 
+SNAPSHOT_EVERY = 50
+
 BatchStep = Callable[[DataFrame, int], None]
 
 
@@ -35,6 +38,24 @@ def _write_batch(df: DataFrame, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
 
+def _snapshot_before(batch_id: int) -> int:
+    return batch_id - batch_id % SNAPSHOT_EVERY
+
+
+def _keep(df: DataFrame, table: str, batch_id: int, schema: str, newest: Callable[[DataFrame], DataFrame]) -> None:
+    """Write the rows of the touched keys, or of all keys when a snapshot is due."""
+    if batch_id and batch_id % SNAPSHOT_EVERY == 0:
+        earlier = _batches(df.sparkSession, table, schema, batch_id - SNAPSHOT_EVERY, batch_id - 1)
+        df = newest(earlier.unionByName(df.withColumn("batch", F.lit(batch_id).cast("bigint"))))
+    _write_batch(df, table, batch_id)
+
+
+def _table(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """Rows since the last snapshot."""
+    last = spark.read.schema(f"{schema}, batch BIGINT").parquet(table).agg(F.max("batch")).first()[0]
+    return _batches(spark, table, schema, _snapshot_before(last), last)
+
+
 def _batches(spark: SparkSession, table: str, schema: str, first: int, last: int) -> DataFrame:
     """Rows of the batches first..last with their batch number."""
     rows = spark.read.schema(f"{schema}, batch BIGINT").option("ignoreMissingFiles", True)
@@ -60,6 +81,10 @@ def newest_rows(rows: DataFrame) -> DataFrame:
 STATE = "key BIGINT, kind STRING, ts TIMESTAMP_NTZ, event_id BIGINT, phase INT"
 
 
+def _latest(rows: DataFrame) -> DataFrame:
+    return changes.latest_per_key(rows.drop("batch"))
+
+
 def coalesce_changes(
     stream: DataFrame, table: str, checkpoint: str, ownership: DataFrame | None = None, **options
 ) -> StreamingQuery:
@@ -67,19 +92,15 @@ def coalesce_changes(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         events = batch if ownership is None else reconcile.map_to_owner(batch, ownership)
-        _write_batch(changes.latest_per_key(events.select("key", "kind", "ts", "event_id", "phase")), table, batch_id)
+        latest = changes.latest_per_key(events.select("key", "kind", "ts", "event_id", "phase"))
+        _keep(latest, table, batch_id, STATE, _latest)
 
     return run_batches(stream, step, checkpoint, **options)
 
 
 def read_latest(spark: SparkSession, table: str) -> DataFrame:
     """The state table; a late event of an earlier batch's key does not win over a newer one."""
-    return changes.latest_per_key(spark.read.schema(f"{STATE}, batch BIGINT").parquet(table).drop("batch"))
-
-
-def compact_latest(spark: SparkSession, table: str, target: str) -> None:
-    """Rewrite a state table of many batches as one."""
-    read_latest(spark, table).write.parquet(f"{target}/batch=0")
+    return _latest(_table(spark, table, STATE))
 
 
 # Phase tracking -----------------------------------------------------------------
@@ -93,14 +114,15 @@ def track_phase(stream: DataFrame, table: str, checkpoint: str, **options) -> St
     """Transition times that move on a change of phase only, carried over batches."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = newest_rows(_batches(batch.sparkSession, table, TRANSITIONS, 0, batch_id - 1))
-        _write_batch(changes.continue_transitions(before, batch), table, batch_id)
+        first = _snapshot_before(max(batch_id - 1, 0))
+        before = newest_rows(_batches(batch.sparkSession, table, TRANSITIONS, first, batch_id - 1))
+        _keep(changes.continue_transitions(before, batch), table, batch_id, TRANSITIONS, newest_rows)
 
     return run_batches(stream, step, checkpoint, **options)
 
 
 def read_transitions(spark: SparkSession, table: str) -> DataFrame:
-    return newest_rows(spark.read.schema(f"{TRANSITIONS}, batch BIGINT").parquet(table))
+    return newest_rows(_table(spark, table, TRANSITIONS))
 
 
 # Requeue ------------------------------------------------------------------------
@@ -124,9 +146,8 @@ def requeue_backlog(stream: DataFrame, table: str, checkpoint: str, **options) -
 
 def read_backlog(spark: SparkSession, table: str) -> DataFrame:
     """The queue after the last batch."""
-    rows = spark.read.schema(f"{STATE}, batch BIGINT").parquet(table)
-    last = spark.read.schema(f"{STATE}, batch BIGINT").parquet(table).agg(F.max("batch")).scalar()
-    return rows.filter(F.col("batch") == last).drop("batch")
+    last = spark.read.schema(f"{STATE}, batch BIGINT").parquet(table).agg(F.max("batch")).first()[0]
+    return _batches(spark, table, STATE, last, last).drop("batch")
 
 
 # Deletion in two steps ------------------------------------------------------------
@@ -136,7 +157,8 @@ def soft_delete(stream: DataFrame, table: str, checkpoint: str, **options) -> St
     """Deleted keys become tombstones; a key that comes back loses its tombstone."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(changes.latest_per_key(batch.select("key", "kind", "ts", "event_id", "phase")), table, batch_id)
+        latest = changes.latest_per_key(batch.select("key", "kind", "ts", "event_id", "phase"))
+        _keep(latest, table, batch_id, STATE, _latest)
 
     return run_batches(stream, step, checkpoint, **options)
 

@@ -126,6 +126,10 @@ FROM both_sides WHERE old_size IS DISTINCT FROM new_size
 ORACLES["replica_phase"] = """
 SELECT cluster, shard, ordinal, phase, state, phase = 'Normal' AS counts_ready FROM fx_phases
 """
+ORACLES["replica_status"] = """
+SELECT r.inst, r.cluster, r.shard, r.ordinal, r.replica_name, p.phase, p.state
+FROM fx_replicas r LEFT JOIN fx_phases p USING (cluster, shard, ordinal)
+"""
 ORACLES["shard_phase"] = """
 SELECT a.inst, a.cluster, a.shard, a.replica_count, coalesce(o.n, 0)::INT AS observed_count, o.n IS NULL AS is_new,
        CASE WHEN o.n = a.replica_count THEN 'Normal' ELSE 'Scale' END AS phase,

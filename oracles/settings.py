@@ -62,6 +62,9 @@ SELECT owner, n AS settings, sha1(n || ':' || a || ':' || b) AS fingerprint FROM
   SELECT owner, count(*) AS n, bit_xor(('0x' || d[1:15])::BIGINT) AS a, bit_xor(('0x' || d[16:30])::BIGINT) AS b
   FROM pairs GROUP BY owner)
 """
+ORACLES["sorted_settings"] = """
+SELECT owner, path, CASE WHEN is_scalar THEN scalar ELSE array_to_string(vector, ',') END AS value FROM fx_effective
+"""
 ORACLES["bool_settings_tally"] = """
 SELECT owner, CASE WHEN lower(scalar) IN ('1', 'true', 'yes', 'on', 'enabled') THEN 'true' ELSE 'false' END AS value,
        count(*) AS settings

@@ -175,6 +175,39 @@ def test_labels_against_brute_force(spark):
     assert sorted((r.selector, r.object) for r in got.collect()) == expected
 
 
+def test_annotations_are_compared_without_the_snapshot(spark):
+    spec = "cluster bigint, shard int, ordinal int, image int, replicas int, strategy string, annotations map<string,string>"
+    want = [(0, 0, o, 1, 1, "RollingUpdate", a) for o, a in enumerate([{"a": "1", "b": "2"}, {"a": "1"}, {}, None])]
+    same = '{"image":1,"replicas":1,"strategy":"RollingUpdate"}'
+    own = {reconcile.SNAPSHOT_ANNOTATION: same}
+    seen = [(0, 0, o, same, a) for o, a in enumerate([{"b": "2", "a": "1", **own}, {"a": "2"}, {"a": "1", **own}, own])]
+    clusters = spark.createDataFrame([(0, 0, False)], "inst bigint, cluster bigint, paused boolean")
+    plan = reconcile.reconcile_plan(
+        spark.createDataFrame(want, spec),
+        spark.createDataFrame(seen, "cluster bigint, shard int, ordinal int, last_applied string, annotations map<string,string>"),
+        clusters,
+    )
+    assert {r.ordinal: r.action for r in plan.collect()} == {0: "None", 1: "Update", 2: "Update", 3: "None"}
+
+
+def test_status_by_name(spark):
+    phases = spark.createDataFrame(
+        [(2, 0, 0, "r", "Scale", "NotSync"), (1, 0, 0, "r", "Normal", "Sync"), (1, 0, 1, "s", "Ready", "NotSync")],
+        "cluster int, shard int, ordinal int, replica_name string, phase string, state string",
+    )
+    names = spark.createDataFrame([("r",), ("s",), ("t",)], "replica_name string")
+    got = {r.replica_name: (r.phase, r.state) for r in status.status_by_name(names, phases).collect()}
+    assert got == {"r": ("Normal", "Sync"), "s": ("Ready", "NotSync"), "t": (None, None)}
+
+
+def test_watch_list():
+    assert reconcile.watch_list("ns", single="a", listed="b:c,", configured=["d"]) == ["b", "c"]
+    assert reconcile.watch_list("ns", single="a", configured=["d"]) == ["a"]
+    assert reconcile.watch_list("ns", configured=["d"]) == ["d"]
+    assert reconcile.watch_list("ns") == ["ns"]
+    assert reconcile.watch_list("kube-system") == []
+
+
 def test_feed_namespace():
     assert reconcile.feed_namespace(["a"]) == "a"
     assert reconcile.feed_namespace(["a", "b"]) == "" == reconcile.feed_namespace([])

@@ -55,8 +55,10 @@ def batches(spark, tmp_path):
     return rows, stream, str(tmp_path / "table"), str(tmp_path / "checkpoint")
 
 
-def test_phase_stream_over_batches(spark, batches):
+@pytest.mark.parametrize("every", [50, 2, 1])
+def test_phase_stream_over_batches(spark, batches, monkeypatch, every):
     rows, stream, table, checkpoint = batches
+    monkeypatch.setattr(feeds, "SNAPSHOT_EVERY", every)
     feeds.track_phase(stream, table, checkpoint).awaitTermination()
     assert spark.read.parquet(table).select("batch").distinct().count() > 1
     assert as_dict(feeds.read_transitions(spark, table)) == transitions(rows)
@@ -64,16 +66,16 @@ def test_phase_stream_over_batches(spark, batches):
     assert as_dict(feeds.read_transitions(spark, table)) == transitions(rows)
 
 
-def test_latest_stream_over_batches(spark, batches, tmp_path):
+@pytest.mark.parametrize("every", [50, 2, 1])
+def test_latest_stream_over_batches(spark, batches, monkeypatch, every):
     rows, stream, table, checkpoint = batches
+    monkeypatch.setattr(feeds, "SNAPSHOT_EVERY", every)
     feeds.coalesce_changes(stream, table, checkpoint).awaitTermination()
     last = {}
     for row in sorted(rows, key=lambda r: (r[2], r[3])):
         last[row[0]] = row
     got = {r.key: tuple(r) for r in feeds.read_latest(spark, table).collect()}
     assert got == last
-    feeds.compact_latest(spark, table, str(tmp_path / "compact"))
-    assert {r.key: tuple(r) for r in feeds.read_latest(spark, str(tmp_path / "compact")).collect()} == last
 
 
 def test_backlog_stream_over_batches(spark, batches):
