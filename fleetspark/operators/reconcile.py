@@ -245,6 +245,24 @@ def object_counts(matched: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def desired_objects(replicas: DataFrame, service_prefix: str = "svc-") -> DataFrame:
+    """Objects an installation should have: three per replica, two common configurations, one service."""
+    named = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"))
+    replica = F.col("replica_name")
+    per_replica = F.array(
+        named("set", replica),
+        named("service", replica),
+        named("config", names.fill_pattern(names.REPLICA_CONFIG_NAME, di=F.col("inst"), replica=replica)),
+    )
+    common = F.array(
+        named("service", F.concat(F.lit(service_prefix), F.col("inst").cast("string"))),
+        named("config", names.fill_pattern(names.COMMON_CONFIG_NAME, di=F.col("inst"))),
+        named("config", names.fill_pattern(names.COMMON_USERS_NAME, di=F.col("inst"))),
+    )
+    own = replicas.select("inst", F.inline(per_replica))
+    return own.unionByName(replicas.select("inst").distinct().select("inst", F.inline(common)))
+
+
 # Steps of a removal, in order.
 DROP_TABLES, DELETE_SET, DELETE_VOLUMES, DELETE_CONFIG, DELETE_SERVICE, DELETE_COMMON, DELETE_ENTRY = range(1, 8)
 

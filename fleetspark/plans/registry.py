@@ -216,6 +216,11 @@ def cascade_delete_plan(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.cascade_delete_plan(fx.deleted_installations(spark, sf), _replicas(spark, sf), reclaim)
 
 
+@register
+def desired_objects(spark: SparkSession, sf: str) -> DataFrame:
+    return reconcile.desired_objects(_replicas(spark, sf))
+
+
 @register
 def owner_events(spark: SparkSession, sf: str) -> DataFrame:
     events = fx.change_feed(spark, sf).select(
@@ -472,6 +477,21 @@ def merge_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return templates.merge_nodes(fx.nodes(spark, sf))
 
 
+@register
+def inherit_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every installation names two nodes; every fourth cluster has one of its own."""
+    declared = F.array(
+        F.struct(F.lit(0).alias("ord"), F.concat(F.lit("zk-"), "namespace").alias("host"), F.lit(None).cast("int").alias("port")),
+        F.struct(F.lit(1).alias("ord"), F.concat(F.lit("zk-"), F.col("inst") % 3).alias("host"), F.lit(2180).alias("port")),
+    )
+    installation = fx.installations(spark, sf).select("inst", "namespace", F.inline(declared)).drop("namespace")
+    clusters = fx.fleet_layout(spark, sf).select("inst", "cluster")
+    own = clusters.filter("cluster % 4 = 0").select(
+        "cluster", F.lit(0).alias("ord"), F.concat(F.lit("own-"), F.col("cluster") % 5).alias("host"), F.lit(2182).alias("port")
+    )
+    return templates.inherit_nodes(clusters, own, installation)
+
+
 @register
 def merge_templates(spark: SparkSession, sf: str) -> DataFrame:
     present = {"size": F.col("size") > 0, "storage_class": F.col("storage_class") != ""}
@@ -532,7 +552,7 @@ def config_files(spark: SparkSession, sf: str) -> DataFrame:
         owners=owners,
         common_settings=rows.filter("path NOT LIKE 'users.d/%'"),
         files=rows,
-        users=_user_settings(spark, sf),
+        users=materialize(_user_settings(spark, sf), "users"),
         quotas=rows.filter("path LIKE 'misc/%'"),
         profiles=rows.filter("path NOT LIKE '%/%'"),
         routing=layout.routing_topology(replicas),

@@ -94,6 +94,16 @@ SELECT inst, NULL, NULL, NULL, s.step, s.kind, s.name FROM (
     {'step': 6, 'kind': 'config', 'name': 'di-' || inst || '-common-usersd'},
     {'step': 7, 'kind': 'service', 'name': 'svc-' || inst}]) AS s FROM fx_deleted)
 """
+ORACLES["desired_objects"] = """
+SELECT inst, o.kind, o.name FROM (
+  SELECT inst, unnest([
+    {'kind': 'set', 'name': replica_name}, {'kind': 'service', 'name': replica_name},
+    {'kind': 'config', 'name': 'di-' || inst || '-deploy-confd-' || replica_name}]) AS o FROM fx_replicas
+  UNION ALL
+  SELECT inst, unnest([
+    {'kind': 'service', 'name': 'svc-' || inst}, {'kind': 'config', 'name': 'di-' || inst || '-common-configd'},
+    {'kind': 'config', 'name': 'di-' || inst || '-common-usersd'}]) FROM (SELECT DISTINCT inst FROM fx_replicas))
+"""
 ORACLES["owner_events"] = """
 SELECT key, kind, event_id FROM fx_changes WHERE kind = 'ADDED'
 UNION ALL

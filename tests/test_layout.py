@@ -31,6 +31,19 @@ def test_two_by_two(spark):
     assert [tuple(r) for r in layout.topology_counts(made).collect()] == [(0, 1, 2, 4)]
 
 
+@pytest.mark.parametrize(
+    ("shape", "counts"),
+    [
+        ((2, 2), {"set": 4, "service": 5, "config": 6}),
+        ((2, 1), {"set": 2, "service": 3, "config": 4}),
+        ((1, 1), {"set": 1, "service": 2, "config": 3}),
+    ],
+)
+def test_objects_of_an_installation(spark, shape, counts):
+    found = reconcile.desired_objects(replicas(spark, [shape])).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in found} == counts
+
+
 def test_zero_counts_become_one(spark):
     assert named(replicas(spark, [(0, 0)])) == ["i0-cluster-0-0"]
 

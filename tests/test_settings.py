@@ -144,7 +144,10 @@ def test_file_counts_of_a_configured_installation(spark):
     own_files = as_rows(spark, 1, {"COMMON/dict1.xml": "d", "COMMON/source1.csv": "s", "HOST/users_prefixed_1.file": "h"})
     host = replicas.select("replica_name").join(own_files.drop("owner").withColumn("kind", F.lit("files")))
     extra = spark.createDataFrame([(f"0{i}.xml", "c") for i in range(4)], "file string, content string")
+    nodes = spark.createDataFrame([(1, 0, "zk01.svc.cluster.local", 2180)], "owner bigint, ord int, host string, port int")
+    options = spark.createDataFrame([], "owner bigint, session_timeout_ms int, operation_timeout_ms int, root string, identity string")
     done = config_documents.config_files(
+        coordination=documents.coordination_document(nodes, options).withColumnRenamed("owner", "cluster"),
         owners=spark.createDataFrame([(1,)], "owner int"),
         common_settings=as_rows(spark, 1, {"compression/case/method": "zstd", "disable_internal_dns_cache": "1"}),
         files=own_files,
@@ -159,7 +162,13 @@ def test_file_counts_of_a_configured_installation(spark):
     found = {(r.scope, r.owner): r.n for r in done.groupBy("scope", "owner").agg(F.count_distinct("file").alias("n")).collect()}
     assert found.pop(("common", "1")) == 8
     assert found.pop(("users", "1")) == 5
-    assert found == {("host", f"i1-cluster-{s}-{o}"): 2 for s in (0, 1) for o in (0, 1)}
+    # macros, coordination and the own HOST file
+    assert found == {("host", f"i1-cluster-{s}-{o}"): 3 for s in (0, 1) for o in (0, 1)}
+    zookeeper = text_of(done.filter("owner = 'i1-cluster-0-1' AND file = 'generated-zookeeper.xml'"))
+    assert zookeeper.split("\n") == [
+        "<yandex>", "    <zookeeper>", "        <node>", "            <host>zk01.svc.cluster.local</host>",
+        "            <port>2180</port>", "        </node>", "    </zookeeper>", "</yandex>",
+    ]
     written = done.filter("owner = 'i1-cluster-1-0' AND file = 'generated-macros.xml'")
     assert text_of(written).split("\n")[2:7] == [
         "        <installation>1</installation>",
@@ -237,6 +246,15 @@ def test_merged_templates_of_two_lists(spark):
         assert got.count() == total and got.filter(f"name = '{kind}0'").first().image == "c"
 
 
+def test_nodes_are_inherited_by_clusters_without_any(spark):
+    node = "ord int, host string, port int"
+    clusters = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "inst int, cluster int")
+    own = spark.createDataFrame([(10, 0, "own", 1)], "cluster int, " + node)
+    inst = spark.createDataFrame([(1, 0, "zk", None), (1, 1, "zk", 2180), (1, 2, "zk", None)], "inst int, " + node)
+    got = sorted((r.cluster, r.host, r.port) for r in templates.inherit_nodes(clusters, own, inst).collect())
+    assert got == [(10, "own", 1), (11, "zk", 2180), (11, "zk", 2181)]
+
+
 def test_nodes(spark):
     df = spark.createDataFrame([(1, 0, "h", None), (1, 1, "h", 2181), (1, 2, "h", 0), (1, 3, "g", 2180)], "owner int, ord int, host string, port int")
     got = [(r.ord, r.host, r.port) for r in templates.merge_nodes(df).orderBy("ord").collect()]
