@@ -128,7 +128,7 @@ def _desired(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def layout_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.layout_defaults(fx.fleet_layout(spark, sf), fx.installations(spark, sf))
+    return layout.layout_defaults(fx.fleet_layout(spark, sf), fx.installation_keys(spark, sf))
 
 
 @register
@@ -164,7 +164,7 @@ def routing_topology(spark: SparkSession, sf: str) -> DataFrame:
     weights = layout.expand_shards(fx.fleet_layout(spark, sf)).select(
         "shard_name", (F.col("cluster") % 3).cast("int").alias("weight")
     )
-    return layout.routing_topology(_replicas(spark, sf), weights)
+    return layout.routing_topology(materialize(_replicas(spark, sf), "replicas"), weights)
 
 
 @register
@@ -173,7 +173,8 @@ def surplus_replicas(spark: SparkSession, sf: str) -> DataFrame:
     before = layout.previous_layout(fx.fleet_layout(spark, sf))
     no_slots = spark.createDataFrame([], "cluster bigint, slot string")
     old = layout.allocate_replicas(before, no_slots).select(*place)
-    return reconcile.surplus_replicas(old, _replicas(spark, sf).select(*place))
+    new = _replicas(spark, sf).select(*place)
+    return reconcile.surplus_replicas(materialize(old, "old-replicas"), materialize(new, "new-replicas"))
 
 
 # Reconciliation ---------------------------------------------------------------
@@ -218,7 +219,7 @@ def cascade_delete_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def desired_objects(spark: SparkSession, sf: str) -> DataFrame:
-    return reconcile.desired_objects(_replicas(spark, sf))
+    return reconcile.desired_objects(materialize(_replicas(spark, sf), "replicas"))
 
 
 @register
@@ -302,8 +303,8 @@ def previous_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def installation_state(spark: SparkSession, sf: str) -> DataFrame:
-    desired = _desired(spark, sf)
-    counts = fx.installations(spark, sf).select("inst").join(layout.topology_counts(desired_names(desired)), "inst", "left")
+    desired = materialize(_desired(spark, sf), "desired")
+    counts = fx.installation_keys(spark, sf).join(layout.topology_counts(desired_names(desired)), "inst", "left")
     phases = status.replica_phase(fx.observed_replicas(spark, sf))
     return status.installation_state(counts, desired, phases, fx.deleted_installations(spark, sf))
 
@@ -315,7 +316,7 @@ def desired_names(desired: DataFrame) -> DataFrame:
 @register
 def fleet_status(spark: SparkSession, sf: str) -> DataFrame:
     return status_plan.fleet_status(
-        fx.installations(spark, sf),
+        fx.installation_keys(spark, sf),
         fx.fleet_layout(spark, sf),
         _desired(spark, sf),
         fx.observed_replicas(spark, sf),
@@ -453,7 +454,7 @@ def bool_settings_tally(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def port_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    owners = fx.installations(spark, sf).select(F.col("inst").alias("owner"))
+    owners = fx.installation_keys(spark, sf).select(F.col("inst").alias("owner"))
     ports = {"tcp_port": "COMMON/f0", "http_port": "COMMON/f1", "interserver_http_port": "HOST/f2"}
     return settings.port_inventory(owners, _effective(spark, sf), ports)
 
@@ -500,7 +501,7 @@ def merge_templates(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def normalized_replicas(spark: SparkSession, sf: str) -> DataFrame:
-    own = fx.installations(spark, sf).select(
+    own = fx.installation_keys(spark, sf).select(
         "inst",
         F.expr("CASE WHEN inst % 4 = 0 THEN 'own-data' ELSE '' END").alias("data_claim"),
         F.expr("CAST(inst % 3 AS INT)").alias("claim_size"),
@@ -547,7 +548,7 @@ def config_files(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("r_regionkey") == 0, "f3").otherwise(F.concat(F.lit("r"), "r_regionkey", F.lit(".xml"))).alias("file"),
         "content",
     )
-    owners = fx.installations(spark, sf).select(F.col("inst").alias("owner"))
+    owners = fx.installation_keys(spark, sf).select(F.col("inst").alias("owner"))
     return config_documents.config_files(
         owners=owners,
         common_settings=rows.filter("path NOT LIKE 'users.d/%'"),
@@ -611,7 +612,7 @@ def admission_report(spark: SparkSession, sf: str) -> DataFrame:
     def of_installation(claims: DataFrame) -> DataFrame:
         return claims.join(owner, "object").select("inst", "claim", "size", F.col("object").alias("ord"))
 
-    installations = fx.installations(spark, sf).select(
+    installations = fx.installation_keys(spark, sf).select(
         "inst", F.lit("data2").alias("data_claim"), F.expr("CASE WHEN inst % 4 = 0 THEN '' ELSE 'log9' END").alias("log_claim")
     ).withColumn("log_claim", F.expr("CASE WHEN inst % 2 = 0 THEN log_claim ELSE 'log1' END"))
     old_claims, new_claims = _old_and_new(materialize(fx.claims(spark, sf), "claims"))

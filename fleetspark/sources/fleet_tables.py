@@ -28,8 +28,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    scan = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return spread(scan) if name in ("orders", "events") else scan
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _int(text: str) -> Column:
@@ -71,6 +70,11 @@ def installations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def installation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The installations alone, for plans that need no namespace."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("inst"))
+
+
 def deleted_installations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("inst"))
 
@@ -167,7 +171,7 @@ def settings_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN 'purchase' THEN 'HOST/' ELSE CASE WHEN event_id % 2 = 0 THEN 'misc/' ELSE '' END END"
     )
     path = _text(prefix, "'f'", "event_id % 7", "CASE WHEN event_id % 11 = 0 THEN '/' ELSE '' END")
-    return table(spark, sf_dir, "events").select(*_settings_columns(path))
+    return spread(table(spark, sf_dir, "events")).select(*_settings_columns(path))
 
 
 def user_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +180,7 @@ def user_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE event_type WHEN 'click' THEN 'password' WHEN 'view' THEN 'profile' WHEN 'error' THEN 'quota' "
         "WHEN 'purchase' THEN 'networks//ip' ELSE 'password_sha256_hex' END"
     )
-    return table(spark, sf_dir, "events").select(*_settings_columns(_text(user, "'/'", key)))
+    return spread(table(spark, sf_dir, "events")).select(*_settings_columns(_text(user, "'/'", key)))
 
 
 def settings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +194,7 @@ def settings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('], "none": null, "nested": {"a": 1}, "empty": [], "kind": "'), F.col("event_type"),
         F.lit('"}'),
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), body.alias("settings")
     )
 
