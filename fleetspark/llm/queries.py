@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import chat_trees, curriculum, url_filter
+from fleetspark.llm import chat_trees, curriculum, language_id, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,26 @@ def op10_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def learned(doc_id: str = "doc_id"):
+    """Rows that models may learn from: crc32 of the id as text is not 1 modulo 3."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) != 1
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs, learned())
+    out = language_id.identify(docs.select("doc_id", "text"), model, ["doc_id"])
+    held_out = F.coalesce(~learned("doc.doc_id"), F.lit(False))
+    return out.select("doc.doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the trained rules on every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, _read(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model)
