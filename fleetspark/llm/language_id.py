@@ -27,7 +27,9 @@ DOCS_PER_LANGUAGE = 1500
 MAX_LANGUAGES = 200
 #: Every fifth document of the sample calibrates and is not counted.
 CALIBRATE_EVERY = 5
-#: A text is rejected if its cross-entropy lies so many standard deviations above its language's, or its score is below MIN_SCORE.
+#: A text is rejected if its cross-entropy lies beyond this share of the way from its language's own texts to those of
+#: other languages (with one language only: so many standard deviations above its own), or if its score is below MIN_SCORE.
+FOREIGN_SHARE = 0.7
 MAX_DEVIATION = 8.0
 MIN_SCORE = 0.5
 UNKNOWN = "und"
@@ -76,8 +78,7 @@ class LanguageModel:
     contexts: list[np.ndarray]  # by order: sorted contexts
     backoff: list[np.ndarray]  # by order: log weight of the lower order, (contexts, languages)
     unseen: float  # log probability of a letter no language has
-    mean: np.ndarray  # by language: cross-entropy of its own texts
-    spread: np.ndarray  # by language: its variance between texts, and times characters
+    limit: np.ndarray  # by language: the largest cross-entropy of a text that is not rejected
     curve: tuple[float, float]  # the score is a logistic curve over the lead
 
     def entropies(self, codes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +130,7 @@ class LanguageModel:
         own = safe[np.arange(len(n)), best]
         lead = lead_of(safe, n)
         score = 1 / (1 + np.exp(-np.clip(self.curve[0] * lead + self.curve[1], -30, 30)))
-        allowed = np.sqrt(self.spread[0, best] + self.spread[1, best] / np.maximum(n, 1))
-        far = own > self.mean[best] + MAX_DEVIATION * allowed
+        far = own > self.limit[best]
         score = np.where(none, 0.0, score)
         return np.where(none, -1, best), score, none | far | (score < MIN_SCORE)
 
@@ -151,7 +151,7 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _gram_counts(batches):
-    """(lang, gram, context, suffix, inner, suffix context, count) of the sample, summed per slice."""
+    """(lang, gram, n) of the sample, summed per slice; a gram is its code points as bytes."""
     n = ORDER
     for batch in batches:
         for a, b, data, offsets in flat.slices(batch.column("text")):
@@ -295,9 +295,9 @@ def train(docs: DataFrame, learn: Column, per_language: int = DOCS_PER_LANGUAGE)
                 counts[name][k] = (np.frombuffer(b"".join(raw[pick]), "<u4").reshape(-1, k), n[pick])
     languages = list(counts)
     if not languages:
-        return LanguageModel([], [], [], [], [], 0.0, np.empty(0), np.empty((2, 0)), (1.0, 0.0))
+        return LanguageModel([], [], [], [], [], 0.0, np.empty(0), (1.0, 0.0))
     arrays = _kneser_ney(counts, languages)
-    model = LanguageModel(languages, *arrays, np.zeros(len(languages)), np.zeros((2, len(languages))), (1.0, 0.0))
+    model = LanguageModel(languages, *arrays, np.full(len(languages), np.inf), (1.0, 0.0))
     shared = spark.sparkContext.broadcast(model)
     held = sample.where("calibrates").select("doc_id", "text", "lang").mapInArrow(_calibration_rows(shared), "doc_id long, lang string, entropy array<double>, n long").collect()
     held = sorted(r for r in held if r["n"] and r["lang"] in counts and not np.isnan(r["entropy"][0]))
@@ -319,16 +319,10 @@ def _calibrated(model: LanguageModel, held: list) -> LanguageModel:
             beta -= np.clip(np.linalg.solve(hessian, design.T @ (p - y) + 1e-2 * (beta - [1.0, 0.0])), -1, 1)
         model.curve = (max(float(beta[0]), 1e-3), float(beta[1]))
         for j in range(len(model.languages)):
-            mine = truth == j
-            pool = own[mine] if mine.sum() >= 10 else own
-            size = n[mine] if mine.sum() >= 10 else n
-            model.mean[j] = pool.mean()
-            square = (pool - model.mean[j]) ** 2
-            # variance between texts, and the part that falls with length
-            model.spread[0, j] = max(float(np.median(square)) * 2.2, 1e-4)
-            model.spread[1, j] = max(float((square * size).mean()), 1e-2)
-    else:
-        model.mean[:], model.spread[:] = 0.0, 1e6
+            mine = entropy[truth == j, j]
+            if len(mine):
+                others = entropy[truth != j, j]
+                model.limit[j] = mine.mean() + (FOREIGN_SHARE * (others.mean() - mine.mean()) if len(others) else MAX_DEVIATION * max(mine.std(), 0.1))
     return model
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import chat_trees, curriculum, language_id, quality_rules, url_filter
+from fleetspark.llm import chat_trees, curriculum, language_id, multi_index, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.train(docs, _read(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, model)
+
+
+@query
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of all embeddings at cosine 0.9."""
+    return multi_index.near_duplicates(_read(spark, sf_dir, "embeddings"))
