@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import chat_trees, curriculum, language_id, multi_index, quality_rules, url_filter
+from fleetspark.llm import chat_trees, curriculum, jaccard_join, language_id, multi_index, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and kept vectors of all embeddings at cosine 0.9."""
     return multi_index.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and links of every document, by shingles of four words at 85 percent."""
+    return jaccard_join.similar_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
