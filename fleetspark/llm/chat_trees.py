@@ -70,13 +70,11 @@ def leaf_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     while not hop.where("anc IS NOT NULL").isEmpty() and 2 ** len(hops) <= max(total, 1):
         hops.append(hop)
         above = hop.select("tree", F.col("message_id").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("more"), F.col("length").alias("further"))
-        hop = checkpointed(
-            hop.join(above, ["tree", "anc"], "left").select(
-                "tree", "message_id", F.col("anc2").alias("anc"),
-                (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-                (F.col("length") + F.coalesce("further", F.lit(0))).alias("length"),
-            )
+        # only messages that have not reached their root take another step
+        stepped = hop.where("anc IS NOT NULL").join(above, ["tree", "anc"]).select(
+            "tree", "message_id", F.col("anc2").alias("anc"), (F.col("score") + F.col("more")).alias("score"), (F.col("length") + F.col("further")).alias("length")
         )
+        hop = checkpointed(hop.where("anc IS NULL").unionByName(stepped))
     parents = first.where("anc IS NOT NULL").select("tree", F.col("anc").alias("message_id")).distinct()
     leaves = hop.where("anc IS NULL").join(parents, key, "left_anti").withColumn("mean", F.col("score") / F.col("length"))
     best = [F.desc("mean"), F.desc("length"), "message_id"]
