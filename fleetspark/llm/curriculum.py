@@ -101,13 +101,14 @@ def source_targets(sizes: DataFrame, weights: list[int] = WEIGHTS, schedules: li
     return table.select("source", "source_size", "n_docs", target.alias("target"), segments.alias("segments")), rows
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
+def curriculum(docs: DataFrame, carry: list[str] | None = None, **options) -> DataFrame:
     """Each row of docs with what the mix takes of it.
 
-    docs: (doc_id, text, source), any others carried.  Returns (doc, size,
-    source_size, target, positions): doc is a struct of the row as it came,
-    so columns of any name are safe, positions the ascending training times of
-    the passes that are taken (at most max_passes, maybe none).
+    docs: (doc_id, text, source) and any others.  Returns (doc, size,
+    source_size, target, positions): doc is a struct of the columns named by
+    carry (all by default), so columns of any name are safe, positions the
+    ascending training times of the passes that are taken (at most max_passes,
+    maybe none).
 
     A source's documents stand in an order by hash of doc_id (null: of the
     text), equal hashes by size; pass p of a document starts at p times the
@@ -121,7 +122,7 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
     """
     id_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").cast("string").alias("source"),
+        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("doc"), F.col("source").cast("string").alias("source"),
         word_count(F.col("text").cast("string")).alias("size"), id_hash.alias("h"),
     )
     slim = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), id_hash.alias("h"))

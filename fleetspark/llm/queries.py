@@ -25,7 +25,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @query
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, source targets and words taken of all documents, in training order."""
-    mix = curriculum.curriculum(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mix = curriculum.curriculum(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=["doc_id"])
     slim = mix.select(
         "doc.doc_id", "size", "source_size", "target",
         (F.col("size") * F.size("positions")).alias("taken"), F.get("positions", F.lit(0)).alias("first_position"),
