@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import chat_trees, curriculum, jaccard_join, language_id, multi_index, quality_rules, url_filter
+from fleetspark.llm import chat_trees, curriculum, jaccard_join, language_id, multi_index, pieces, quality_rules, site_quality, surrogates, url_filter
+
+#: The SentencePiece model of the queries.
+PIECES_MODEL = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +96,34 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, component and links of every document, by shingles of four words at 85 percent."""
     return jaccard_join.similar_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
+@query
+def op2_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by surrogates."""
+    out = surrogates.replaced(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc.doc_id", "text", "n_replaced")
+
+
+@query
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document from its text and from its site.
+
+    A document's site is that of the page whose url ends with its number, else
+    its source; its evidence is the probability from the trained classifier.
+    """
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    labels = _read(spark, sf_dir, "labels")
+    judged = quality_rules.judge(docs, quality_rules.train(docs, labels)).select("doc_id", F.when(F.col("n_words") > 0, F.col("probability")).alias("evidence"))
+    judged = judged.groupBy("doc_id").agg(F.avg("evidence").alias("evidence"))
+    sites = site_quality.page_sites(_read(spark, sf_dir, "pages"))
+    rows = docs.select("doc_id", "source").join(judged, "doc_id", "left").join(sites, "doc_id", "left")
+    rows = rows.select("doc_id", F.coalesce("host", "source").alias("host"), "path", "evidence")
+    return site_quality.site_posteriors(rows)
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as SentencePiece ids, with parity and round trip."""
+    out = pieces.encoded(_read(spark, sf_dir, "documents").select("doc_id", "text"), PIECES_MODEL, ["doc_id"])
+    return out.select("doc.doc_id", "n_tokens", "n_differ", "round_trip", "ids")
