@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import chat_trees, curriculum, jaccard_join, language_id, multi_index, pieces, quality_rules, site_quality, surrogates, url_filter
+from fleetspark.llm import chat_trees, curriculum, jaccard_join, language_id, multi_index, oracles, pieces, quality_rules, site_quality, surrogates, url_filter
 
 #: The SentencePiece model of the queries.
 PIECES_MODEL = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
 
 
 def query(function):
