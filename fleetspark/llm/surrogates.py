@@ -10,6 +10,7 @@ collides draws again.  Each mention is then rewritten in its own format.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -40,12 +41,12 @@ _TITLES = "|".join((FEMALE_TITLES + " " + MALE_TITLES).split())
 PATTERNS = {
     "secret": r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[=:]\s*[\"']?)(?P<v>[A-Za-z0-9_+/=.~-]{8,})"
     r"|\b(?P<v2>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})\b",
-    "email": r"(?P<v>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)",
+    "email": r"(?<![A-Za-z0-9._%+-])(?P<v>[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)",
     "ipv4": rf"(?<![\w.])(?P<v>{_OCTET}(?:\.{_OCTET}){{3}})(?!\.?\w)",
     "iban": r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "phone": r"(?<![\w+])(?P<v>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
     "ssn": r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])",
-    "card": r"(?<![\w.-])(?P<v>\d(?:[ -]?\d){12,18})(?![\w-])",
+    "card": r"(?<![\w.-])(?P<v>\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-])",
     "name": rf"\b(?P<t>{_TITLES})\b\.?[ \u00a0](?P<v>{_NAME}(?:[ \u00a0]{_NAME})?)",
 }
 #: What every text with an entity has; a cheap test that spares the others the whole search.
@@ -64,9 +65,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             a, b = m.span(group)
             value = text[a:b]
             if kind == "email":
-                value = value.rstrip(".-")
-                b = a + len(value)
-            if kind == "card" and not 13 <= sum(c.isdigit() for c in value) <= 19:
+                a += len(value) - len(value.lstrip("._%+-"))
+                value = text[a:b]
+                if value.startswith("@"):
+                    continue
+            if kind == "card" and sum(c.isdigit() for c in value) < 13:
                 continue
             if kind == "iban" and sum(c.isdigit() for c in value) < 8:
                 continue
@@ -74,9 +77,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     rank = {kind: i for i, kind in enumerate(PATTERNS)}
     out: list[tuple[int, int, str, str]] = []
     for item in sorted(taken, key=lambda x: (rank[x[2]], x[0])):
-        if all(item[1] <= o[0] or item[0] >= o[1] for o in out):
-            out.append(item)
-    return sorted(out)
+        at = bisect.bisect(out, item)
+        if (at == 0 or out[at - 1][1] <= item[0]) and (at == len(out) or item[1] <= out[at][0]):
+            out.insert(at, item)
+    return out
 
 
 def _canonical(kind: str, value: str, title: str) -> str:

@@ -1,0 +1,203 @@
+"""Surrogates, the curriculum, SentencePiece and the whole pipeline."""
+
+import collections
+import os
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetspark.llm import curriculum, pieces, surrogates
+from fleetspark.llm.queries import PIECES_MODEL
+
+TEXTS = [
+    None, "", "nothing here", "Write to Anna.Berg7@mail8.example.com or ANNA.BERG7@MAIL8.EXAMPLE.COM.", "anna.berg7@mail8.example.com, +1 (988) 555-2485",
+    "Call +1 988 555 2485 or +1 (988) 555-2486; 10.0.0.12 and 152.143.123.131.", "card 4111 1111 1111 1111 = 4111111111111111", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"###',
+    "Mrs. Anna Schmidt met Mr. John Smith; MRS. is no name. Госпожа Анна Иванова, Herr Müller.", "Licensed under CC BY-NC 4.0, version 3. 1 2 3, 1999-2000", "x" * 50_000 + " 4381893557741609",
+]
+
+
+def test_surrogates_are_consistent_distinct_and_shaped(spark):
+    docs = spark.createDataFrame([(i, t, "d", 5) for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string, doc string, n_replaced int")
+    out = surrogates.replaced(docs, key="k")
+    rows = out.select("doc.doc_id", "text", "n_replaced", "doc.doc").collect()
+    assert len(rows) == 2 * len(TEXTS) and {r.doc for r in rows} == {"d"}
+    by_id = collections.defaultdict(set)
+    for r in rows:
+        by_id[r.doc_id].add((r.text, r.n_replaced))
+    assert all(len(v) == 1 for v in by_id.values())
+    new = {i: min(v, key=str)[0] for i, v in by_id.items()}
+    for i in (0, 1, 2, 9):
+        assert new[i] == TEXTS[i]
+    given = {}
+    for i, text in enumerate(TEXTS):
+        before, after = surrogates.find(text or ""), surrogates.find(new[i] or "")
+        assert [(k) for *_, k, _ in before] == [k for *_, k, _ in after]
+        for (a, b, kind, old), (c, d, _, sur) in zip(before, after):
+            assert given.setdefault((kind, old), sur) == sur
+            if kind in ("phone", "card", "ssn"):
+                assert re.sub(r"\d", "9", text[a:b]) == re.sub(r"\d", "9", new[i][c:d])
+            if kind == "card":
+                assert surrogates._luhn(sur) == 0 or surrogates._luhn(old) != 0
+            if kind == "name":
+                assert old.split(":")[:2] == sur.split(":")[:2] and len(old.split()) == len(sur.split())
+    assert len(set(given.values())) == len(given) and not set(given.values()) & {old for _, old in given}
+    assert new[3].split()[2].lower() == new[3].split()[-1].rstrip(".").lower()  # the same address, written in two ways
+    again = {r.doc_id: r.text for r in surrogates.replaced(docs, key="k").select("doc.doc_id", "text").collect()}
+    other = {r.doc_id: r.text for r in surrogates.replaced(docs, key="other").select("doc.doc_id", "text").collect()}
+    assert again == new and other[4] != new[4]
+    assert surrogates.replaced(docs.limit(0)).count() == 0
+
+
+def test_hint_misses_no_entity():
+    hint = re.compile(surrogates.HINT)
+    assert all(hint.search(t) for t in TEXTS if t and surrogates.find(t))
+
+
+def test_colliding_surrogates_draw_again(spark, monkeypatch):
+    """A drawing of few values: 90 two-digit entities share what is left of 100 numbers."""
+
+    def narrow(key, kind, canonical, attempt):
+        return f"s{(int(canonical) * 7 + attempt * 13) % (95 + attempt)}" if attempt < 40 else f"s{canonical}-{attempt}"
+
+    monkeypatch.setattr(surrogates, "surrogate", narrow)
+    entities = spark.createDataFrame([("card", str(i)) for i in range(90)] + [("card", "s5"), ("card", "s6")][:0] + [("phone", "5")], "kind string, canonical string")
+    table = surrogates.surrogate_table(entities, "k").collect()
+    assert len(table) == 91
+    assert len({(r.kind, r.surrogate) for r in table}) == 91
+    assert surrogates.surrogate_table(entities.limit(0), "k").count() == 0
+
+
+def expected_mix(rows):
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    total = collections.Counter()
+    for i, _, s in rows:
+        total[s] += sizes[i]
+    order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: [1, 2, 3][k % 3] for k, s in enumerate(order)}
+    whole, capped = sum(total.values()), set()
+    while True:
+        left, over = whole - sum(3 * total[s] for s in capped), sum(weight[s] for s in order if s not in capped)
+        more = {s for s in order if s not in capped and over and left * weight[s] / over > 3 * total[s]}
+        if not more:
+            break
+        capped |= more
+    return sizes, total, {s: 3 * total[s] if s in capped else left * weight[s] / over for s in order}
+
+
+@pytest.mark.parametrize("bucket, broadcast", [(2048, 10_000), (4, 0)])
+def test_curriculum(spark, monkeypatch, bucket, broadcast):
+    monkeypatch.setattr(curriculum, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(curriculum, "BROADCAST_SOURCES", broadcast)
+    rng = random.Random(4)
+    sources = [None, "", "b", "a", "Z", "é", "big", "tiny"]
+    rows = [(i, rng.choice([None, "", " ".join("w" * rng.randrange(1, 40))]), rng.choice(sources[:7] + ["big"] * 6)) for i in range(300)] + [(1000, "one", "tiny"), (1001, "x\ty  z", "tiny")]
+    docs = spark.createDataFrame([(*r, 3, 0.5) for r in rows], "doc_id long, text string, source string, size int, position double")
+    sizes, total, target = expected_mix(rows)
+    out = curriculum.curriculum(docs).select("doc.*", F.col("size").alias("words"), "source_size", "target", "positions").collect()
+    assert len(out) == len(rows)
+    taken = collections.Counter()
+    for r in out:
+        assert (r.words, r.source_size) == (sizes[r.doc_id], total[r.source]) and r.target == pytest.approx(target[r.source])
+        assert len(r.positions) <= 3 and list(r.positions) == sorted(r.positions) and all(0 <= p <= 1 for p in r.positions)
+        taken[r.source] += r.words * len(r.positions)
+    assert sum(target.values()) == pytest.approx(sum(sizes.values()))
+    assert all(abs(taken[s] - target[s]) <= max(sizes.values()) for s in target)
+    mixed = curriculum.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(len(r.positions) for r in out)
+    assert [r.doc_id for r in mixed.collect()] == [r.doc_id for r in curriculum.mixed(docs.repartition(3)).collect()]
+    assert curriculum.curriculum(docs.limit(0)).count() == 0
+
+
+def test_demand_is_inverted(spark):
+    for knots in [*curriculum.SCHEDULES, [(0.0, 0.0), (0.3, 2.0), (0.7, 0.0), (1.0, 1.0)]]:
+        shares = [k / 50 for k in range(51)]
+        at = [r[0] for r in spark.createDataFrame([(s,) for s in shares], "s double").select(curriculum.invert_demand(F.col("s"), curriculum._segments(knots))).collect()]
+
+        def demand(t):
+            area = lambda upto: sum((min(t1, upto) - t0) * (w0 + w0 + (w1 - w0) * (min(t1, upto) - t0) / (t1 - t0)) / 2 for (t0, w0), (t1, w1) in zip(knots, knots[1:]) if upto > t0)
+            return area(t) / area(1.0)
+
+        assert [demand(t) for t in at] == pytest.approx(shares, abs=1e-9)
+
+
+needs_model = pytest.mark.skipif(not os.path.exists(PIECES_MODEL), reason="no model file")
+HARD = [None, "", " ", "  a  b ", "\n", "a\n\n b", "▁x ▁", "日本語 🎉", "a  \t b", "<s> </s> <unk>", "x" * 3000, " leading", "trailing  ", "é́", "a\x00b", "\r\n", "the cat " * 2000]
+
+
+@needs_model
+def test_pieces_equal_the_reference_library(spark):
+    import sentencepiece
+
+    reference = sentencepiece.SentencePieceProcessor(model_file=PIECES_MODEL)
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(HARD)] * 2, "doc_id long, text string, ids int")
+    out = pieces.encoded(docs, PIECES_MODEL).select("doc.doc_id", "ids", "n_tokens", "n_differ", "round_trip", F.col("doc.ids").alias("kept")).collect()
+    assert len(out) == 2 * len(HARD)
+    for r in out:
+        text = HARD[r.doc_id] or ""
+        assert list(r.ids) == reference.encode(text) and r.n_tokens == len(r.ids)
+        assert r.round_trip and r.n_differ == 0 and r.kept == 7
+    tokens = spark.createDataFrame([(r.doc_id, r.ids) for r in out] + [(99, None)], "doc_id long, ids array<int>")
+    for r in pieces.decoded(tokens, PIECES_MODEL).collect():
+        assert r.text == (None if r.doc_id == 99 else (HARD[r.doc_id] or "").replace("▁", " "))
+    assert pieces.encoded(docs.limit(0), PIECES_MODEL).count() == 0
+
+
+def unigram_model(path):
+    """A small unigram model file, written field by field."""
+
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3 & 0x7F | (0x80 if number > 15 else 0), *([number >> 4] if number > 15 else []), value])
+        import struct
+
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        size, head = len(value), number << 3 | 2
+        return bytes([head]) + (bytes([size]) if size < 128 else bytes([size & 0x7F | 0x80, size >> 7])) + value
+
+    table = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("▁a", -2.0, 1), ("b", -3.5, 1), ("ab", -2.5, 1), ("▁ab", -4.0, 1), ("a", -3.0, 1), ("bb", -5.0, 1)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    raw = b"".join(field(1, field(1, t.encode()) + field(2, s) + field(3, k)) for t, s, k in table)
+    raw += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0))
+    path.write_bytes(raw)
+    return str(path)
+
+
+def test_unigram_models_too(spark, tmp_path):
+    import sentencepiece
+
+    path = unigram_model(tmp_path / "m.model")
+    reference = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["ab abb a b", "bbbb aab", "ç ab", "", "a  b", "abab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces.encoded(docs, path).collect():
+        assert list(r.ids) == reference.encode(texts[r.doc.doc_id]) and r.round_trip
+
+
+@needs_model
+def test_pipeline(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+    from test_sets_and_graphs import expected_join
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = spark.createDataFrame([(None, None, None, None, None), (7_000, "12 34", "en", "x", 5), (7_001, "mail me: jo.doe@corp.example.com " * 3, "en", "x", 9)], docs.schema)
+    given, seen = docs.unionByName(extra), {}
+    for name, stage in corpus_pipeline.STAGES:
+        seen[name] = (given, stage(spark, given, sf_dir))
+        if name != "tokens":
+            assert seen[name][1].columns == docs.columns
+        seen[name][1].write.parquet(f"{tmp_path}/{name}")
+        given = spark.read.parquet(f"{tmp_path}/{name}")
+    rows = {n: spark.read.parquet(f"{tmp_path}/{n}").collect() for n in seen}
+    assert {r.doc_id for r in rows["language"]} == {r.doc_id for r in docs.collect()} | {7_001}
+    before = rows["language"]
+    join = expected_join([r.doc_id for r in before], [r.text for r in before], 5, 80)
+    assert sorted(r.doc_id for r in rows["near_duplicates"]) == sorted(i for i, _, c, _ in join if i == c)
+    clean = {r.doc_id: r for r in rows["personal_data"]}
+    assert len(clean) == len(rows["near_duplicates"]) and "jo.doe" not in clean[7_001].text
+    for r in rows["near_duplicates"]:
+        assert clean[r.doc_id].text == r.text or surrogates.find(r.text)
+        assert clean[r.doc_id].n_chars == len(clean[r.doc_id].text)
+    assert max(collections.Counter(r.doc_id for r in rows["mix"]).values()) <= 3
+    assert len(rows["tokens"]) == len(rows["mix"]) and all(r.round_trip for r in rows["tokens"])
