@@ -32,8 +32,8 @@ from fleetspark.llm.components import checkpointed, components
 FREQUENT = 64
 #: Index lists of at most so many sets are paired by a join, longer ones are compared in blocks.
 SHORT_LIST = 16
-#: Sets per block.
-BLOCK_ROWS = 256
+#: Sets per block at most, and shingles per block, which makes blocks of large sets smaller.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Bits of the map that tells which sets a later scan has to bring; a full map brings more sets, never fewer.
 MAP_BITS = 1 << 23
 _HOT_BIT = np.int64(1 << 39)
@@ -210,8 +210,11 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     pivot, the left set before it, takes over the pivot's counts and looks up
     only the shingles in which the two differ.
     """
+    used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    left, right = place[: len(left)], place[len(left) :]
+    sets = [sets[i] for i in used]
     size = np.array([len(s) for s in sets])
-    owner, (tokens, which, count) = np.repeat(np.arange(len(sets)), size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, (_, which, count) = np.repeat(np.arange(len(sets)), size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = count[which] > 1
     number = np.cumsum(count > 1) - 1
     owner, which = owner[keep], number[which[keep]]
@@ -237,7 +240,28 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 
 def _compared(rule: Rule, token: int, n: np.ndarray, prefixes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which pairs have to be verified at this shingle."""
+    """Which pairs have to be verified at this shingle.
+
+    Sets that begin with the same earlier shingle have been compared there.  In
+    a list of many like sets these are most, so the largest such family is not
+    compared with itself again.
+    """
+    first = np.array([p[0] for p in prefixes])
+    families, count = np.unique(first[np.concatenate([left, right])], return_counts=True)
+    family = families[count.argmax()]
+    if family >= token:
+        return _open_pairs(rule, token, n, prefixes, left, right)
+    out = np.zeros((len(left), len(right)), bool)
+    strangers, guests = np.flatnonzero(first[left] != family), np.flatnonzero(first[right] != family)
+    inside = np.flatnonzero(first[left] == family)
+    if len(strangers):
+        out[strangers] = _open_pairs(rule, token, n, prefixes, left[strangers], right)
+    if len(inside) and len(guests):
+        out[np.ix_(inside, guests)] = _open_pairs(rule, token, n, prefixes, left[inside], right[guests])
+    return out
+
+
+def _open_pairs(rule: Rule, token: int, n: np.ndarray, prefixes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     near = (100 * np.minimum.outer(n[left], n[right]) >= rule.percent * np.maximum.outer(n[left], n[right]))
     if not near.any():
         return near
@@ -345,9 +369,11 @@ def _bits(batches):
         yield pa.record_batch([pa.array((bit >> 3).astype(np.int32)), pa.array((1 << (bit & 7)).astype(np.int32))], names=["at", "bit"])
 
 
-def _units(index: DataFrame) -> DataFrame:
+def _units(index: DataFrame, rule: Rule) -> DataFrame:
     """Rows of long lists dealt to units, pairs of blocks of a list whose sizes are near enough."""
-    lists = index.groupBy("token", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    largest = F.pow(F.lit(100 / rule.percent), F.col("bucket") + 1)
+    rows_per_block = F.greatest(F.least(F.floor(BLOCK_SHINGLES / largest), F.lit(BLOCK_ROWS)), F.lit(min(16, BLOCK_ROWS)))
+    lists = index.groupBy("token", "bucket").agg(F.count("*").alias("sets")).select("token", "bucket", F.ceil(F.col("sets") / rows_per_block).alias("blocks"))
     rows = index.join(lists, ["token", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     base = ["token", "cid"]
     each = lambda a, b: F.explode(F.sequence(a, b))
@@ -395,7 +421,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     payload = classes.select("cid", "n", "prefix", "copies")
     unit = ["token", "size_a", "block_a", "size_b", "block_b"]
     active = checkpointed(
-        _units(long_.select("token", "cid", "bucket")).join(payload.drop("copies"), "cid")
+        _units(long_.select("token", "cid", "bucket"), rule).join(payload.drop("copies"), "cid")
         .groupBy(*unit).applyInArrow(_active(rule), f"{_UNIT}, second boolean, cid long")
     )
 
