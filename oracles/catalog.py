@@ -8,8 +8,10 @@ scanned AS (
 )
 """
 _REWRITE = "regexp_replace({}, 'CREATE (TABLE|VIEW|MATERIALIZED VIEW)', 'CREATE \\1 IF NOT EXISTS')"
-_TARGET_DATABASE = "regexp_extract(engine_full, 'Distributed\\([^,]+, *''?([^,'']+)''?, *[^,]+', 1)"
-_TARGET_TABLE = "regexp_extract(engine_full, 'Distributed\\([^,]+, [^,]+, *''?([^,'')]+)', 1)"
+_TARGET_DATABASE_PATTERN = "'Distributed\\([^,]+, *''?([^,'']+)''?, *[^,]+'"
+_TARGET_TABLE_PATTERN = "'Distributed\\([^,]+, [^,]+, *''?([^,'')]+)'"
+_TARGET_DATABASE = f"regexp_extract(engine_full, {_TARGET_DATABASE_PATTERN}, 1)"
+_TARGET_TABLE = f"regexp_extract(engine_full, {_TARGET_TABLE_PATTERN}, 1)"
 
 
 def _rewrite(column: str) -> str:
@@ -39,11 +41,15 @@ WITH {SCANNED}
 SELECT DISTINCT d AS name, 'CREATE DATABASE IF NOT EXISTS "' || d || '"' AS statement
 FROM (SELECT unnest([database, {_TARGET_DATABASE}]) AS d FROM scanned WHERE engine = 'Distributed') WHERE d <> ''
 """
+# The catalog without its hosts, and the tables that distributed tables of it point to.
 LOCAL = f"""
-locals AS (
+folded AS MATERIALIZED (
+  SELECT DISTINCT database, name, engine, engine_full, create_table_query FROM scanned
+),
+locals AS MATERIALIZED (
   SELECT DISTINCT t.database, t.name, t.create_table_query
-  FROM (SELECT {_TARGET_DATABASE} AS database, {_TARGET_TABLE} AS name FROM scanned WHERE engine = 'Distributed') d
-  LEFT JOIN (SELECT DISTINCT database, name, create_table_query FROM scanned) t USING (database, name)
+  FROM folded t JOIN folded d ON d.engine = 'Distributed'
+    AND t.database = regexp_extract(d.engine_full, {_TARGET_DATABASE_PATTERN}, 1) AND t.name = regexp_extract(d.engine_full, {_TARGET_TABLE_PATTERN}, 1)
   WHERE t.create_table_query <> ''
 )
 """
@@ -55,46 +61,43 @@ SELECT name, statement, min(ord)::INT AS ord FROM (
   FROM scanned WHERE engine = 'Distributed'
   UNION ALL
   SELECT database || '.' || name, {_rewrite("create_table_query")}, 1 FROM locals
-) GROUP BY ALL
+) GROUP BY name, statement
 """
+# Each new replica meets every statement that another available host of its cluster offers.
 ORACLES["schema_sync_plan"] = f"""
-WITH targets AS (SELECT * FROM fx_hosts WHERE phase = 'Ready' AND state <> 'Sync'),
-shard_rows AS (
-  SELECT DISTINCT t.cluster, t.shard, t.ordinal, c.database, c.name, c.create_table_query
-  FROM targets t JOIN fx_hosts s ON s.cluster = t.cluster AND s.shard = t.shard AND s.phase = 'Normal' AND s.available
-  JOIN fx_catalog c ON c.host = s.host
-  WHERE t.replicas_count > 1 AND c.database <> 'system'
-),
-cluster_rows AS (
-  SELECT DISTINCT t.cluster, t.shard, t.ordinal, c.database, c.name, c.engine, c.engine_full, c.create_table_query
-  FROM targets t JOIN fx_hosts s ON s.cluster = t.cluster AND s.available AND s.host <> t.host
-  JOIN fx_catalog c ON c.host = s.host
+WITH targets AS MATERIALIZED (SELECT * FROM fx_hosts WHERE phase = 'Ready' AND state <> 'Sync'),
+offers AS MATERIALIZED (
+  SELECT h.cluster, h.host, h.shard, h.phase = 'Normal' AS normal, c.part, c.database, c.name, c.engine, c.engine_full, c.create_table_query
+  FROM fx_hosts h JOIN fx_catalog c ON c.host = h.host WHERE h.available
 ),
-pointed AS (
-  SELECT DISTINCT cluster, shard, ordinal, {_TARGET_DATABASE} AS database, {_TARGET_TABLE} AS name
-  FROM cluster_rows WHERE engine = 'Distributed'
+shard_rows AS MATERIALIZED (
+  SELECT t.cluster, t.shard, t.ordinal, min(o.database) AS database, min(o.name) AS name, min(o.create_table_query) AS create_table_query
+  FROM targets t JOIN offers o ON o.cluster = t.cluster AND o.shard = t.shard AND o.normal
+  WHERE t.replicas_count > 1 AND o.database <> 'system' GROUP BY t.cluster, t.shard, t.ordinal, o.part
 ),
-locals AS (
-  SELECT DISTINCT cluster, shard, ordinal, database, name, create_table_query
-  FROM pointed JOIN cluster_rows USING (cluster, shard, ordinal, database, name) WHERE create_table_query <> ''
+cluster_rows AS MATERIALIZED (
+  SELECT t.cluster, t.shard, t.ordinal, min(o.database) AS database, min(o.name) AS name, min(o.engine) AS engine,
+         min({_TARGET_DATABASE}) AS to_database, min({_TARGET_TABLE}) AS to_name, min(o.create_table_query) AS create_table_query
+  FROM targets t JOIN offers o ON o.cluster = t.cluster AND o.host <> t.host GROUP BY t.cluster, t.shard, t.ordinal, o.part
 ),
-late AS (
-  SELECT cluster, shard, ordinal, 3 AS step, d AS name, 'CREATE DATABASE IF NOT EXISTS "' || d || '"' AS statement
-  FROM (SELECT cluster, shard, ordinal, database AS d FROM cluster_rows WHERE engine = 'Distributed'
-        UNION SELECT cluster, shard, ordinal, database FROM pointed) WHERE d <> ''
+steps AS MATERIALIZED (
+  SELECT cluster, shard, ordinal, 1 AS step, database AS name, 'CREATE DATABASE IF NOT EXISTS "' || database || '"' AS statement, FALSE AS late FROM shard_rows
+  UNION ALL
+  SELECT cluster, shard, ordinal, 2, name, {_rewrite("create_table_query")}, FALSE FROM shard_rows
+  WHERE create_table_query <> '' AND name NOT LIKE '.inner.%'
+  UNION ALL
+  SELECT cluster, shard, ordinal, 3, d, 'CREATE DATABASE IF NOT EXISTS "' || d || '"', TRUE
+  FROM (SELECT *, unnest([database, to_database]) AS d FROM cluster_rows WHERE engine = 'Distributed') WHERE d <> ''
   UNION ALL
-  SELECT cluster, shard, ordinal, 4, database || '.' || name, {_rewrite("create_table_query")} FROM locals
+  SELECT r.cluster, r.shard, r.ordinal, 4, r.database || '.' || r.name, {_rewrite("r.create_table_query")}, TRUE
+  FROM cluster_rows r JOIN cluster_rows p
+    ON p.cluster = r.cluster AND p.shard = r.shard AND p.ordinal = r.ordinal AND p.engine = 'Distributed' AND p.to_database = r.database AND p.to_name = r.name
+  WHERE r.create_table_query <> ''
   UNION ALL
-  SELECT cluster, shard, ordinal, 5, database || '.' || name, {_rewrite("create_table_query")}
-  FROM cluster_rows WHERE engine = 'Distributed'
+  SELECT cluster, shard, ordinal, 5, database || '.' || name, {_rewrite("create_table_query")}, TRUE FROM cluster_rows WHERE engine = 'Distributed'
 )
-SELECT DISTINCT cluster, shard, ordinal, 1 AS step, database AS name,
-       'CREATE DATABASE IF NOT EXISTS "' || database || '"' AS statement FROM shard_rows
-UNION ALL
-SELECT DISTINCT cluster, shard, ordinal, 2, name, {_rewrite("create_table_query")} FROM shard_rows
-WHERE create_table_query <> '' AND name NOT LIKE '.inner.%'
-UNION ALL
-SELECT cluster, shard, ordinal, min(step), name, statement FROM late GROUP BY cluster, shard, ordinal, name, statement
+SELECT cluster, shard, ordinal, min(step) AS step, name, statement
+FROM steps GROUP BY cluster, shard, ordinal, late, CASE WHEN late THEN 0 ELSE step END, name, statement
 """
 ORACLES["drop_table_plan"] = """
 SELECT DISTINCT host, name, 'DROP TABLE IF EXISTS "' || database || '"."' || name || '"' AS statement

@@ -17,9 +17,6 @@ TABLES = (
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    # With several threads DuckDB 2.0 now and then stops on the smallest tables
-    # with an internal error about dictionaries.
-    con.execute("SET threads = 1")
     for name in TABLES:
         if Path(f"{sf_dir}/{name}.parquet").exists():
             con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
