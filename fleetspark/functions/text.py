@@ -76,11 +76,14 @@ def last_segment(path: Column) -> Column:
 def number_text(number: Column) -> Column:
     """A number as a settings value: whole numbers have no fraction part.
 
-    The test on the fraction is signed, so a negative fraction is cut off.
+    The test on the fraction is signed, so a negative fraction is cut off.  A
+    number beyond 64 bits is written out in whole digits.
     """
     x = number.cast("double")
-    whole = x.cast("bigint")
-    return F.when(x - whole > FRACTION_THRESHOLD, F.format_string("%.6f", x)).otherwise(whole.cast("string"))
+    whole = x.try_cast("bigint")
+    return F.when(x - whole > FRACTION_THRESHOLD, F.format_string("%.6f", x)).otherwise(
+        F.coalesce(whole.cast("string"), F.when(x.isNotNull(), F.format_string("%.0f", x)))
+    )
 
 
 def flag_text(text: Column, default: Column | bool, true: str = "true", false: str = "false") -> Column:

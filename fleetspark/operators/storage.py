@@ -31,8 +31,9 @@ def claim_validation(initial: DataFrame, updated: DataFrame, classes: DataFrame,
     """A verdict on each updated claim.
 
     ``initial`` and ``updated`` are ``(object, claim, class, size)``.  New
-    claims and smaller sizes are refused; a larger size needs a class that
-    allows expansion; without two sizes there is no verdict.
+    claims, smaller sizes and sizes that are no quantity are refused; a larger
+    size needs a class that allows expansion; without an old size the new one
+    is accepted.
     """
     before = initial.select("object", "claim", quantity_bytes(F.col("size")).alias("old_bytes"), F.lit(True).alias("_known"))
     after = updated.select("object", "claim", "class", quantity_bytes(F.col("size")).alias("new_bytes"))
@@ -49,6 +50,7 @@ def claim_validation(initial: DataFrame, updated: DataFrame, classes: DataFrame,
         grown = F.lit("grow")
     verdict = (
         F.when(F.col("_known").isNull(), "new claim")
+        .when(F.col("new_bytes").isNull(), "no quantity")
         .when(change > 0, grown)
         .when(change < 0, "decrease")
         .otherwise("accepted")
@@ -65,12 +67,17 @@ def expected_volumes(claims: DataFrame, pods: Column) -> DataFrame:
     ).drop("_ordinal")
 
 
-def volume_resize_plan(actual: DataFrame, expected: DataFrame, volumes: DataFrame, pods: Column) -> DataFrame:
+def volume_resize_plan(
+    actual: DataFrame, expected: DataFrame, volumes: DataFrame, pods: Column, classes: DataFrame, check_class: bool = True
+) -> DataFrame:
     """Existing volumes that have to grow to what their claim now asks for.
 
-    Volumes follow the claims of the actual set; a claim or volume that is
-    missing is skipped.  ``recreate`` marks sets one of whose claims grew.
+    A set is left alone as a whole if ``claim_validation`` refuses one of its
+    claims.  Volumes follow the claims of the actual set; a claim or volume that
+    is missing is skipped.  ``recreate`` marks sets one of whose claims grew.
     """
+    refused = claim_validation(actual, expected, classes, check_class).filter(~F.col("verdict").isin("accepted", "grow"))
+    expected = expected.join(refused.select("object"), "object", "left_anti")
     old = actual.select("object", "claim", quantity_bytes(F.col("size")).alias("_old_claim"))
     new = expected.select("object", "claim", F.col("size").alias("new_size"), quantity_bytes(F.col("size")).alias("new_bytes"))
     claims = old.join(new, ["object", "claim"]).withColumn(

@@ -16,8 +16,11 @@ def fleet_status(
     """Counters, health and state per installation.
 
     Desired and observed replicas meet in one full outer join, and everything
-    else is folded from its rows: replicas to clusters, then clusters to
-    installations.  So each input is shuffled once.
+    else is folded from its rows: replicas to shards, shards to clusters, then
+    clusters to installations.  So each input is shuffled once.
+
+    A shard of the layout is healthy if exactly its wanted replicas are there
+    and all are Normal; shards that are only observed do not count.
     """
     wanted = desired.select(
         *PLACE, F.lit(True).alias("_wanted"), reconcile.applied_snapshot(reconcile.SPEC).alias("snapshot")
@@ -27,15 +30,16 @@ def fleet_status(
     both = wanted.join(seen, PLACE, "full_outer")
     wanted_here, seen_here = F.col("_wanted").isNotNull(), F.col("_seen").isNotNull()
     normal = F.col("phase") == "Normal"
-    by_cluster = both.groupBy("cluster").agg(
+    by_shard = both.groupBy("cluster", "shard").agg(
         F.count_if(wanted_here).alias("total"),
         F.count_if(wanted_here & seen_here & F.col("phase").isin("Normal", "Ready")).alias("ready"),
         F.count_if(wanted_here & ~seen_here).alias("added"),
         F.count_if(wanted_here & seen_here & changed).alias("updated"),
         F.count_if(~wanted_here).alias("deleted"),
-        F.bool_and(F.coalesce(normal, F.lit(True))).alias("healthy"),
+        (~F.bool_or(wanted_here) | F.bool_and(wanted_here & seen_here & F.coalesce(normal, F.lit(False)))).alias("healthy"),
     )
     counters = ["total", "ready", "added", "updated", "deleted"]
+    by_cluster = by_shard.groupBy("cluster").agg(*[F.sum(c).alias(c) for c in counters], F.bool_and("healthy").alias("healthy"))
     idle = F.col("paused")
     rows = (
         clusters.select("inst", "cluster", "paused")

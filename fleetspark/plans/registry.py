@@ -581,7 +581,7 @@ def claim_validation(spark: SparkSession, sf: str) -> DataFrame:
 def volume_resize_plan(spark: SparkSession, sf: str) -> DataFrame:
     claims = materialize(fx.claims(spark, sf), "claims")
     old, new = _old_and_new(claims)
-    return storage.volume_resize_plan(old, new, fx.volumes(claims), pods=F.lit(2))
+    return storage.volume_resize_plan(old, new, fx.volumes(claims), F.lit(2), fx.storage_classes(spark, sf))
 
 
 @register

@@ -63,17 +63,6 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan of few splits enough partitions for all cores.
-
-    A small file of one row group is read by a single task, and everything up
-    to the next shuffle with it.  A scan that already has more splits than the
-    cluster has cores is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate result once, for plans that read it several times.
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.session import spread
 
 
 # Named schemas spare the job that would read them from the files.
@@ -85,7 +84,7 @@ def deleted_installations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
-        .filter("l_returnflag = 'R' AND l_linenumber <= 3")
+        .filter("l_returnflag = 'R'")
         .select(
             F.col("l_orderkey").alias("cluster"),
             F.when(F.expr("l_partkey % 50 = 0"), _text("'bad-'", "l_orderkey"))
@@ -106,7 +105,7 @@ def observed_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     generation has no controller owner.
     """
     grouped = (
-        spread(table(spark, sf_dir, "lineitem"))
+        table(spark, sf_dir, "lineitem")
         .groupBy(
             F.col("l_orderkey").alias("cluster"),
             _int("l_linenumber % 3").alias("shard"),
@@ -171,7 +170,7 @@ def settings_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN 'purchase' THEN 'HOST/' ELSE CASE WHEN event_id % 2 = 0 THEN 'misc/' ELSE '' END END"
     )
     path = _text(prefix, "'f'", "event_id % 7", "CASE WHEN event_id % 11 = 0 THEN '/' ELSE '' END")
-    return spread(table(spark, sf_dir, "events")).select(*_settings_columns(path))
+    return table(spark, sf_dir, "events").select(*_settings_columns(path))
 
 
 def user_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +179,7 @@ def user_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE event_type WHEN 'click' THEN 'password' WHEN 'view' THEN 'profile' WHEN 'error' THEN 'quota' "
         "WHEN 'purchase' THEN 'networks//ip' ELSE 'password_sha256_hex' END"
     )
-    return spread(table(spark, sf_dir, "events")).select(*_settings_columns(_text(user, "'/'", key)))
+    return table(spark, sf_dir, "events").select(*_settings_columns(_text(user, "'/'", key)))
 
 
 def settings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +193,7 @@ def settings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('], "none": null, "nested": {"a": 1}, "empty": [], "kind": "'), F.col("event_type"),
         F.lit('"}'),
     )
-    return spread(table(spark, sf_dir, "events")).select(
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), body.alias("settings")
     )
 
@@ -287,7 +286,7 @@ def statement_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per claim of an object: class, old size (absent for new claims), new size."""
     grouped = (
-        spread(table(spark, sf_dir, "lineitem"))
+        table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(
             F.min("l_suppkey").alias("class_key"),

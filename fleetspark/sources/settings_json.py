@@ -21,10 +21,11 @@ def ingest_settings(df: DataFrame, json_column: str) -> DataFrame:
     """One row per member of a JSON object.
 
     Scalars become text and lists become lists of scalar texts.  Nulls, nested
-    objects and lists without a scalar give no row.
+    objects and lists without a scalar give no row, nor does a text that is no
+    JSON; ``malformed_settings`` returns those.
     """
     keys = [c for c in df.columns if c != json_column]
-    members = df.select(*keys, F.parse_json(json_column).alias("_object")).lateralJoin(
+    members = df.select(*keys, F.try_parse_json(json_column).alias("_object")).lateralJoin(
         df.sparkSession.tvf.variant_explode(F.col("_object").outer())
     )
     kind = F.col("_kind")
@@ -41,3 +42,8 @@ def ingest_settings(df: DataFrame, json_column: str) -> DataFrame:
     return rows.filter(F.col("scalar").isNotNull() | (F.coalesce(F.size("vector"), F.lit(0)) > 0)).select(
         *keys, "path", F.col("scalar").isNotNull().alias("is_scalar"), "scalar", "vector"
     )
+
+
+def malformed_settings(df: DataFrame, json_column: str) -> DataFrame:
+    """The rows whose text is no JSON."""
+    return df.filter(F.col(json_column).isNotNull() & F.try_parse_json(json_column).isNull())

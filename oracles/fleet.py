@@ -176,10 +176,15 @@ states AS (
 """
 ORACLES["installation_state"] = f"WITH {_STATE} SELECT * FROM states"
 ORACLES["fleet_status"] = f"""
-WITH {_HEALTH}, {_STATE},
+WITH {_STATE},
 actions AS (SELECT inst, count(*) FILTER (WHERE action = 'Add') AS added, count(*) FILTER (WHERE action = 'Update') AS updated,
                    count(*) FILTER (WHERE action = 'Delete') AS deleted FROM fx_plan GROUP BY inst),
-health AS (SELECT inst, bool_and(ok) AS healthy, count(*) AS clusters FROM cluster_health GROUP BY inst)
+wanted AS (SELECT cluster, shard, count(*) AS replicas, count(p.cluster) AS normal
+           FROM fx_desired d LEFT JOIN (SELECT * FROM fx_phases WHERE phase = 'Normal') p USING (cluster, shard, ordinal) GROUP BY cluster, shard),
+there AS (SELECT cluster, shard, count(*) AS replicas FROM fx_phases GROUP BY cluster, shard),
+sick AS (SELECT DISTINCT w.cluster FROM wanted w LEFT JOIN there t USING (cluster, shard)
+         WHERE w.normal < w.replicas OR t.replicas IS DISTINCT FROM w.replicas),
+health AS (SELECT inst, bool_and(cluster NOT IN (SELECT cluster FROM sick)) AS healthy, count(*) AS clusters FROM fx_layout GROUP BY inst)
 SELECT s.inst, coalesce(clusters, 0) AS clusters, total, ready, coalesce(added, 0) AS added, coalesce(updated, 0) AS updated,
        coalesce(deleted, 0) AS deleted, coalesce(healthy, TRUE) AS healthy, state
 FROM states s LEFT JOIN actions USING (inst) LEFT JOIN health USING (inst)

@@ -14,7 +14,13 @@ SELECT object, claim, old_bytes, new_bytes,
 FROM fx_claims LEFT JOIN classes USING (class)
 """
 ORACLES["volume_resize_plan"] = """
-WITH claims AS (SELECT *, old_bytes > 0 AND new_bytes > old_bytes AS grew FROM fx_claims WHERE old_size IS NOT NULL),
+WITH classes AS (SELECT class, allow_expansion FROM fx_classes
+                 UNION ALL SELECT '', arg_min(allow_expansion, class) FROM fx_classes WHERE is_default),
+refused AS (SELECT object FROM fx_claims LEFT JOIN classes USING (class)
+            WHERE old_size IS NULL OR (old_bytes > 0 AND new_bytes > 0 AND new_bytes < old_bytes)
+               OR (old_bytes > 0 AND new_bytes > old_bytes AND allow_expansion IS NOT TRUE)),
+claims AS (SELECT *, old_bytes > 0 AND new_bytes > old_bytes AS grew FROM fx_claims
+           WHERE old_size IS NOT NULL AND object NOT IN (SELECT object FROM refused)),
 recreate AS (SELECT object, bool_or(grew) AS recreate FROM claims GROUP BY object),
 expected AS (SELECT object, claim, new_size, new_bytes, claim || '-' || object || '-' || o AS volume
              FROM claims, (VALUES (0), (1)) p(o))

@@ -21,7 +21,7 @@ SELECT l_orderkey AS cluster,
        CASE WHEN l_partkey % 50 = 0 THEN 'bad-' || l_orderkey
             WHEN l_partkey % 50 = 1 THEN l_orderkey || '-cluster-' || (l_linenumber % 3) || '-x'
             ELSE l_orderkey || '-cluster-' || (l_linenumber % 3) || '-' || (l_suppkey % 4) END AS slot
-FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 3
+FROM lineitem WHERE l_returnflag = 'R'
 """
 VIEWS["fx_observed"] = """
 SELECT cluster, shard, ordinal, ready, generation, observed_generation,
