@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,7 +36,27 @@ def run_batches(stream: DataFrame, step: BatchStep, checkpoint: str, available_n
 
 
 def _write_batch(df: DataFrame, table: str, batch_id: int) -> None:
+    """Write a batch's folder, then note its number beside the table.
+
+    The note tells the newest batch even if that left no row.  If a batch ends
+    between the two steps it is run again, and both are written anew.
+    """
     df.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    df.sparkSession.range(batch_id, batch_id + 1, 1, 1).write.mode("overwrite").parquet(_note(table))
+
+
+def _note(table: str) -> str:
+    return f"{table.rstrip('/')}-last"
+
+
+def _last(spark: SparkSession, table: str) -> int:
+    """The number of the newest batch; -1 before the first."""
+    try:
+        return spark.read.schema("id BIGINT").parquet(_note(table)).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
 
 
 def _snapshot_before(batch_id: int) -> int:
@@ -52,22 +73,17 @@ def _keep(df: DataFrame, table: str, batch_id: int, schema: str, newest: Callabl
 
 def _table(spark: SparkSession, table: str, schema: str) -> DataFrame:
     """Rows since the last snapshot."""
-    last = spark.read.schema(f"{schema}, batch BIGINT").parquet(table).agg(F.max("batch")).first()[0]
-    return _batches(spark, table, schema, _snapshot_before(last), last)
+    last = _last(spark, table)
+    return _batches(spark, table, schema, _snapshot_before(max(last, 0)), last)
 
 
 def _batches(spark: SparkSession, table: str, schema: str, first: int, last: int) -> DataFrame:
-    """Rows of the batches first..last with their batch number."""
-    rows = spark.read.schema(f"{schema}, batch BIGINT").option("ignoreMissingFiles", True)
-    start = spark.createDataFrame([], f"{schema}, batch BIGINT")
-    if last < first or not _exists(spark, table):
-        return start
-    return rows.parquet(table).filter(F.col("batch").between(first, last))
-
-
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    """Rows of the batches first..last with their batch number; no other folder is listed."""
+    schema = f"{schema}, batch BIGINT"
+    if last < max(first, 0):
+        return spark.createDataFrame([], schema)
+    folders = [f"{table}/batch={number}" for number in range(max(first, 0), last + 1)]
+    return spark.read.schema(schema).option("basePath", table).parquet(*folders)
 
 
 def newest_rows(rows: DataFrame) -> DataFrame:
@@ -131,23 +147,19 @@ def read_transitions(spark: SparkSession, table: str) -> DataFrame:
 def requeue_backlog(stream: DataFrame, table: str, checkpoint: str, **options) -> StreamingQuery:
     """Keys that are not ready stay in the queue and join the next batch.
 
-    A batch's folder holds the whole queue after it: the former queue without
-    the keys that had news, and the keys of the batch that are not ready.
+    A batch writes the keys that had news; a snapshot holds the waiting keys only.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        queue = _batches(batch.sparkSession, table, STATE, batch_id - 1, batch_id - 1).drop("batch")
         latest = changes.latest_per_key(batch.select("key", "kind", "ts", "event_id", "phase"))
-        waiting = queue.join(latest.select("key"), "key", "left_anti")
-        _write_batch(waiting.unionByName(changes.backlog(latest)), table, batch_id)
+        _keep(latest, table, batch_id, STATE, lambda rows: changes.backlog(newest_rows(rows)))
 
     return run_batches(stream, step, checkpoint, **options)
 
 
 def read_backlog(spark: SparkSession, table: str) -> DataFrame:
-    """The queue after the last batch."""
-    last = spark.read.schema(f"{STATE}, batch BIGINT").parquet(table).agg(F.max("batch")).first()[0]
-    return _batches(spark, table, STATE, last, last).drop("batch")
+    """The queue after the last batch: the keys whose last batch left them not ready."""
+    return changes.backlog(newest_rows(_table(spark, table, STATE)))
 
 
 # Deletion in two steps ------------------------------------------------------------
@@ -171,13 +183,14 @@ def read_tombstones(spark: SparkSession, table: str, children: DataFrame) -> Dat
 
 
 def log_sink(stream: DataFrame, folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Log rows flushed at a fixed interval into the partitioned log table."""
-    writer = (
-        stream.writeStream.format("parquet")
-        .partitionBy("event_date")
-        .option("path", folder)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+    """Log rows flushed at a fixed interval into the log table, each flush in the order of time.
+
+    A flush has a folder of its own, so running it again changes nothing.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        logs.write_log(batch, f"{folder}/batch={batch_id}", "overwrite")
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": logs.FLUSH_INTERVAL}
     return writer.trigger(**trigger).start()

@@ -34,6 +34,36 @@ def transitions(rows):
     return done
 
 
+def queue_files(spark, folder, batches):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, FEED).coalesce(1).write.parquet(f"{folder}/part{i}")
+    return feeds.read_events(spark, f"{folder}/*", FEED, files_per_trigger=1)
+
+
+@pytest.mark.parametrize("every", [50, 2, 1])
+def test_queue_that_empties_fills_and_empties(spark, tmp_path, monkeypatch, every):
+    monkeypatch.setattr(feeds, "SNAPSHOT_EVERY", every)
+    at = datetime.datetime(2024, 1, 1)
+    ready = changes.READY_PHASE
+    feed = [[(1, "ADDED", at, 0, 1)], [(1, "MODIFIED", at, 1, ready)], [(2, "ADDED", at, 2, 1)], [(2, "MODIFIED", at, 3, ready), (3, "ADDED", at, 4, ready)]]
+    waiting = []
+    for k in range(1, 5):
+        stream = queue_files(spark, tmp_path / f"in{k}", feed[:k])
+        table = str(tmp_path / f"table{k}")
+        feeds.requeue_backlog(stream, table, str(tmp_path / f"checkpoint{k}")).awaitTermination()
+        waiting.append(sorted(r.key for r in feeds.read_backlog(spark, table).collect()))
+    assert waiting == [[1], [], [2], []]
+
+
+def test_queue_that_is_always_empty_and_stream_without_batch(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    stream = queue_files(spark, tmp_path / "in", [[(1, "ADDED", at, 0, changes.READY_PHASE)], [(2, "ADDED", at, 1, changes.READY_PHASE)]])
+    table = str(tmp_path / "table")
+    assert feeds.read_backlog(spark, table).count() == 0 and feeds.read_latest(spark, table).count() == 0
+    feeds.requeue_backlog(stream, table, str(tmp_path / "checkpoint")).awaitTermination()
+    assert feeds.read_backlog(spark, table).count() == 0
+
+
 def as_dict(df):
     return {r.key: (r.phase, r.last_transition, r.transitions, r.last_seen) for r in df.collect()}
 
