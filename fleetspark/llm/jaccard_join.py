@@ -36,6 +36,8 @@ SHORT_LIST = 16
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Bits of the map that tells which sets a later scan has to bring; a full map brings more sets, never fewer.
 MAP_BITS = 1 << 23
+#: So many first prefix shingles of each set go to all of its long lists; the whole prefix only where they leave a pair open.
+HEAD = 8
 _HOT_BIT = np.int64(1 << 39)
 
 
@@ -214,6 +216,8 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     left, right = place[: len(left)], place[len(left) :]
     sets = [sets[i] for i in used]
     size = np.array([len(s) for s in sets])
+    if not size.sum():
+        return np.zeros((len(left), len(right)), np.int64)
     owner, (_, which, count) = np.repeat(np.arange(len(sets)), size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = count[which] > 1
     number = np.cumsum(count > 1) - 1
@@ -298,6 +302,27 @@ def _pairs_of(rule: Rule, table: pa.Table):
     return table, cid, n, left, right, open_
 
 
+def _met_first(rule: Rule):
+    def run(table: pa.Table) -> pa.Table:
+        """The sets of a unit that may have a pair to verify there, judged by their first prefix shingles only.
+
+        Most pairs of like sets have met at one of these before.
+        """
+        left, right, same = _sides(table)
+        n = table.column("n").to_numpy()
+        token = table.column("token")[0].as_py()
+        open_ = 100 * np.minimum.outer(n[left], n[right]) >= rule.percent * np.maximum.outer(n[left], n[right])
+        if open_.any():
+            heads = [_unpack(p) for p in table.column("head").to_pylist()]
+            open_ &= _common([h[: np.searchsorted(h, token)] for h in heads], left, right) == 0
+        if same:
+            np.fill_diagonal(open_, False)
+        rows = np.unique(np.concatenate([left[open_.any(1)], right[open_.any(0)]]))
+        return table.take(pa.array(rows)).select(["token", "size_a", "block_a", "size_b", "block_b", "second", "cid"])
+
+    return run
+
+
 _UNIT = "token long, size_a int, block_a long, size_b int, block_b long"
 
 
@@ -420,16 +445,20 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     long_ = listed.where(F.col("sets") > SHORT_LIST)
     payload = classes.select("cid", "n", "prefix", "copies")
     unit = ["token", "size_a", "block_a", "size_b", "block_b"]
+    heads = classes.select("cid", "n", F.substring("prefix", 1, 5 * HEAD).alias("head"))
+    met = checkpointed(
+        _units(long_.select("token", "cid", "bucket"), rule).join(heads, "cid")
+        .groupBy(*unit).applyInArrow(_met_first(rule), f"{_UNIT}, second boolean, cid long")
+    )
     active = checkpointed(
-        _units(long_.select("token", "cid", "bucket"), rule).join(payload.drop("copies"), "cid")
-        .groupBy(*unit).applyInArrow(_active(rule), f"{_UNIT}, second boolean, cid long")
+        met.join(payload.drop("copies"), "cid").groupBy(*unit).applyInArrow(_active(rule), f"{_UNIT}, second boolean, cid long")
     )
 
     # short lists, by a join of at most SHORT_LIST rows a token
     short = listed.where(F.col("sets") <= SHORT_LIST).select("token", "cid", "n")
     other = short.select("token", F.col("cid").alias("b"), F.col("n").alias("n_b"))
     near = (F.least("n", "n_b") * 100) >= F.greatest("n", "n_b") * percent
-    met = (
+    pairs = (
         short.join(other, "token").where((F.col("cid") < F.col("b")) & near)
         .groupBy(F.col("cid").alias("a"), "b").agg(F.min("token").alias("token"), F.count("*").alias("shared"))
     )
@@ -440,14 +469,14 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     enough = F.when(
         F.col("last_a") <= F.col("last_b"), F.col("shared") + F.col("in_long_a") >= F.col("size_a") - 1 - (F.col("n_a") - overlap)
     ).otherwise(F.col("shared") + F.col("in_long_b") >= F.col("size_b") - 1 - (F.col("n_b") - overlap))
-    pairs = checkpointed(met.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b", "token"))
+    pairs = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b", "token"))
 
     # the whole sets of all that is to be verified
     wanted = active.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct().join(classes, "cid")
     wanted = checkpointed(wanted.select("cid", "sig", "n", "prefix", "copies"))
     chosen = spark.sparkContext.broadcast(_map_of(wanted.select("sig")))
-    whole = texts.mapInArrow(_chosen_sets(rule, chosen), "sig binary, grams binary").join(wanted, "sig")
-    whole = checkpointed(whole.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "copies", "grams"))))
+    whole = texts.mapInArrow(_chosen_sets(rule, chosen), "sig binary, grams binary").groupBy("sig").agg(F.first("grams").alias("grams"))
+    whole = checkpointed(whole.join(wanted, "sig").drop("sig"))
     blocks = active.join(whole, "cid").groupBy(*unit).applyInArrow(_verified(rule), "cid long, links long, root long")
     end = lambda s: whole.select(F.col("cid").alias(s), F.col("prefix").alias(f"prefix_{s}"), F.col("grams").alias(f"grams_{s}"))
     linked = checkpointed(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(_verified_pairs(rule), "a long, b long"))
