@@ -109,3 +109,26 @@ def test_size_change(spark):
     df = spark.createDataFrame([(1, 2), (2, 1), (1, 1), (0, 1), (1, 0), (None, 1)], "o bigint, n bigint")
     got = [r[0] for r in df.select(quantities.size_change(F.col("o"), F.col("n"))).collect()]
     assert got == [1, -1, 0, 0, 0, 0]
+
+
+@pytest.mark.parametrize(
+    "size, expected",
+    [
+        ("1Ei", 2**60), ("1E", 10**18), ("500m", 1), ("1500m", 2), ("1e3", 1000), ("2.5E2", 250), ("+1Gi", 2**30), (".5k", 500), ("-3", -3),
+        ("10000Pi", 2**63 - 1), ("9e99", 2**63 - 1), ("-9e99", -(2**63 - 1)), ("1e3k", None), ("Gi", None), ("", None), ("1Xi", None), (None, None),
+    ],
+)
+def test_quantities_of_all_forms(spark, size, expected):
+    assert values(spark, quantities.quantity_bytes, size) == [expected]
+
+
+def test_numbers_beyond_64_bits_are_written_out(spark):
+    assert values(spark, lambda c: text.number_text(c.cast("double")), "1e30", "-1e20", None) == ["1000000000000000019884624838656", "-100000000000000000000", None]
+
+
+def test_settings_that_are_no_json(spark):
+    from fleetspark.sources import settings_json
+
+    rows = spark.createDataFrame([(1, '{"a": 1e30, "b": "x"}'), (2, '{"a": '), (3, None), (4, "")], "id int, body string")
+    assert sorted(tuple(r)[:2] for r in settings_json.ingest_settings(rows, "body").collect()) == [(1, "a"), (1, "b")]
+    assert sorted(r.id for r in settings_json.malformed_settings(rows, "body").collect()) == [2, 4]
