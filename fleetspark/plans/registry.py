@@ -89,6 +89,13 @@ def drop_table_plan(spark: SparkSession, sf: str) -> DataFrame:
     return schema_sync.drop_table_plan(removed, fx.catalog_tables(spark, sf))
 
 
+@register
+def surplus_drop_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables to drop on the hosts of replicas that a smaller layout leaves out."""
+    host = F.expr("(cluster * 12 + shard * 4 + ordinal) % 50").alias("host")
+    return schema_sync.drop_table_plan(surplus_replicas(spark, sf).select(host).distinct(), fx.catalog_tables(spark, sf))
+
+
 @register
 def readiness(spark: SparkSession, sf: str) -> DataFrame:
     return cat.readiness(fx.cluster_members(spark, sf), "all-sharded")
@@ -285,6 +292,35 @@ def replica_status(spark: SparkSession, sf: str) -> DataFrame:
     return status.status_of(_replicas(spark, sf).select("inst", *reconcile.PLACE, "replica_name"), phases)
 
 
+@register
+def replica_status_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Status by names that several clusters share."""
+    short = F.concat_ws("-", F.col("cluster") % 50, "shard", "ordinal").alias("replica_name")
+    phases = status.replica_phase(fx.observed_replicas(spark, sf)).select(*reconcile.PLACE, "phase", "state", short)
+    return status.status_by_name(_replicas(spark, sf).select("inst", *reconcile.PLACE, short), phases)
+
+
+@register
+def declared_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sixth cluster names one of its shards itself."""
+    clusters = fx.fleet_layout(spark, sf)
+    declared = clusters.filter("cluster % 6 = 0").select(
+        "cluster", F.concat("installation_name", F.lit("-cluster-"), F.col("cluster") % 4).alias("shard_name")
+    )
+    return layout.expand_shards(clusters, declared).select("inst", "cluster", "shard", "shard_name")
+
+
+@register
+def annotated_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan where a change of annotations alone is a change; the snapshot's own does not count."""
+    team = lambda more: F.create_map(F.lit("team"), ((F.col("cluster") + more) % 5).cast("string"))
+    own = F.create_map(F.lit(reconcile.SNAPSHOT_ANNOTATION), F.lit("x"))
+    desired = _desired(spark, sf).withColumn("annotations", team(F.lit(0)))
+    moved = F.map_concat(team(F.when(F.col("generation") > 5, 1).otherwise(0)), own)
+    observed = fx.observed_replicas(spark, sf).withColumn("annotations", F.when(F.col("ordinal") != 3, moved))
+    return reconcile.reconcile_plan(desired, observed, fx.fleet_layout(spark, sf))
+
+
 @register
 def shard_phase(spark: SparkSession, sf: str) -> DataFrame:
     shards = layout.allocate_ordinals(layout.expand_shards(fx.fleet_layout(spark, sf)), fx.delete_slots(spark, sf))
@@ -631,6 +667,14 @@ def log_retention(spark: SparkSession, sf: str) -> DataFrame:
     return fx.log_rows(spark, sf).filter(logs.is_retained(LOG_NOW))
 
 
+@register
+def log_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """The days of a written log table that are past their time."""
+    folder = fresh_dir(spark, "log")
+    logs.write_log(fx.log_rows(spark, sf), folder)
+    return logs.expired_days(spark, folder, LOG_NOW)
+
+
 @register
 def short_id_collisions(spark: SparkSession, sf: str) -> DataFrame:
     ids = fx.installations(spark, sf).select("inst_name").distinct().select(

@@ -49,6 +49,29 @@ FROM old JOIN o USING (cluster, shard) LEFT JOIN n USING (cluster, shard)
 WHERE NOT EXISTS (SELECT 1 FROM fx_replicas r
                   WHERE r.cluster = old.cluster AND r.shard = old.shard AND r.ordinal = old.ordinal)
 """
+ORACLES["surplus_drop_plan"] = f"""
+WITH gone AS ({ORACLES["surplus_replicas"]})
+SELECT DISTINCT host, c.name, 'DROP TABLE IF EXISTS "' || c.database || '"."' || c.name || '"' AS statement
+FROM fx_catalog c WHERE c.engine LIKE 'Replicated%' AND host IN (SELECT (cluster * 12 + shard * 4 + ordinal) % 50 FROM gone)
+"""
+ORACLES["declared_shards"] = """
+WITH own AS (SELECT inst, cluster, cluster % 4 AS shard FROM fx_layout WHERE cluster % 6 = 0),
+made AS (SELECT inst, cluster, unnest(range(CASE WHEN cluster % 6 = 0 THEN 1 ELSE 0 END, greatest(shards_raw, 1))) AS shard FROM fx_layout)
+SELECT inst, cluster, shard::INT AS shard, cluster || '-cluster-' || shard AS shard_name
+FROM (SELECT inst, cluster, shard FROM own UNION SELECT inst, cluster, shard FROM made)
+"""
+ORACLES["annotated_plan"] = """
+SELECT p.inst, p.cluster, p.shard, p.ordinal,
+       CASE WHEN p.action = 'None' AND (p.ordinal = 3 OR o.generation > 5) THEN 'Update' ELSE p.action END AS action, p.snapshot
+FROM fx_plan p LEFT JOIN fx_observed o USING (cluster, shard, ordinal)
+"""
+ORACLES["replica_status_by_name"] = """
+WITH named AS (SELECT (cluster % 50) || '-' || shard || '-' || ordinal AS replica_name,
+                      first(phase ORDER BY cluster, shard, ordinal) AS phase, first(state ORDER BY cluster, shard, ordinal) AS state
+               FROM fx_phases GROUP BY 1)
+SELECT r.inst, r.cluster, r.shard, r.ordinal, (r.cluster % 50) || '-' || r.shard || '-' || r.ordinal AS replica_name, n.phase, n.state
+FROM fx_replicas r LEFT JOIN named n ON n.replica_name = (r.cluster % 50) || '-' || r.shard || '-' || r.ordinal
+"""
 ORACLES["reconcile_plan"] = "SELECT * FROM fx_plan"
 ORACLES["action_counts"] = """
 SELECT inst, sum(a)::BIGINT AS added, sum(u)::BIGINT AS updated, sum(d)::BIGINT AS deleted, sum(r)::BIGINT AS ready

@@ -79,6 +79,7 @@ SELECT i.inst, count(e.error) = 0 AS accepted, count(e.error)::INT AS error_coun
 FROM insts i LEFT JOIN errors e USING (inst) GROUP BY i.inst
 """
 ORACLES["log_retention"] = "SELECT * FROM fx_log WHERE event_date + INTERVAL 30 DAY > DATE '2024-02-10'"
+ORACLES["log_expiry"] = "SELECT DISTINCT event_date FROM fx_log WHERE event_date <= DATE '2024-02-10' - INTERVAL 30 DAY"
 ORACLES["short_id_collisions"] = """
 SELECT right(sha1(inst_name), 3) AS short_id, count(DISTINCT inst_name) AS names
 FROM fx_installations GROUP BY 1 HAVING count(DISTINCT inst_name) > 1
