@@ -584,9 +584,7 @@ def config_files(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("r_regionkey") == 0, "f3").otherwise(F.concat(F.lit("r"), "r_regionkey", F.lit(".xml"))).alias("file"),
         "content",
     )
-    owners = fx.installation_keys(spark, sf).select(F.col("inst").alias("owner"))
     return config_documents.config_files(
-        owners=owners,
         common_settings=rows.filter("path NOT LIKE 'users.d/%'"),
         files=rows,
         users=materialize(_user_settings(spark, sf), "users"),

@@ -148,7 +148,6 @@ def test_file_counts_of_a_configured_installation(spark):
     options = spark.createDataFrame([], "owner bigint, session_timeout_ms int, operation_timeout_ms int, root string, identity string")
     done = config_documents.config_files(
         coordination=documents.coordination_document(nodes, options).withColumnRenamed("owner", "cluster"),
-        owners=spark.createDataFrame([(1,)], "owner int"),
         common_settings=as_rows(spark, 1, {"compression/case/method": "zstd", "disable_internal_dns_cache": "1"}),
         files=own_files,
         users=as_rows(spark, 1, {"test/password": "qwerty"}),
@@ -160,8 +159,8 @@ def test_file_counts_of_a_configured_installation(spark):
         extra={"common": extra, "users": extra.filter("file < '02'"), "host": extra.filter("file < '00'")},
     )
     found = {(r.scope, r.owner): r.n for r in done.groupBy("scope", "owner").agg(F.count_distinct("file").alias("n")).collect()}
-    assert found.pop(("common", "1")) == 8
-    assert found.pop(("users", "1")) == 5
+    assert found.pop(("common", "1")) + found.pop(("common", "*")) == 8
+    assert found.pop(("users", "1")) + found.pop(("users", "*")) == 5
     # macros, coordination and the own HOST file
     assert found == {("host", f"i1-cluster-{s}-{o}"): 3 for s in (0, 1) for o in (0, 1)}
     zookeeper = text_of(done.filter("owner = 'i1-cluster-0-1' AND file = 'generated-zookeeper.xml'"))
@@ -297,7 +296,8 @@ def test_default_class(spark):
 def resized(spark, existing):
     claim = lambda size: spark.createDataFrame([(1, "c", "sc", size)], CLAIMS)
     volumes = spark.createDataFrame([(1, f"c-1-{i}", s) for i, s in existing.items()], "object int, volume string, size string")
-    plan = storage.volume_resize_plan(claim("1Gi"), claim("3Gi"), volumes, pods=F.lit(3))
+    classes = spark.createDataFrame([("sc", True, False)], "class string, allow_expansion boolean, is_default boolean")
+    plan = storage.volume_resize_plan(claim("1Gi"), claim("3Gi"), volumes, F.lit(3), classes)
     return sorted((r.volume, r.old_size, r.new_size, r.recreate) for r in plan.collect())
 
 
