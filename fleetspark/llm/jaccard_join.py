@@ -71,13 +71,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
             total = np.full(len(short), k, np.uint64)
             for i in range(k):
                 total += hashes[first[short] + i] * flat.POSITION[i]
-            grams, of = np.concatenate([grams, flat.mix(total)]), np.concatenate([of, short])
-    order = np.lexsort((grams, of))
-    grams, of = grams[order], of[order]
+            place = np.searchsorted(of, short)
+            grams, of = np.insert(grams, place, flat.mix(total)), np.insert(of, place, short)
+    cuts = np.searchsorted(of, np.arange(n_rows + 1))
+    for i in np.flatnonzero(np.diff(cuts) > 1):
+        grams[cuts[i] : cuts[i + 1]].sort()
     keep = np.ones(len(grams), bool)
     keep[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
-    grams, of = grams[keep], of[keep]
-    return grams, np.searchsorted(of, np.arange(n_rows + 1))
+    return grams[keep], np.concatenate([[0], np.cumsum(keep)])[cuts]
 
 
 def _signatures(grams: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
@@ -92,13 +93,35 @@ def _signatures(grams: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
     return out
 
 
-def _ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Place of shingles in the global order, 40 bits."""
-    key = (grams >> np.uint64(25)).astype(np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        key |= np.where(frequent[at] == grams, _HOT_BIT, 0)
-    return key
+def _is_frequent(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(grams), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
+
+
+def _prefixes(rule: Rule, grams: np.ndarray, cuts: np.ndarray, frequent: np.ndarray, rows: list[int]) -> dict[int, bytes]:
+    """The packed prefixes of some rows in the global order: 40 bits of each shingle's hash, frequent ones last.
+
+    The hashes are sorted, so the first shingles that are not frequent are the
+    prefix; mostly a stretch of twice its length holds them.
+    """
+    size = np.diff(cuts)
+    need = rule.prefix(size)
+    look = np.minimum(size, 2 * need + 16)
+    inside = np.arange(len(grams)) - np.repeat(cuts[:-1], size)
+    ahead = grams[inside < np.repeat(look, size)]
+    hot = _is_frequent(ahead, frequent)
+    at = np.concatenate([[0], np.cumsum(look)])
+    out = {}
+    for i in rows:
+        cold = ahead[at[i] : at[i + 1]][~hot[at[i] : at[i + 1]]][: need[i]]
+        if len(cold) == need[i]:
+            keys = (cold >> np.uint64(25)).astype(np.int64)
+        else:
+            own = grams[cuts[i] : cuts[i + 1]]
+            keys = np.sort((own >> np.uint64(25)).astype(np.int64) | np.where(_is_frequent(own, frequent), _HOT_BIT, 0))[: need[i]]
+        out[i] = _pack(keys)
+    return out
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -154,15 +177,13 @@ def _set_rows(rule: Rule, shared):
             for a, b, data, offsets in flat.slices(batch.column("text")):
                 grams, cuts = shingle_sets(data, offsets, rule.words)
                 sigs = _signatures(grams, cuts)
-                keys = _ordered(grams, shared.value)
-                prefixes = []
+                fresh = []
                 for i, sig in enumerate(sigs):
-                    if sig is None or sig in seen:
-                        prefixes.append(None)
-                        continue
-                    seen.add(sig)
-                    n = cuts[i + 1] - cuts[i]
-                    prefixes.append(_pack(np.sort(keys[cuts[i] : cuts[i + 1]])[: rule.prefix(n)]))
+                    if sig is not None and sig not in seen:
+                        seen.add(sig)
+                        fresh.append(i)
+                packed = _prefixes(rule, grams, cuts, shared.value, fresh)
+                prefixes = [packed.get(i) for i in range(b - a)]
                 yield pa.record_batch(
                     [batch.column("id").slice(a, b - a), pa.array(sigs, pa.binary()), pa.array(np.diff(cuts)), pa.array(prefixes, pa.binary())],
                     names=["id", "sig", "n", "prefix"],
