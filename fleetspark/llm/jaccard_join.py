@@ -33,7 +33,7 @@ FREQUENT = 64
 #: Index lists of at most so many sets are paired by a join, longer ones are compared in blocks.
 SHORT_LIST = 16
 #: Sets per block at most, and shingles per block, which makes blocks of large sets smaller.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Bits of the map that tells which sets a later scan has to bring; a full map brings more sets, never fewer.
 MAP_BITS = 1 << 23
 #: So many first prefix shingles of each set go to all of its long lists; the whole prefix only where they leave a pair open.
@@ -252,7 +252,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
         l, r = has[left], has[right]
         change = l.copy()
         change[1:] -= l[:-1]
-        if np.count_nonzero(change) * 4 < np.count_nonzero(l):
+        if np.count_nonzero(change) * 30 < change.size:  # else a matrix product is faster
             delta = np.zeros((len(left), len(right)), np.int64)
             r32 = r.astype(np.int32)
             for i in range(len(left)):
