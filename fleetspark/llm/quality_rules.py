@@ -129,7 +129,7 @@ def _features(batches):
 def _fit(slots, values, good, rounds=150):
     """Weights and bias of a ridge logistic regression by Adam over the whole sample."""
     sizes = np.array([len(s) for s in slots])
-    row, slot, value = np.repeat(np.arange(len(slots)), sizes), np.concatenate(slots), np.concatenate(values).astype(np.float64)
+    row, slot, value = np.repeat(np.arange(len(slots), dtype=np.int32), sizes), np.concatenate(slots), np.concatenate(values)
     share = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1))  # both classes weigh the same
     w, b = np.zeros(2 * SLOTS + 1), 0.0
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -178,9 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Q
         return QualityModel(np.zeros(2 * SLOTS, np.float32), 0.0, 1.0, 20.0 if not rows or good.all() else -20.0)
     slots = [np.frombuffer(r["slots"], np.int32) for r in rows]
     values = [np.frombuffer(r["values"], np.float32) for r in rows]
-    held = np.arange(len(rows)) % CALIBRATE_EVERY == 0
+    del rows
+    held = np.arange(len(slots)) % CALIBRATE_EVERY == 0
     if good[held].all() or not good[held].any() or good[~held].all() or not good[~held].any():
-        held = np.zeros(len(rows), bool)
+        held = np.zeros(len(slots), bool)
     fit = np.flatnonzero(~held)
     weights, bias = _fit([slots[i] for i in fit], [values[i] for i in fit], good[fit])
     on = np.flatnonzero(held) if held.any() else fit

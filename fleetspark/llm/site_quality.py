@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetspark.llm.components import checkpointed
+
 KEEP_FROM = 0.5
 #: Bounds of the prior strength, in documents.
 STRENGTH = (1.0, 1e6)
@@ -51,10 +53,11 @@ def site_posteriors(evidence: DataFrame, keep_from: float = KEEP_FROM) -> DataFr
     and adds nothing to it.  Each document's site posteriors leave its own
     evidence out.  Without any evidence all posteriors are one half.
 
-    Sums per (host, path) combine before the shuffle, and hosts are summed from
+    The rows are stored once, as they are read for the sums, the strengths and
+    the result.  Sums per (host, path) combine before the shuffle, and hosts are summed from
     paths, so a host with most of the rows is never gathered.
     """
-    rows = evidence.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("path", F.coalesce("path", F.lit("")))
+    rows = checkpointed(evidence.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("path", F.coalesce("path", F.lit(""))))
     paths = rows.groupBy("host", "path").agg(
         F.count("evidence").alias("n"), F.coalesce(F.sum("evidence"), F.lit(0.0)).alias("good"), F.coalesce(F.sum(F.col("evidence") * F.col("evidence")), F.lit(0.0)).alias("squares")
     )
