@@ -29,8 +29,11 @@ MAX_LANGUAGES = 200
 CALIBRATE_EVERY = 5
 #: A text is rejected if its cross-entropy lies beyond this share of the way from its language's own texts to those of
 #: other languages (with one language only: so many standard deviations above its own), or if its score is below MIN_SCORE.
-FOREIGN_SHARE = 0.7
+#: A text of n characters is allowed SHORT_ALLOWANCE / sqrt(n) more.  So texts of mixed languages, short ones and those with
+#: names or keys stay; what no model knows goes.
+FOREIGN_SHARE = 1.5
 MAX_DEVIATION = 8.0
+SHORT_ALLOWANCE = 4.0
 MIN_SCORE = 0.5
 UNKNOWN = "und"
 
@@ -78,7 +81,7 @@ class LanguageModel:
     contexts: list[np.ndarray]  # by order: sorted contexts
     backoff: list[np.ndarray]  # by order: log weight of the lower order, (contexts, languages)
     unseen: float  # log probability of a letter no language has
-    limit: np.ndarray  # by language: the largest cross-entropy of a text that is not rejected
+    limit: np.ndarray  # by language: the largest cross-entropy of a long text that is not rejected
     curve: tuple[float, float]  # the score is a logistic curve over the lead
 
     def entropies(self, codes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +133,7 @@ class LanguageModel:
         own = safe[np.arange(len(n)), best]
         lead = lead_of(safe, n)
         score = 1 / (1 + np.exp(-np.clip(self.curve[0] * lead + self.curve[1], -30, 30)))
-        far = own > self.limit[best]
+        far = own > self.limit[best] + SHORT_ALLOWANCE / np.sqrt(np.maximum(n, 1))
         score = np.where(none, 0.0, score)
         return np.where(none, -1, best), score, none | far | (score < MIN_SCORE)
 
