@@ -24,9 +24,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 #: Distinct words that a worker keeps encoded; beyond that it starts anew.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 250_000
+#: New words are encoded in lots of this many, as the libraries' results are large.
+LOT_WORDS = 10_000
 #: Bytes of text worked on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 @dataclass
@@ -194,9 +196,11 @@ class Coder:
         There each word stands behind a line feed, which is a word of its own,
         so that neither the added prefix nor the trimming of spaces touches it.
         """
-        fresh, self.numbers.fresh = [w[0] if isinstance(w, tuple) else MARK + w for w in self.numbers.fresh], []
-        if not fresh:
-            return
+        keys, self.numbers.fresh = self.numbers.fresh, []
+        for at in range(0, len(keys), LOT_WORDS):
+            self._learn([w[0] if isinstance(w, tuple) else MARK + w for w in keys[at : at + LOT_WORDS]])
+
+    def _learn(self, fresh: list[str]) -> None:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
         checked = [ids[self.lead :] for ids in self.reference.encode(["\n" + w for w in fresh], num_threads=2)]
         self.same = np.concatenate([self.same, np.array([a == b for a, b in zip(encoded, checked)], bool)])
