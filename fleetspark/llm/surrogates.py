@@ -5,7 +5,9 @@ ways of writing one entity meet.  Each distinct entity of the corpus gets one
 surrogate by a keyed hash: digits for digits, letters of the same script and
 case, names of the same gender.  A collision check over all entities keeps
 surrogates distinct from one another and from everything that was found; what
-collides draws again.  Each mention is then rewritten in its own format.
+collides draws again from a wider range, and what is still open at the end gets
+values by number that nobody has.  Each mention is then rewritten in its own
+format.
 """
 
 from __future__ import annotations
@@ -54,6 +56,13 @@ HINT = rf"[@+]|\d[\d .()-]*\d|(?i:token|secret|passw|pwd|key|auth)|\b(?:{_TITLES
 
 _ALL = [(kind, re.compile(pattern)) for kind, pattern in PATTERNS.items()]
 _DIGITS = {"phone", "card", "ssn"}
+#: Shorter numbers behind a plus sign are counts, years and the like.
+MIN_PHONE_DIGITS = 7
+_SYMBOLS = "_+/=.~-"
+_FIXED = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-)?")
+_BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
+# Syllables of equal length, so that numbers written with them differ.
+_EVEN = {"latin": [c + v for c in "bdfghjklmnprstvz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"]}
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -73,6 +82,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "iban" and sum(c.isdigit() for c in value) < 8:
                 continue
+            if kind == "phone" and sum(c.isdigit() for c in value) < MIN_PHONE_DIGITS:
+                continue
+            # the line of a form or a mask; other values of symbols alone can be passwords
+            if kind == "secret" and not any(c.isalnum() for c in value) and len(set(value)) < 3:
+                continue
             taken.append((a, b, kind, _canonical(kind, value, m.group("t") if kind == "name" else "")))
     rank = {kind: i for i, kind in enumerate(PATTERNS)}
     out: list[tuple[int, int, str, str]] = []
@@ -135,36 +149,49 @@ def _shaped(value: str, draw: _Stream, letters: str = "abcdefghijklmnopqrstuvwxy
     return "".join(out)
 
 
+def _private(address: str) -> int:
+    """How many leading parts of an address mark a private net."""
+    parts = address.split(".")
+    return 1 if parts[0] == "10" else 2 if parts[:2] == ["192", "168"] else 0
+
+
 def surrogate(key: str, kind: str, canonical: str, attempt: int) -> str:
-    """The canonical form of an entity's stand-in; later attempts of small kinds draw from a wider range."""
+    """The canonical form of an entity's stand-in; later attempts draw from a wider range.
+
+    From the fourth attempt on phones, emails, names and secrets get longer and
+    private addresses come from 10/8; from the eighteenth on the other numbers
+    get longer too and addresses come from the reserved 240/4.
+    """
     draw = _Stream(key, kind, canonical, str(attempt))
+    wider, much_wider = max(0, attempt - 2), max(0, attempt - 16)
     if kind in _DIGITS:
         keep = 1 if kind == "phone" or canonical[0] == "0" else 0
+        valid = kind == "card" and _luhn(canonical) == 0
+        canonical += "0" * (wider if kind == "phone" else much_wider)
         digits = canonical[:keep] + "".join(
             str(2 + draw.below(8)) if i == 0 else str(draw.below(10)) for i, _ in enumerate(canonical[keep:])
         )
         if kind == "card":
             digits = canonical[0] + digits[1:]
-            if _luhn(canonical) == 0:
-                digits = digits[:-1] + "0"
-                digits = digits[:-1] + str((10 - _luhn(digits)) % 10)
+            if valid:
+                digits = _checked(digits[:-1])
         return digits
     if kind == "ipv4":
-        parts = canonical.split(".")
-        private = 1 if parts[0] == "10" else 2 if parts[:2] == ["192", "168"] else 0
-        return ".".join([*parts[:private], *(str(1 + draw.below(254)) for _ in parts[private:])])
+        parts, private = canonical.split("."), _private(canonical)
+        kept = [str(240 + draw.below(16))] if much_wider else ["10"] if wider and private else parts[:private]
+        return ".".join([*kept, *(str(1 + draw.below(254)) for _ in parts[len(kept) :])])
     if kind == "iban":
-        return canonical[:2] + _shaped(canonical[2:], draw)
+        return canonical[:2] + _shaped(canonical[2:] + "0" * much_wider, draw)
     if kind == "email":
         local, _, domain = canonical.rpartition("@")
         labels = domain.split(".")
-        wide = "".join("abcdefghijklmnopqrstuvwxyz"[draw.below(26)] for _ in range(max(0, attempt - 2)))
+        wide = "".join("abcdefghijklmnopqrstuvwxyz"[draw.below(26)] for _ in range(wider))
         return _shaped(local, draw) + wide + "@" + ".".join([*(_shaped(x, draw) for x in labels[:-1]), labels[-1]])
     if kind == "name":
         gender, script, name = canonical.split(":", 2)
         parts = []
         for i, word in enumerate(name.split(" ")):
-            size = max(1, min(3, len(word) // 3)) + max(0, attempt - 2)
+            size = max(1, min(3, len(word) // 3)) + wider
             core = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(size))
             ends = ENDINGS[script, gender]
             # the given name shows the gender; a name alone is a family name and shows none in Latin script
@@ -174,10 +201,54 @@ def surrogate(key: str, kind: str, canonical: str, attempt: int) -> str:
     hexadecimal = re.fullmatch("[0-9a-f]+", canonical) or re.fullmatch("[0-9A-F]+", canonical)
     if hexadecimal:
         small = canonical.lower() == canonical
-        text = "".join("0123456789abcdef"[draw.below(16)] for _ in canonical)
+        text = "".join("0123456789abcdef"[draw.below(16)] for _ in canonical + "0" * wider)
         return text if small else text.upper()
-    fixed = re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-)?", canonical).group()
-    return fixed + _shaped(canonical[len(fixed) :], draw)
+    fixed = _FIXED.match(canonical).group()
+    if not any(c.isalnum() for c in canonical):
+        return "".join(_SYMBOLS[draw.below(len(_SYMBOLS))] for _ in canonical + "_" * wider)
+    return fixed + _shaped(canonical[len(fixed) :] + ("" if fixed in ("AKIA", "ASIA") else "a" * wider), draw)
+
+
+def _checked(digits: str) -> str:
+    """Digits with the check digit that makes them a valid card number."""
+    return digits + str((10 - _luhn(digits + "0")) % 10)
+
+
+def _written(number: int, signs, size: int) -> str:
+    """A number in these signs, with at least size of them."""
+    out = []
+    while number or len(out) < size:
+        number, at = divmod(number, len(signs))
+        out.append(signs[at])
+    return "".join(reversed(out))
+
+
+def numbered(kind: str, canonical: str, number: int) -> str:
+    """A stand-in that no other number gives in this kind, whatever the entities are."""
+    if kind == "card":
+        body = canonical[0] + _written(number, _BASE36[:10], len(canonical) - 2)
+        valid = _checked(body)
+        return valid if _luhn(canonical) == 0 else body + str((int(valid[-1]) + 1) % 10)
+    if kind in _DIGITS:
+        return canonical[0] + _written(number, _BASE36[:10], len(canonical) - 1)
+    if kind == "ipv4":
+        if number >= 2**32:
+            raise RuntimeError("all addresses are taken")
+        value = (240 * 2**24 + number) % 2**32
+        return ".".join(str(value >> shift & 255) for shift in (24, 16, 8, 0))
+    if kind == "iban":
+        return canonical[:2] + _written(number, _BASE36[:10], len(canonical) - 2)
+    if kind == "email":
+        return "u" + _written(number, _BASE36, 6) + "@mail." + canonical.rpartition(".")[2]
+    if kind == "name":
+        gender, script, name = canonical.split(":", 2)
+        ends = ENDINGS[script, gender]
+        family = _written(number, _EVEN[script], 3) + (ends[0] if script == "cyrillic" else "")
+        given = [_EVEN[script][number % len(_EVEN[script])] + ends[0]] * name.count(" ")
+        return f"{gender}:{script}:{' '.join([*given, family])}"
+    fixed = _FIXED.match(canonical).group()
+    text = _written(number, _BASE36, max(8, len(canonical) - len(fixed)))
+    return fixed + (text.upper() if fixed in ("AKIA", "ASIA") else text)
 
 
 def rendered(kind: str, mention: str, canonical: str) -> str:
@@ -188,7 +259,7 @@ def rendered(kind: str, mention: str, canonical: str) -> str:
         return out + "".join(digits)
     if kind == "iban":
         chars = iter(canonical)
-        return "".join(c if c == " " else next(chars) for c in mention)
+        return "".join(c if c == " " else next(chars) for c in mention) + "".join(chars)
     if kind == "name":
         words = canonical.split(":", 2)[2].split(" ")
         words = [w.upper() if mention.isupper() and len(mention) > 1 else w.capitalize() for w in words]
@@ -215,7 +286,8 @@ def surrogate_table(entities: DataFrame, key: str, rounds: int = 64) -> DataFram
 
     A drawn surrogate is refused if it is an entity itself, if it has been
     given before, or if a smaller entity draws it in the same round; who is
-    refused draws again.
+    refused draws again.  Who is still open after all rounds gets a free value
+    by number.
     """
 
     def draw(attempt):
@@ -237,7 +309,46 @@ def surrogate_table(entities: DataFrame, key: str, rounds: int = 64) -> DataFram
         open_ = checkpointed(drawn.select("kind", "canonical").join(given, ["kind", "canonical"], "left_anti"))
         if open_.isEmpty():
             return given
-    raise RuntimeError("an entity found no free surrogate")
+    return checkpointed(given.unionByName(_enumerated(open_, real, given)))
+
+
+def _enumerated(open_: DataFrame, real: DataFrame, given: DataFrame) -> DataFrame:
+    """(kind, canonical, surrogate) of the open entities, by numbers whose values are neither real nor given.
+
+    The entity at place p of n in sorted order tries the numbers p, n + p,
+    2n + p and so on, twice as many in each round, and takes the first free one;
+    as these numbers are its own, only real and given values stand in the way.
+    """
+
+    def tries(first, many, n):
+        def run(batches):
+            for batch in batches:
+                kinds, values, places = (batch.column(c).to_pylist() for c in ("kind", "canonical", "place"))
+                for at in range(first, first + many):
+                    drawn = [numbered(k, v, at * n + p) for k, v, p in zip(kinds, values, places)]
+                    yield pa.record_batch([*batch.columns, pa.array(drawn, pa.string()), pa.array([at] * len(drawn), pa.int64())], names=["kind", "canonical", "place", "surrogate", "at"])
+
+        return run
+
+    spark = open_.sparkSession
+    mark = F.monotonically_increasing_id()
+    rows = checkpointed(open_.orderBy("kind", "canonical").select("kind", "canonical", F.shiftright(mark, 33).alias("part"), mark.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")))
+    n, offsets = 0, []
+    for r in sorted(rows.groupBy("part").count().collect()):
+        offsets.append((r["part"], n))
+        n += r["count"]
+    starts = spark.createDataFrame(offsets, "part long, start long")
+    left = checkpointed(rows.join(starts, "part").select("kind", "canonical", (F.col("start") + F.col("pos")).alias("place")))
+    done = spark.createDataFrame([], "kind string, canonical string, surrogate string")
+    first, many = 0, 1
+    while not left.isEmpty():
+        drawn = left.mapInArrow(tries(first, many, n), "kind string, canonical string, place long, surrogate string, at long")
+        free = drawn.join(real, ["kind", "surrogate"], "left_anti").join(given, ["kind", "surrogate"], "left_anti")
+        found = free.groupBy("kind", "canonical").agg(F.min_by("surrogate", "at").alias("surrogate"))
+        done = checkpointed(done.unionByName(found))
+        left = checkpointed(left.join(done, ["kind", "canonical"], "left_anti"))
+        first, many = first + many, many * 2
+    return done
 
 
 def _rewritten(batches):
