@@ -5,8 +5,8 @@ space.  The n-grams of all languages lie in one sorted array of 64-bit hashes
 per order, beside a matrix of log probabilities with a column per language; a
 text's cross-entropies come from binary searches in these arrays.  The language
 with the least cross-entropy per character wins.  A calibrated curve over its
-lead gives the score, and texts that even the winner finds too unlikely are
-rejected.
+lead gives the score.  For rejection a text is cut into stretches; it goes if
+more than half of it is unlikelier to every language than its own texts are.
 """
 
 from __future__ import annotations
@@ -27,13 +27,19 @@ DOCS_PER_LANGUAGE = 1500
 MAX_LANGUAGES = 200
 #: Every fifth document of the sample calibrates and is not counted.
 CALIBRATE_EVERY = 5
-#: A text is rejected if its cross-entropy lies beyond this share of the way from its language's own texts to those of
-#: other languages (with one language only: so many standard deviations above its own), or if its score is below MIN_SCORE.
-#: A text of n characters is allowed SHORT_ALLOWANCE / sqrt(n) more.  So texts of mixed languages, short ones and those with
-#: names or keys stay; what no model knows goes.
-FOREIGN_SHARE = 1.5
-MAX_DEVIATION = 8.0
-SHORT_ALLOWANCE = 4.0
+#: Labels with fewer documents are counted whole; their language takes the widest limit of rejection of the others.
+LEAST_TO_SPLIT = 2 * CALIBRATE_EVERY
+#: A text's typical entropy is the median over its stretches of about STRETCH characters, each in the language that suits it
+#: best.  So texts of several known languages stay, and those with names or keys in less than half of them.
+STRETCH = 64
+#: A text of n characters is rejected if its typical entropy lies above its language's by more than w * sqrt(1/n + 1/LONG), or
+#: if its score is below MIN_SCORE.  w is the KEPT quantile over the held-out texts of the language, at least DEVIATIONS
+#: standard deviations (by the quartiles), as a small sample does not show the quantile; and for texts of LONG characters at
+#: most HALF_WAY to the texts of other languages.
+KEPT = 0.999
+DEVIATIONS = 10.0
+LONG = 1000
+HALF_WAY = 0.5
 MIN_SCORE = 0.5
 UNKNOWN = "und"
 
@@ -81,11 +87,16 @@ class LanguageModel:
     contexts: list[np.ndarray]  # by order: sorted contexts
     backoff: list[np.ndarray]  # by order: log weight of the lower order, (contexts, languages)
     unseen: float  # log probability of a letter no language has
-    limit: np.ndarray  # by language: the largest cross-entropy of a long text that is not rejected
+    usual: np.ndarray  # by language: the typical entropy of its own texts
+    allowed: np.ndarray  # by language: how far a text may lie above it, times what its length gives
     curve: tuple[float, float]  # the score is a logistic curve over the lead
 
     def entropies(self, codes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each row in each language (nan without letters), and the characters."""
+        return self.measured(codes, rows, n_rows)[:2]
+
+    def measured(self, codes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As entropies, and the excess of each row's median stretch over the usual entropy of the stretch's language."""
         width = len(self.languages)
         total = np.zeros((n_rows, width))
         order = len(self.hashes)
@@ -121,23 +132,43 @@ class LanguageModel:
             total[:, j] = np.bincount(rows[todo], given[:, j], minlength=n_rows)
         lettered = np.bincount(rows, codes != 32, minlength=n_rows) > 0
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(lettered[:, None], -total / n[:, None], np.nan), n
-
-    def decide(self, entropy: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            entropy = np.where(lettered[:, None], -total / n[:, None], np.nan)
+        return entropy, n, self._excess(given, rows[todo], n)
+
+    def _excess(self, given: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The median over a row's stretches of their least entropy above a language's usual one; 0 for empty rows."""
+        pieces = np.maximum(1, (n + STRETCH // 2) // STRETCH).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(pieces)])
+        starts = np.concatenate([[0], np.cumsum(n)])[:-1]
+        piece = first[rows] + (np.arange(len(rows)) - starts[rows]) * pieces[rows] // n[rows]
+        size = np.maximum(np.bincount(piece, minlength=first[-1]), 1)
+        least = np.full(first[-1], np.inf)
+        for j in range(len(self.languages)):
+            least = np.minimum(least, -np.bincount(piece, given[:, j], minlength=first[-1]) / size - self.usual[j])
+        owner = np.repeat(np.arange(len(n)), pieces)
+        order = np.lexsort((least, owner))
+        middle = least[order][first[:-1] + (pieces - 1) // 2] if len(n) else np.empty(0)
+        return np.where(n > 0, middle, 0.0)
+
+    def decide(self, entropy: np.ndarray, n: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number (-1: none), score and rejection of each row."""
         none = np.isnan(entropy).any(1) if len(self.languages) else np.ones(len(n), bool)
         if not len(self.languages):
             return np.full(len(n), -1), np.zeros(len(n)), none
         safe = np.where(none[:, None], 0.0, entropy)
         best = safe.argmin(1)
-        own = safe[np.arange(len(n)), best]
         lead = lead_of(safe, n)
         score = 1 / (1 + np.exp(-np.clip(self.curve[0] * lead + self.curve[1], -30, 30)))
-        far = own > self.limit[best] + SHORT_ALLOWANCE / np.sqrt(np.maximum(n, 1))
+        far = excess > self.allowed[best] * _spread(n)
         score = np.where(none, 0.0, score)
         return np.where(none, -1, best), score, none | far | (score < MIN_SCORE)
 
 
+def _spread(n: np.ndarray) -> np.ndarray:
+    """How much the entropy of texts of n characters varies, but for a factor."""
+    return np.sqrt(1 / np.maximum(n, 1) + 1 / LONG)
+
+
 def lead_of(entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
     """How far the best language is ahead, in nats per character, weighted by the length's root."""
     if entropy.shape[1] < 2:
@@ -184,10 +215,10 @@ def _calibration_rows(model):
         for batch in batches:
             for a, b, data, offsets in flat.slices(batch.column("text")):
                 codes, rows = letters(data, offsets)
-                entropy, n = m.entropies(codes, rows, b - a)
+                entropy, n, excess = m.measured(codes, rows, b - a)
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("lang").slice(a, b - a), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(n.astype(np.int64))],
-                    names=["doc_id", "lang", "entropy", "n"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("lang").slice(a, b - a), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(n.astype(np.int64)), pa.array(excess)],
+                    names=["doc_id", "lang", "entropy", "n", "excess"],
                 )
 
     return run
@@ -268,7 +299,8 @@ def _sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
     chosen = F.lit(False)
     for name, limit in limits.items():
         chosen = chosen | ((F.col("lang") == name) & (F.col("mark") <= F.lit(limit)))
-    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE_EVERY)) == 0
+    rare = [r["lang"] for r in sizes if r["count"] < LEAST_TO_SPLIT]
+    calibrates = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE_EVERY)) == 0) & ~F.col("lang").isin(rare)
     return labelled.where(chosen).select("doc_id", "text", "lang", calibrates.alias("calibrates"))
 
 
@@ -277,7 +309,9 @@ def train(docs: DataFrame, learn: Column, per_language: int = DOCS_PER_LANGUAGE)
 
     About per_language documents of each language are read, so the counts that
     come to the driver are bounded by their characters.  Null ids, texts and
-    labels teach nothing; without any the model knows no language.
+    labels teach nothing; without any the model knows no language.  Labels too
+    rare to split (LEAST_TO_SPLIT) are counted whole and take the widest limit
+    of the others; without any held-out text nothing is rejected as unlikely.
     """
     spark = docs.sparkSession
     sample = _sample(docs, learn, per_language)
@@ -298,11 +332,11 @@ def train(docs: DataFrame, learn: Column, per_language: int = DOCS_PER_LANGUAGE)
                 counts[name][k] = (np.frombuffer(b"".join(raw[pick]), "<u4").reshape(-1, k), n[pick])
     languages = list(counts)
     if not languages:
-        return LanguageModel([], [], [], [], [], 0.0, np.empty(0), (1.0, 0.0))
+        return LanguageModel([], [], [], [], [], 0.0, np.empty(0), np.empty(0), (1.0, 0.0))
     arrays = _kneser_ney(counts, languages)
-    model = LanguageModel(languages, *arrays, np.full(len(languages), np.inf), (1.0, 0.0))
+    model = LanguageModel(languages, *arrays, np.zeros(len(languages)), np.full(len(languages), np.inf), (1.0, 0.0))
     shared = spark.sparkContext.broadcast(model)
-    held = sample.where("calibrates").select("doc_id", "text", "lang").mapInArrow(_calibration_rows(shared), "doc_id long, lang string, entropy array<double>, n long").collect()
+    held = sample.where("calibrates").select("doc_id", "text", "lang").mapInArrow(_calibration_rows(shared), "doc_id long, lang string, entropy array<double>, n long, excess double").collect()
     held = sorted(r for r in held if r["n"] and r["lang"] in counts and not np.isnan(r["entropy"][0]))
     return _calibrated(model, held)
 
@@ -321,11 +355,24 @@ def _calibrated(model: LanguageModel, held: list) -> LanguageModel:
             hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
             beta -= np.clip(np.linalg.solve(hessian, design.T @ (p - y) + 1e-2 * (beta - [1.0, 0.0])), -1, 1)
         model.curve = (max(float(beta[0]), 1e-3), float(beta[1]))
+        # until the usual entropies are set, the excess is the median stretch's own entropy
+        typical = np.array([r["excess"] for r in held])
         for j in range(len(model.languages)):
-            mine = entropy[truth == j, j]
-            if len(mine):
+            mine = (truth == j) & right
+            if mine.any():
+                model.usual[j] = np.median(typical[mine])
+                far = (typical[mine] - model.usual[j]) / _spread(n[mine])
+                quarters = np.quantile(far, [0.25, 0.75])
+                allowed = max(np.quantile(far, KEPT), DEVIATIONS * (quarters[1] - quarters[0]) / 1.349, 1.0)
                 others = entropy[truth != j, j]
-                model.limit[j] = mine.mean() + (FOREIGN_SHARE * (others.mean() - mine.mean()) if len(others) else MAX_DEVIATION * max(mine.std(), 0.1))
+                if len(others):
+                    allowed = min(allowed, HALF_WAY * max(others.mean() - model.usual[j], 0.0) / _spread(np.array([LONG]))[0])
+                model.allowed[j] = allowed
+        # a language without held-out texts is measured like the least predictable one; with few n-grams its model is nearly
+        # uniform and would win every text that no model knows
+        unset = np.isinf(model.allowed)
+        if unset.any() and not unset.all():
+            model.usual[unset], model.allowed[unset] = model.usual[~unset].max(), model.allowed[~unset].max()
     return model
 
 
@@ -347,10 +394,10 @@ def identify(docs: DataFrame, model: LanguageModel, carry: list[str] | None = No
             for a, b, data, offsets in flat.slices(batch.column("text")):
                 codes, rows = letters(data, offsets)
                 if m.languages:
-                    entropy, n = m.entropies(codes, rows, b - a)
+                    entropy, n, excess = m.measured(codes, rows, b - a)
                 else:
-                    entropy, n = np.empty((b - a, 0)), np.zeros(b - a)
-                best, score, rejected = m.decide(entropy, n)
+                    entropy, n, excess = np.empty((b - a, 0)), np.zeros(b - a), np.zeros(b - a)
+                best, score, rejected = m.decide(entropy, n, excess)
                 yield pa.record_batch(
                     [batch.column("doc").slice(a, b - a), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)],
                     names=["doc", "lang_pred", "score", "rejected"],

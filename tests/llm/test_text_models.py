@@ -100,6 +100,33 @@ def test_language_of_unseen_and_odd_texts(spark, language_model):
     assert language_id.identify(docs.limit(0), language_model).count() == 0
 
 
+FRENCH = "le la les des et est une que qui dans pour pas sur avec ce il elle nous vous sont mais plus par je son ses cette tout faire comme être avoir même aussi leur bien où sans peut deux très après temps autre entre toujours jour homme femme chose monde vie encore jamais rien".split()
+DUTCH = "de het een en van ik te dat die in hij zijn niet op aan met als voor had er maar om hem dan zou of wat mijn men dit zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze want nog zal zij nu ge geen omdat iets worden toch al waren veel meer doen toen moet ben zonder kan hun dus alles onder ja eens hier wie werd altijd doch wordt wezen kunnen ons zelf tegen na reeds wil kon niets uw iemand geweest andere".split()
+
+
+def test_texts_of_a_language_left_out_are_rejected(spark):
+    """Dutch is of the same script and near to two of the learned languages; noise has their letters only."""
+    words = {"en": ENGLISH, "de": GERMAN, "fr": FRENCH}
+    docs = spark.createDataFrame([(1000 * k + i, said(w, 150, 77 * k + i), lang) for k, (lang, w) in enumerate(words.items()) for i in range(150)] + [(9000, "ναι και το νερό", "el")], "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True))
+    assert model.languages == ["de", "el", "en", "fr"]
+    noise = random.Random(3)
+    new = [(i, said(DUTCH, 150, i), True) for i in range(100)]
+    new += [(100 + i, "".join(noise.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(800)), True) for i in range(20)]
+    new += [(200 + 1000 * k + i, said(w, 150, 40_000 + 500 * k + i), False) for k, w in enumerate(words.values()) for i in range(300)]
+    new += [(5000 + i, said(ENGLISH, 80, i) + " " + said(GERMAN, 75, i), False) for i in range(20)]
+    new += [(6000 + i, said(FRENCH, 80, i) + " key=" + "".join(noise.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150)), False) for i in range(20)]
+    got = {r.doc.doc_id: r.rejected for r in language_id.identify(spark.createDataFrame(new, "doc_id long, text string, gone boolean"), model).collect()}
+    wrong = [i for i, _, gone in new if got[i] != gone]
+    assert [i for i in wrong if i < 200 or i >= 5000] == [] and len(wrong) <= 2
+
+
+def test_a_label_of_one_document_is_learned(spark):
+    rows = [(i, said(ENGLISH, 20, i), "en") for i in range(20)] + [(100 + i, said(GERMAN, 20, i), f"l{i}") for i in range(20)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.languages) == 21
+
+
 def test_language_probabilities_sum_to_one(language_model):
     """After any context the letters of all languages and one unknown letter share the probability."""
     m = language_model
