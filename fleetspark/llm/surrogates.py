@@ -1,7 +1,8 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
 Entities are found by patterns and brought to a canonical form, so that all
-ways of writing one entity meet.  Each distinct entity of the corpus gets one
+ways of writing one entity meet.  Names are found behind a title; within the
+same text their full and family names are found without it too.  Each distinct entity of the corpus gets one
 surrogate by a keyed hash: digits for digits, letters of the same script and
 case, names of the same gender.  A collision check over all entities keeps
 surrogates distinct from one another and from everything that was found; what
@@ -55,6 +56,8 @@ PATTERNS = {
 HINT = rf"[@+]|\d[\d .()-]*\d|(?i:token|secret|passw|pwd|key|auth)|\b(?:{_TITLES})\b|(?:AKIA|ASIA)|gh[pousr]_|sk-|xox"
 
 _ALL = [(kind, re.compile(pattern)) for kind, pattern in PATTERNS.items()]
+_WORD = re.compile(rf"(?<![\w-])(?<!\w['’]){_NAME}")
+_GAP = re.compile(r"[ \u00a0]|\r?\n")
 _DIGITS = {"phone", "card", "ssn"}
 #: Shorter numbers behind a plus sign are counts, years and the like.
 MIN_PHONE_DIGITS = 7
@@ -78,6 +81,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 value = text[a:b]
                 if value.startswith("@"):
                     continue
+            if kind == "name":
+                value = _bare(value)
+                b = a + len(value)
             if kind == "card" and sum(c.isdigit() for c in value) < 13:
                 continue
             if kind == "iban" and sum(c.isdigit() for c in value) < 8:
@@ -94,13 +100,66 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         at = bisect.bisect(out, item)
         if (at == 0 or out[at - 1][1] <= item[0]) and (at == len(out) or item[1] <= out[at][0]):
             out.insert(at, item)
-    return out
+    return _named_again(text, out) if any(item[2] == "name" for item in out) else out
+
+
+def _bare(name: str) -> str:
+    """A name without what a dash or a possessive adds."""
+    name = name.split("--")[0]
+    return re.sub(r"(?<=\w)['’][sS]$", "", name)
+
+
+def _named_again(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The entities with those of one person joined, and the names of the text that stand without a title.
+
+    A family name means the person of that full name and gender who is named
+    last before it, else first behind it; without a title the gender is open.
+    Without a full name it is an entity of its own.
+    """
+    full: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    for a, _, kind, canonical in found:
+        if kind == "name" and " " in canonical:
+            full.setdefault((canonical[0], canonical.rpartition(" ")[2]), []).append((a, canonical))
+    joined: list[tuple[int, int, str, str]] = []
+    known: dict[str, list[tuple[int, str]]] = {}  # by name without title: places and entities
+    for a, b, kind, canonical in found:
+        if kind == "name":
+            name = canonical.split(":", 2)[2]
+            if " " not in name and (canonical[0], name) in full:
+                canonical = _nearest(full[canonical[0], name], a)
+            for form in {name, name.rpartition(" ")[2]}:
+                known.setdefault(form, []).append((a, canonical))
+        joined.append((a, b, kind, canonical))
+    last = None
+    more = []
+    for m in _WORD.finditer(text):
+        word = _bare(m.group())
+        a, b, form = m.start(), m.start() + len(word), word.casefold()
+        if form in known:
+            both = f"{last[2]} {form}" if last and _GAP.fullmatch(text, last[1], a) else ""
+            if both in known:
+                more.append((last[0], b, "name", _nearest(known[both], last[0])))
+            else:
+                more.append((a, b, "name", _nearest(known[form], a)))
+        last = (a, b, form)
+    for item in more:
+        at = bisect.bisect(joined, item)
+        if (at == 0 or joined[at - 1][1] <= item[0]) and (at == len(joined) or item[1] <= joined[at][0]):
+            joined.insert(at, item)
+    return joined
+
+
+def _nearest(places: list[tuple[int, str]], at: int) -> str:
+    """The entity last named before a place, else the first behind it; places are in order."""
+    return places[max(0, bisect.bisect(places, at, key=lambda x: x[0]) - 1)][1]
 
 
 def _canonical(kind: str, value: str, title: str) -> str:
     """One text for all ways of writing an entity; a name starts with its gender and script."""
     if kind in _DIGITS:
-        return "".join(c for c in value if c.isdigit())
+        digits = "".join(c for c in value if c.isdigit())
+        # the two national ways of writing are North American
+        return "1" + digits if kind == "phone" and not value.startswith("+") else digits
     if kind == "email":
         return value.lower()
     if kind == "iban":
@@ -254,7 +313,7 @@ def numbered(kind: str, canonical: str, number: int) -> str:
 def rendered(kind: str, mention: str, canonical: str) -> str:
     """A surrogate in the format of the mention that it replaces."""
     if kind in _DIGITS:
-        digits = iter(canonical)
+        digits = iter(canonical[1:] if kind == "phone" and not mention.startswith("+") else canonical)
         out = "".join(next(digits, "") if c.isdigit() else c for c in mention)
         return out + "".join(digits)
     if kind == "iban":
@@ -263,7 +322,8 @@ def rendered(kind: str, mention: str, canonical: str) -> str:
     if kind == "name":
         words = canonical.split(":", 2)[2].split(" ")
         words = [w.upper() if mention.isupper() and len(mention) > 1 else w.capitalize() for w in words]
-        return " ".join(words)
+        gap = re.search(r"\s+", mention)
+        return gap.group().join(words) if gap else words[-1]
     if kind == "email" and mention.isupper():
         return canonical.upper()
     return canonical

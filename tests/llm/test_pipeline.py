@@ -69,6 +69,29 @@ def test_colliding_surrogates_draw_again(spark, monkeypatch):
     assert surrogates.surrogate_table(entities.limit(0), "k").count() == 0
 
 
+def test_persons_and_numbers_of_a_text_are_joined(spark):
+    texts = [
+        "Smith? Mr. John Smith came. Mr. Smith said: John Smith left, SMITH paid Smith's bill, Smith--and John\nSmith.",
+        "Mr. John Smith, Mrs. Eve Smith; Mrs. Smith, Mr. Smith. Smith. Mr. Paul Smith, Mr. Smith, John Smith, Mr. Smith's.",
+        "Herr Weber kam. Weber ging, webers Weber-Haus, O'Weber und Webern nicht. Госпожа Анна Иванова и Анна Иванова, ИВАНОВА",
+        "John Smith and Weber are not named with a title here.",
+        "+1 (988) 555-2485, (988) 555-2485, 988-555-2485 and 988.555.2486",
+    ]
+    js, es, ps = "m:latin:john smith", "f:latin:eve smith", "m:latin:paul smith"
+    found = [[c for *_, c in surrogates.find(t)] for t in texts]
+    assert found[0] == [js] * 8
+    assert found[1] == [js, es, es, js, js, ps, ps, js, ps]
+    assert found[2] == ["m:latin:weber"] * 2 + ["f:cyrillic:анна иванова"] * 3
+    assert found[3] == [] and found[4] == ["19885552485"] * 3 + ["19885552486"]
+    new = {r.doc_id: r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc.doc_id", "text").collect()}
+    m = re.fullmatch(r"(\w+)\? Mr\. (\w+) \1 came\. Mr\. \1 said: \2 \1 left, (\w+) paid \1's bill, \1--and \2\n\1\.", new[0])
+    assert m and m.group(3) == m.group(1).upper() and "smith" not in new[0].lower() and "Smith" not in new[1]
+    assert "webers Weber-Haus, O'Weber und Webern nicht" in new[2] and "ванова" not in new[2].lower()
+    assert new[3] == texts[3]
+    a, b, c, d = re.findall(r"\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}", new[4])
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) == re.sub(r"\D", "", c) != re.sub(r"\D", "", d) and "988" not in new[4]
+
+
 def test_form_lines_and_counts_are_no_entities(spark):
     """They have no or too few other values; each alone ended the whole job."""
     odd = ["Password: __________", "Token: ........", "Password: -=-=-=-=-=", "@@ -1,5 +1500,7 @@", "in +2024 points", "Password: ~_+.-=/~_+.-=/", "Token: a_______"]
