@@ -734,48 +734,57 @@ def tombstones(spark: SparkSession, sf: str) -> DataFrame:
 # Streams: the events arrive in several micro-batches, then the table they keep is read.
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """All events in the order of time, ten days of a month to a batch."""
+EVENT_BATCHES = 4
+
+
+def _event_batches(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """All events in the order of time, cut in spans of equal length; those without a time come first."""
+    events = fx.table(spark, sf, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    part = F.lit(0)
+    if low is not None:
+        for k in range(1, EVENT_BATCHES):
+            begin = F.lit(str(low + (high - low) * k / EVENT_BATCHES)).cast("timestamp_ntz")
+            part = F.when(F.col("ts") >= begin, k).otherwise(part)
     folder = fresh_dir(spark, "events")
-    for part in range(4):
-        fx.table(spark, sf, "events").filter(F.dayofmonth("ts").between(part * 10, part * 10 + 9)).coalesce(1).write.parquet(f"{folder}/part={part}")
-    return feeds.read_events(spark, f"{folder}/*", fx.SCHEMAS["events"], files_per_trigger=1)
-
-
-def _streamed(spark: SparkSession, name: str, start: Callable[[str, str], StreamingQuery]) -> str:
-    table = fresh_dir(spark, name)
-    start(f"{table}/rows", f"{table}/checkpoint").awaitTermination()
+    events.withColumn("part", part).repartitionByRange("part", "ts", "event_id").write.partitionBy("part").parquet(folder)
+    written = spark.read.schema(f"{fx.SCHEMAS['events']}, part INT").parquet(folder)
+    return [written.filter(F.col("part") == k).drop("part") for k in range(EVENT_BATCHES)]
+
+
+def _streamed(spark: SparkSession, sf: str, name: str, start: Callable[[DataFrame, str, str], StreamingQuery]) -> str:
+    """The table that a stream keeps; it goes on with each span of events when that has been written."""
+    source, table = fresh_dir(spark, "arrived"), fresh_dir(spark, name)
+    for k, batch in enumerate(_event_batches(spark, sf)):
+        batch.write.parquet(f"{source}/part={k}")
+        stream = feeds.read_events(spark, f"{source}/*", fx.SCHEMAS["events"], files_per_trigger=2**31 - 1)
+        start(stream, f"{table}/rows", f"{table}/checkpoint").awaitTermination()
     return f"{table}/rows"
 
 
 @register
 def stream_latest_state(spark: SparkSession, sf: str) -> DataFrame:
-    stream = fx.change_columns(_event_stream(spark, sf))
-    table = _streamed(spark, "latest", lambda rows, at: feeds.coalesce_changes(stream, rows, at))
+    table = _streamed(spark, sf, "latest", lambda events, rows, at: feeds.coalesce_changes(fx.change_columns(events), rows, at))
     return changes.present(feeds.read_latest(spark, table))
 
 
 @register
 def stream_phase_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    stream = fx.change_columns(_event_stream(spark, sf))
-    return feeds.read_transitions(spark, _streamed(spark, "phases", lambda rows, at: feeds.track_phase(stream, rows, at)))
+    return feeds.read_transitions(spark, _streamed(spark, sf, "phases", lambda events, rows, at: feeds.track_phase(fx.change_columns(events), rows, at)))
 
 
 @register
 def stream_backlog(spark: SparkSession, sf: str) -> DataFrame:
-    stream = fx.change_columns(_event_stream(spark, sf))
-    return feeds.read_backlog(spark, _streamed(spark, "backlog", lambda rows, at: feeds.requeue_backlog(stream, rows, at)))
+    return feeds.read_backlog(spark, _streamed(spark, sf, "backlog", lambda events, rows, at: feeds.requeue_backlog(fx.change_columns(events), rows, at)))
 
 
 @register
 def stream_tombstones(spark: SparkSession, sf: str) -> DataFrame:
-    stream = fx.change_columns(_event_stream(spark, sf))
-    table = _streamed(spark, "tombstones", lambda rows, at: feeds.soft_delete(stream, rows, at))
+    table = _streamed(spark, sf, "tombstones", lambda events, rows, at: feeds.soft_delete(fx.change_columns(events), rows, at))
     return feeds.read_tombstones(spark, table, _children(spark, sf))
 
 
 @register
 def stream_log_sink(spark: SparkSession, sf: str) -> DataFrame:
-    stream = fx.log_columns(_event_stream(spark, sf))
-    table = _streamed(spark, "log", lambda rows, at: feeds.log_sink(stream, rows, at, available_now=True))
+    table = _streamed(spark, sf, "log", lambda events, rows, at: feeds.log_sink(fx.log_columns(events), rows, at, available_now=True))
     return logs.read_retained(spark, table, LOG_NOW).select("event_id", "event_date", "event_time", "value")

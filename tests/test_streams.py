@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetspark.operators import catalog, changes
+from fleetspark.plans import registry
+from fleetspark.sources import fleet_tables as fx
 from fleetspark.sources import logs
 from fleetspark.streaming import feeds
 
@@ -166,6 +168,21 @@ def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
 CATALOG = "host int, database string, name string, engine string, engine_full string, create_table_query string"
 
 
+def test_registered_streams_keep_all_events_in_order(spark, tmp_path):
+    """Events of two months, some without a time."""
+    rng = random.Random(5)
+    rows = [
+        (i, None if i % 50 == 7 else datetime.datetime(2024, 1, 20) + datetime.timedelta(hours=i), rng.randint(0, 5), rng.choice(["signup", "error", "click"]), 1.0, f'{{"k": {rng.randint(0, 2)}}}')
+        for i in range(600)
+    ]
+    spark.createDataFrame(rows, fx.SCHEMAS["events"]).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    parts = [sorted((r.ts or datetime.datetime.min, r.event_id) for r in part.collect()) for part in registry._event_batches(spark, str(tmp_path))]
+    assert [x for part in parts for x in part] == sorted((r[1] or datetime.datetime.min, r[0]) for r in rows) and all(parts)
+    for name in ("latest_state", "phase_transitions"):
+        want, got = (registry.QUERIES[q](spark, str(tmp_path)) for q in (name, f"stream_{name}"))
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_first_available(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 2, "c"), (2, 1, "d")], "g int, p int, v string")
     ends = spark.createDataFrame([(1, 1, False), (1, 2, True), (1, 3, True), (2, 1, False)], "g int, p int, ok boolean")
