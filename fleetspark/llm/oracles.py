@@ -150,10 +150,47 @@ SELECT conv_id, count(*) AS n_turns,
   sum({len(chat_trees.START) + len(chat_trees.END) + 1} + length(replace({_escaped("role")}, chr(10), '\\' || chr(10))) + length({_escaped("text")}))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _share(count: str, total: str) -> str:
+    return f"(1 + (1000000000::HUGEINT * ({count} + 2)) // ({total} + 2 * v))"
+
+
+OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text
+  FROM documents
+),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+size AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY ALL),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+grid AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, lang_n, v, {_share("coalesce(c.n, 0)", "total")} AS p, {_share("lang_n", "lang_total")} AS lang_p
+  FROM n JOIN size USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM grid x JOIN grid y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+),
+rows AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs p ON p.lang = x.lang AND p.source = x.source AND p.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - lang_p) * (p - lang_p) // (p + lang_p))::BIGINT FROM grid WHERE n > 0 AND p > lang_p
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM rows)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
 ORACLES = {
     "op4_multi_index": OP4,
     "op7_curriculum_mix": OP7,
     "op8_redirect_url_filter": OP8,
     "op9_jaccard_join": OP9,
     "op10_chat_reply_trees": OP10,
+    "op13_divergence_audit": OP13,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import chat_trees, curriculum, jaccard_join, language_id, multi_index, oracles, pieces, quality_rules, site_quality, surrogates, url_filter
+from fleetspark.llm import chat_trees, curriculum, divergence_audit, jaccard_join, language_id, multi_index, oracles, pieces, quality_rules, site_quality, surrogates, url_filter
 
 #: The SentencePiece model of the queries.
 PIECES_MODEL = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -127,3 +127,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as SentencePiece ids, with parity and round trip."""
     out = pieces.encoded(_read(spark, sf_dir, "documents").select("doc_id", "text"), PIECES_MODEL, ["doc_id"])
     return out.select("doc.doc_id", "n_tokens", "n_differ", "round_trip", "ids")
+
+
+@query
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in their words: all pairs, and each source's first terms."""
+    return divergence_audit.divergences(_read(spark, sf_dir, "documents"))
