@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import chat_trees, curriculum, divergence_audit, jaccard_join, language_id, multi_index, oracles, pieces, quality_rules, site_quality, surrogates, url_filter
+from fleetspark.llm import chat_trees, curriculum, divergence_audit, jaccard_join, language_id, multi_index, oracles, pieces, quality_rules, site_quality, surrogates, token_transducer, url_filter
 
 #: The SentencePiece model of the queries.
 PIECES_MODEL = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -133,3 +133,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sources of each language differ in their words: all pairs, and each source's first terms."""
     return divergence_audit.divergences(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document, counted by the compiled tokenizer."""
+    import public_tokenizers
+
+    out = token_transducer.token_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc.doc_id", "n_bytes", "n_tokens", "over_limit")
