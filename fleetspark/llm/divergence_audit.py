@@ -33,7 +33,7 @@ TOP_TERMS = 10
 #: Distinct (group, term) rows that a task adds up before it hands them on.
 HELD_ROWS = 1 << 19
 
-_COUNTS = "lang string, source string, term string, n long, n_docs long"
+_COUNTS = "lang string, term string, n_docs long, n long, sources array<string>, counts array<long>"
 
 
 def _slice_counts(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
@@ -65,12 +65,12 @@ def _batch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if rows > HELD_ROWS:
                 whole = _added(held)
                 if 2 * len(whole) > HELD_ROWS:
-                    yield from whole.to_batches()
+                    yield from _by_term(whole)
                     held, rows = [], 0
                 else:
                     held, rows = [whole], len(whole)
     if held:
-        yield from _added(held).to_batches()
+        yield from _by_term(_added(held))
 
 
 def _added(tables: list[pa.Table]) -> pa.Table:
@@ -78,8 +78,15 @@ def _added(tables: list[pa.Table]) -> pa.Table:
     return whole.select(["lang", "source", "term", "n_sum", "n_docs_sum"]).rename_columns(["lang", "source", "term", "n", "n_docs"])
 
 
+def _by_term(counts: pa.Table) -> list[pa.RecordBatch]:
+    """A row for each term of a language, with the counts of the sources seen so far in lists."""
+    out = counts.group_by(["lang", "term"]).aggregate([("n_docs", "sum"), ("n", "sum"), ("source", "list"), ("n", "list")])
+    out = out.select(["lang", "term", "n_docs_sum", "n_sum", "source_list", "n_list"])
+    return out.rename_columns(["lang", "term", "n_docs", "n", "sources", "counts"]).to_batches()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """Rows (lang, source, term, n, n_docs): occurrences and documents of each term, added up per task only.
+    """Rows (lang, term, n_docs, n, sources, counts): what a task has seen of a term, its sources and their counts.
 
     Null lang, source and text count as ''.  Terms are runs of letters A-Z, a-z
     and of characters outside ASCII; only A-Z become lower case.
@@ -116,14 +123,20 @@ def divergences(docs: DataFrame) -> DataFrame:
     """
     groups = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     counted = materialize(term_counts(docs), "term-counts")
-    kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).drop("docs")
-    used = materialize(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"]), "used-terms")
+    kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("docs"))
+    kept = materialize(kept.where(F.col("docs") >= MIN_DOCS).drop("docs"), "kept-terms")
+    # rare terms go before the lists are unfolded; the join has brought each term's rows together
+    each = F.explode(F.arrays_zip("sources", "counts")).alias("each")
+    used = counted.select("lang", "term", "sources", "counts").join(kept, ["lang", "term"]).select("lang", "term", "lang_n", each)
+    used = used.groupBy("lang", "term", "lang_n", F.col("each.sources").alias("source")).agg(F.sum("each.counts").alias("n"))
+    used = materialize(used, "used-terms")
+    cells = materialize(used.groupBy("lang", "source", "n", "lang_n").agg(F.count(F.lit(1)).alias("terms")), "term-cells")
 
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-    own = used.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("present"))
+    own = cells.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("terms")).alias("total"), F.sum("terms").alias("present"))
     sizes = groups.join(own, ["lang", "source"], "left").join(langs, "lang", "left")
     sizes = materialize(sizes.na.fill(0, ["total", "present", "v", "lang_total"]), "source-sizes")
-    return _pairs(used, sizes).unionByName(_terms(used, sizes))
+    return _pairs(used, cells, sizes).unionByName(_terms(used, cells, sizes))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -131,7 +144,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(place))
 
 
-def _pairs(used: DataFrame, sizes: DataFrame) -> DataFrame:
+def _pairs(used: DataFrame, cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """Each unordered pair of sources of a language, summed over cells."""
     a = sizes.select("lang", "v", F.col("source").alias("s"), F.col("total").alias("s_total"), F.col("present").alias("s_present"))
     b = sizes.select("lang", F.col("source").alias("t"), F.col("total").alias("t_total"), F.col("present").alias("t_present"))
@@ -141,9 +154,9 @@ def _pairs(used: DataFrame, sizes: DataFrame) -> DataFrame:
     q = lambda n: F.when(some, share(n, F.col("t_total"), F.col("v")))
 
     none = pairs.select("lang", "s", "t", F.coalesce((F.col("v") - F.col("s_present") - F.col("t_present")) * contrast(p(0), q(0)), F.lit(0)).alias("value"))
-    cells = used.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
-    in_s = pairs.join(cells.withColumnRenamed("source", "s"), ["lang", "s"]).select("lang", "s", "t", (F.col("terms") * contrast(p(F.col("n")), q(0))).alias("value"))
-    in_t = pairs.join(cells.withColumnRenamed("source", "t"), ["lang", "t"]).select("lang", "s", "t", (F.col("terms") * contrast(p(0), q(F.col("n")))).alias("value"))
+    alone = cells.groupBy("lang", "source", "n").agg(F.sum("terms").alias("terms"))
+    in_s = pairs.join(alone.withColumnRenamed("source", "s"), ["lang", "s"]).select("lang", "s", "t", (F.col("terms") * contrast(p(F.col("n")), q(0))).alias("value"))
+    in_t = pairs.join(alone.withColumnRenamed("source", "t"), ["lang", "t"]).select("lang", "s", "t", (F.col("terms") * contrast(p(0), q(F.col("n")))).alias("value"))
 
     left = used.select("lang", "term", F.col("source").alias("s"), F.col("n").alias("n_s"))
     right = used.select("lang", "term", F.col("source").alias("t"), F.col("n").alias("n_t"))
@@ -158,9 +171,8 @@ def _pairs(used: DataFrame, sizes: DataFrame) -> DataFrame:
     return _ranked(rows)
 
 
-def _terms(used: DataFrame, sizes: DataFrame) -> DataFrame:
+def _terms(used: DataFrame, cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """The first terms of each source: cells ranked by value, then expanded."""
-    cells = used.groupBy("lang", "source", "n", "lang_n").agg(F.count(F.lit(1)).alias("terms"))
     p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("lang_n"), F.col("lang_total"), F.col("v"))
     valued = cells.join(sizes, ["lang", "source"]).select("lang", "source", "n", "lang_n", "terms", p.alias("p"), q.alias("q"))
     valued = valued.where("p > q").withColumn("value", contrast(F.col("p"), F.col("q")))
