@@ -153,6 +153,44 @@ FROM c GROUP BY conv_id"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+OP11 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]') AS pieces
+  FROM documents
+),
+p AS (SELECT doc, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS piece_no FROM d),
+q AS (SELECT doc, lang, piece_no, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+w AS (SELECT doc, lang, piece_no, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM q),
+four AS (
+  SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4
+  FROM w WINDOW o AS (PARTITION BY doc, piece_no ORDER BY place)
+),
+grams AS (
+  SELECT lang, 1 AS size, w1 AS phrase FROM four
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM four WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM four WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM four WHERE w4 IS NOT NULL
+),
+f AS (SELECT lang, phrase, size, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY ALL),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND f >= 30),
+cuts AS (SELECT c.*, k FROM c, range(1, 4) AS s(k) WHERE k < size),
+scored AS (
+  SELECT x.lang, x.phrase, a, k, p.f AS l, q.f AS r, ((2000000::HUGEINT * a) // (p.f + q.f))::BIGINT AS score
+  FROM cuts x JOIN f p ON p.lang = x.lang AND p.phrase = array_to_string(words[1:k], ' ')
+    JOIN f q ON q.lang = x.lang AND q.phrase = array_to_string(words[k + 1:], ' ')
+),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, range(2, 4) AS m(m), range(1, 4) AS i(i) WHERE m < size AND i + m - 1 <= size GROUP BY ALL
+),
+kept AS (SELECT w.* FROM worst w LEFT JOIN inner_phrases USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def _share(count: str, total: str) -> str:
     return f"(1 + (1000000000::HUGEINT * ({count} + 2)) // ({total} + 2 * v))"
 
@@ -192,5 +230,6 @@ ORACLES = {
     "op8_redirect_url_filter": OP8,
     "op9_jaccard_join": OP9,
     "op10_chat_reply_trees": OP10,
+    "op11_phrase_automata": OP11,
     "op13_divergence_audit": OP13,
 }

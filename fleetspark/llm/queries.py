@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import chat_trees, curriculum, divergence_audit, jaccard_join, language_id, multi_index, oracles, pieces, quality_rules, site_quality, surrogates, token_transducer, url_filter
+from fleetspark.llm import chat_trees, curriculum, divergence_audit, jaccard_join, language_id, multi_index, oracles, phrase_automata, pieces, quality_rules, site_quality, surrogates, token_transducer, url_filter
 
 #: The SentencePiece model of the queries.
 PIECES_MODEL = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -142,3 +142,9 @@ def op12_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = token_transducer.token_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op11_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language, counted over all documents."""
+    return phrase_automata.collocations(_read(spark, sf_dir, "documents"))
