@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,25 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="llm-checkpoint-")
 
 
+_OPEN: list | None = None
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast for the tasks of an operator; in a pipeline it lives until the next stage begins."""
+    shared = spark.sparkContext.broadcast(value)
+    if _OPEN is not None:
+        _OPEN.append(shared)
+    return shared
+
+
+def new_stage() -> None:
+    """Takes the broadcasts of the stage before, whose result has been written, from driver and executors."""
+    global _OPEN
+    for shared in _OPEN or []:
+        shared.destroy()
+    _OPEN = []
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Connected components of the undirected edges (u, v): rows (node, component).
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fleetspark.llm import flat
-from fleetspark.llm.components import checkpointed, components
+from fleetspark.llm.components import checkpointed, components, share
 
 #: A shingle seen in so many documents is frequent and goes last in the order.
 FREQUENT = 64
@@ -449,7 +449,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     texts = rows.select("text")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, words))
+    frequent = share(spark, frequent_shingles(texts, words))
     sets = checkpointed(rows.mapInArrow(_set_rows(rule, frequent), f"id {kind}, sig binary, n long, prefix binary"))
     copies = sets.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
     classes = checkpointed(
@@ -495,7 +495,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     # the whole sets of all that is to be verified
     wanted = active.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct().join(classes, "cid")
     wanted = checkpointed(wanted.select("cid", "sig", "n", "prefix", "copies"))
-    chosen = spark.sparkContext.broadcast(_map_of(wanted.select("sig")))
+    chosen = share(spark, _map_of(wanted.select("sig")))
     whole = texts.mapInArrow(_chosen_sets(rule, chosen), "sig binary, grams binary").groupBy("sig").agg(F.first("grams").alias("grams"))
     whole = checkpointed(whole.join(wanted, "sig").drop("sig"))
     blocks = active.join(whole, "cid").groupBy(*unit).applyInArrow(_verified(rule), "cid long, links long, root long")

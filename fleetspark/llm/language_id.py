@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.llm import flat
+from fleetspark.llm.components import share
 
 ORDER = 4
 #: Each language learns from at most so many documents: those with the smallest hash of doc_id.
@@ -335,7 +336,7 @@ def train(docs: DataFrame, learn: Column, per_language: int = DOCS_PER_LANGUAGE)
         return LanguageModel([], [], [], [], [], 0.0, np.empty(0), np.empty(0), (1.0, 0.0))
     arrays = _kneser_ney(counts, languages)
     model = LanguageModel(languages, *arrays, np.zeros(len(languages)), np.full(len(languages), np.inf), (1.0, 0.0))
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
     held = sample.where("calibrates").select("doc_id", "text", "lang").mapInArrow(_calibration_rows(shared), "doc_id long, lang string, entropy array<double>, n long, excess double").collect()
     held = sorted(r for r in held if r["n"] and r["lang"] in counts and not np.isnan(r["entropy"][0]))
     return _calibrated(model, held)
@@ -384,14 +385,17 @@ def identify(docs: DataFrame, model: LanguageModel, carry: list[str] | None = No
     letter, or if the model knows no language; equal cross-entropies take the
     first language.  A rejected text keeps its most likely language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     carry = docs.columns if carry is None else carry
+    # a carried text goes to the tasks once
+    carried = "text" in carry and dict(docs.dtypes)["text"] == "string"
 
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            for a, b, data, offsets in flat.slices(batch.column("text")):
+            texts = batch.column("doc").field("text") if carried else batch.column("text")
+            for a, b, data, offsets in flat.slices(texts):
                 codes, rows = letters(data, offsets)
                 if m.languages:
                     entropy, n, excess = m.measured(codes, rows, b - a)
@@ -403,6 +407,7 @@ def identify(docs: DataFrame, model: LanguageModel, carry: list[str] | None = No
                     names=["doc", "lang_pred", "score", "rejected"],
                 )
 
-    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col("text").cast("string").alias("text"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")
+    nested = docs.select(doc) if carried else docs.select(doc, F.col("text").cast("string").alias("text"))
     kind = nested.schema["doc"].dataType.simpleString()
     return nested.mapInArrow(run, f"doc {kind}, lang_pred string, score double, rejected boolean")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetspark.llm.components import share
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -267,7 +269,7 @@ def encoded(docs: DataFrame, model_file: str, carry: list[str] | None = None) ->
     with open(model_file, "rb") as f:
         raw = f.read()
     parse_model(raw)
-    shared = docs.sparkSession.sparkContext.broadcast(raw)
+    shared = share(docs.sparkSession, raw)
     carry = docs.columns if carry is None else carry
 
     def run(batches):
@@ -291,7 +293,7 @@ def decoded(tokens: DataFrame, model_file: str, ids_column: str = "ids") -> Data
     """tokens with a column text of the decoded ids, without the added space at the start; null ids give null."""
     with open(model_file, "rb") as f:
         raw = f.read()
-    shared = tokens.sparkSession.sparkContext.broadcast(raw)
+    shared = share(tokens.sparkSession, raw)
 
     def run(batches):
         own = coder(shared.value)

@@ -101,7 +101,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced by surrogates."""
-    out = surrogates.replaced(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = surrogates.replaced(_read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return out.select("doc.doc_id", "text", "n_replaced")
 
 

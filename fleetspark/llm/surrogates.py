@@ -429,8 +429,8 @@ def _rewritten(batches):
         yield pa.record_batch([batch.column("doc"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["doc", "text", "n_replaced"])
 
 
-def replaced(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text") -> DataFrame:
-    """One row per row of docs: struct doc of its columns, text with surrogates, n_replaced.
+def replaced(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: struct doc of the carried columns (all by default), text with surrogates, n_replaced.
 
     Equal entities get equal surrogates in all documents, different ones
     different surrogates, and reruns with the same key agree.  Null and empty
@@ -440,7 +440,7 @@ def replaced(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text")
     surrogates hold for the whole corpus.
     """
     text = F.col(text_column).cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("doc"), text.alias("text"))
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     suspects = rows.where(hinted).withColumn("text_key", F.xxhash64("text"))
     slim = docs.select(text.alias("text")).where(hinted).select("text", F.xxhash64("text").alias("text_key"))

@@ -258,3 +258,61 @@ def test_pipeline(spark, sf_dir, tmp_path):
         assert clean[r.doc_id].n_chars == len(clean[r.doc_id].text)
     assert max(collections.Counter(r.doc_id for r in rows["mix"]).values()) <= 3
     assert len(rows["tokens"]) == len(rows["mix"]) and all(r.round_trip for r in rows["tokens"])
+
+
+@pytest.fixture()
+def settings(spark):
+    """Sets settings of the session for a test."""
+    before = {}
+
+    def put(**values):
+        for name, value in values.items():
+            key = f"spark.sql.{name.replace('__', '.')}"
+            before.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_rows_are_known_however_a_scan_is_split(spark, tmp_path, settings):
+    import corpus_pipeline
+
+    spark.range(900).selectExpr("id % 300 AS doc_id", "concat('t', id) AS text").repartition(9).write.parquet(str(tmp_path / "docs"))
+    seen = []
+    for parts in ("1", "2", "8", "40"):
+        settings(files__minPartitionNum=parts, files__openCostInBytes="1")
+        numbered = corpus_pipeline._numbered(spark.read.parquet(str(tmp_path / "docs")))
+        assert numbered.columns == ["doc_id", "text", "_row"]
+        seen.append({r.text: r._row for r in numbered.collect()})
+    assert all(s == seen[0] for s in seen) and len(set(seen[0].values())) == 900
+    loose = corpus_pipeline._numbered(spark.range(10).selectExpr("id AS doc_id"))
+    assert len({r._row for r in loose.collect()}) == 10
+
+
+def test_least_document_of_repeated_ids_stays_under_any_split(spark, tmp_path, settings):
+    import corpus_pipeline
+
+    texts = [f"a copy of the long text number {i % 40} that says the same words in each of its places" for i in range(400)]
+    rows = [(i // 2, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(12).write.parquet(str(tmp_path / "docs"))
+    settings(files__openCostInBytes="1", files__minPartitionNum="3")
+    out = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    settings(files__minPartitionNum="17")  # as if executors had come between plan and run
+    kept = [r.doc_id for r in out.collect()]
+    assert sorted(kept) == sorted(min(r[0] for r in rows if r[1] == t) for t in set(texts))
+
+
+@needs_model
+def test_training_order_survives_the_files(spark, sf_dir, tmp_path, settings):
+    import corpus_pipeline
+
+    settings(adaptive__coalescePartitions__enabled="false", shuffle__partitions="16")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = corpus_pipeline.mix(spark, docs, sf_dir)
+    order = [r.doc_id for r in mixed.collect()]
+    corpus_pipeline.mix(spark, docs, sf_dir).write.parquet(str(tmp_path / "mix"))
+    settings(files__openCostInBytes="1", files__minPartitionNum="5")
+    tokens = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mix")), sf_dir).select("position", "doc_id").collect()
+    assert [r.doc_id for r in sorted(tokens)] == order and len({r.position for r in tokens}) == len(order) > 200
