@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed value: the phase in which a key needs no further pass.
+# The phase in which a key needs no further pass; the tries of a key
+# that is not ready, each this many seconds times its number after the one before.
 READY_PHASE = 2
+RETRY_SECONDS = 5
+RETRY_TRIES = 10
 
 
 def latest_per_key(events: DataFrame) -> DataFrame:
@@ -31,9 +34,26 @@ def backlog(latest: DataFrame, ready: Column | None = None) -> DataFrame:
     return present(latest).filter(~ready)
 
 
+def retry_queue(latest: DataFrame, now: Column) -> DataFrame:
+    """The backlog with the tries made until now and when the next is due; NULL once the tries are used up.
+
+    The delays before a try add up; a key without a time counts from 1970.
+    """
+    seconds = F.transform(F.sequence(F.lit(1), F.lit(RETRY_TRIES)), lambda n: (n * (n + 1) * (RETRY_SECONDS / 2)).cast("int"))
+    since = F.coalesce("ts", F.lit("1970-01-01").cast("timestamp_ntz"))
+    due = F.transform(seconds, lambda s: since + F.make_dt_interval(secs=s))
+    out = backlog(latest).withColumn("_due", due).withColumn("tries", F.size(F.filter("_due", lambda d: d <= now)))
+    return out.withColumn("due", F.get("_due", F.col("tries"))).drop("_due")
+
+
+def parents_left(children: DataFrame) -> DataFrame:
+    """Keys that have a child which is not gone."""
+    return children.groupBy("key").agg(F.bool_or(~F.col("gone")).alias("_left")).filter("_left").select("key")
+
+
 def tombstones(latest: DataFrame, children: DataFrame) -> DataFrame:
-    """Deleted keys; a key may be purged once no child row of it is left."""
-    parents = children.select("key").distinct().withColumn("_child", F.lit(True))
+    """Deleted keys; a key may be purged once all its children, rows (key, gone), are gone."""
+    parents = parents_left(children).withColumn("_child", F.lit(True))
     return (
         latest.filter("kind = 'DELETED'")
         .select("key", F.col("ts").alias("deleted_at"), "event_id")

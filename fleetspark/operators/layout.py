@@ -6,10 +6,11 @@ A layout has one row per cluster with ``inst``, ``cluster``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions import names, text
+from fleetspark.session import materialize
 
 # Fixed value: name of the cluster given to an installation that declares none.
 DEFAULT_CLUSTER = "cluster"
@@ -207,6 +208,24 @@ def topology_counts(replicas: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, owner: str, order: list[str], name: str) -> DataFrame:
+    """Distinct rows (owner, order..) with their dense number from 1 within the owner, in the given order.
+
+    The rows are sorted in ranges over all owners, so an owner of any size is
+    spread over tasks.  A range counts within itself; what an owner has in
+    earlier ranges is added from the ranges' counts, at most one per owner and
+    range.
+    """
+    keys = [owner, *order]
+    sorted_rows = rows.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    parts = materialize(sorted_rows.withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy(owner, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(owner).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(owner, "_part").orderBy(*order))
+    return parts.withColumn("_inside", inside).join(starts, [owner, "_part"]).select(*keys, (F.col("_start") + F.col("_inside")).alias(name))
+
+
 def routing_topology(replicas: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Routing entries: the user's clusters, one shard of all replicas, and each replica its own shard.
 

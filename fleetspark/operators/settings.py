@@ -40,6 +40,13 @@ def merge_where(base: DataFrame, source: DataFrame, accept: Column, keys: Sequen
     return both.groupBy(*keys).agg(last).select(*keys, "_last.*")
 
 
+def merge_accepted(layers: DataFrame, accept: Column, keys: Sequence[str] = ("owner", "path")) -> DataFrame:
+    """Layer 0, overwritten by the accepted rows of the layers above it in their order: merge_where applied layer by layer, in one grouping."""
+    kept = [c for c in layers.columns if c not in (*keys, "layer")]
+    last = F.max_by(F.struct(*kept), F.col("layer")).alias("_last")
+    return layers.filter((F.col("layer") == 0) | accept).groupBy(*keys).agg(last).select(*keys, "_last.*")
+
+
 def normalize_paths(settings: DataFrame, keys: Sequence[str] = ("owner",)) -> DataFrame:
     """Paths with single slashes.
 

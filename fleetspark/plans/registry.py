@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetspark.functions import hashes, names, text
 from fleetspark.operators import catalog as cat
-from fleetspark.operators import changes, documents, layout, reconcile, settings, status, storage, templates
+from fleetspark.operators import changes, documents, layout, nested, reconcile, settings, status, storage, templates
 from fleetspark.plans import admission, config_documents, normalize, schema_sync
 from fleetspark.plans import fleet_status as status_plan
 from fleetspark.session import fresh_dir, materialize, tune
@@ -91,9 +91,17 @@ def drop_table_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def surplus_drop_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables to drop on the hosts of replicas that a smaller layout leaves out."""
-    host = F.expr("(cluster * 12 + shard * 4 + ordinal) % 50").alias("host")
-    return schema_sync.drop_table_plan(surplus_replicas(spark, sf).select(host).distinct(), fx.catalog_tables(spark, sf))
+    """What has to be dropped on each replica that a smaller shard leaves out: number of tables, first and last statement.
+
+    Every replica is a host of its own, with the tables of one of the given
+    catalogs; a catalog's statements are folded before they meet the replicas.
+    """
+    hosts = fx.table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
+    gone = surplus_replicas(spark, sf).filter("guarded").drop("guarded")
+    gone = gone.withColumn("host", F.pmod(F.expr("cluster * 12 + shard * 4 + ordinal"), hosts))
+    statements = schema_sync.drop_table_plan(gone.select("host").distinct(), fx.catalog_tables(spark, sf))
+    folded = statements.groupBy("host").agg(F.count(F.lit(1)).alias("tables"), F.min("statement").alias("first"), F.max("statement").alias("last"))
+    return gone.join(folded, "host").select("inst", "cluster", "shard", "ordinal", "tables", "first", "last")
 
 
 @register
@@ -184,9 +192,59 @@ def surplus_replicas(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.surplus_replicas(materialize(old, "old-replicas"), materialize(new, "new-replicas"))
 
 
+@register
+def shard_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """The number of each replica as a shard of its own, counted over its installation."""
+    return layout.numbered(_replicas(spark, sf), "inst", ["replica_name"], "shard_number")
+
+
 # Reconciliation ---------------------------------------------------------------
 
 
+def _specs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Desired and last applied specs of the orders as JSON, with lists of containers in different orders."""
+    lines = materialize(
+        fx.table(spark, sf, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("object"), F.col("l_linenumber").alias("line"))
+        .agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp")),
+        "lines",
+    )
+    orders = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("object"), "o_orderpriority")
+
+    def spec(rows: DataFrame, image: str, ports: Column, replicas: str, order: str) -> DataFrame:
+        container = F.struct(F.concat(F.lit("c"), "line").alias("name"), F.expr(f"concat('i', {image})").alias("image"), ports.alias("ports"))
+        listed = rows.groupBy("object").agg(F.array_sort(F.collect_list(F.struct(F.expr(order).alias("at"), container.alias("c")))).alias("list"))
+        template = F.struct(F.col("o_orderpriority").alias("priority"), F.transform("list", lambda e: e["c"]).alias("containers"))
+        body = F.struct(F.expr(replicas).alias("replicas"), F.struct(F.col("object").alias("resourceVersion")).alias("metadata"), template.alias("template"))
+        return listed.join(orders, "object").select("object", F.to_json(body).alias("spec"))
+
+    two, one = F.array(F.col("supp") % 4, F.col("supp") % 3), F.array(F.col("supp") % 4)
+    new = spec(lines, "part % 5", two, "object % 4 + 1", "-line")
+    old = spec(lines.filter("part % 7 <> 0"), "part % 4", one, "object % 3 + 1", "line")
+    return new, old
+
+
+@register
+def spec_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """What has changed in each object's nested spec since it was applied, by path."""
+    new, old = _specs(spark, sf)
+    return nested.nested_differences(new, old, ["object"], "spec")
+
+
+@register
+def tree_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Installations, clusters, shards and replicas whose desired image is not the live one, from the roots down."""
+    inst = fx.fleet_layout(spark, sf).select("cluster", "inst")
+    digest = F.sha1(F.col("image").cast("string")).alias("digest")
+    place = ["inst", "cluster", "shard", "ordinal"]
+    new = _desired(spark, sf).select(*place, digest)
+    old = fx.observed_replicas(spark, sf).join(inst, "cluster").select(*place, digest)
+    trees = [nested.digest_tree(materialize(side, "leaves")) for side in (new, old)]
+    return nested.tree_differences(*trees)
+
+
+
+
 @register
 def reconcile_plan(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.reconcile_plan(_desired(spark, sf), fx.observed_replicas(spark, sf), fx.fleet_layout(spark, sf))
@@ -430,10 +488,8 @@ def effective_config(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def merge_where(spark: SparkSession, sf: str) -> DataFrame:
     rows = settings.normalize_paths(fx.settings_layers(spark, sf), ["owner", "layer"])
-    base = rows.filter("layer = 0").drop("layer")
-    source = rows.filter("layer = 2").drop("layer")
     accept = text.path_section(F.col("path")) == "HOST"
-    return _joined(settings.merge_where(base, source, accept), "owner", "path", "seq")
+    return _joined(settings.merge_accepted(rows, accept), "owner", "path", "seq")
 
 
 def _inherited(spark: SparkSession, sf: str, replicas: DataFrame | None = None) -> DataFrame:
@@ -500,8 +556,8 @@ def port_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf: str) -> DataFrame:
     all_templates = fx.templates(spark, sf)
-    fetched = templates.registered(all_templates.filter("ord % 2 = 0"))
-    return templates.resolve_templates(fx.template_references(spark, sf), templates.registered(all_templates), fetched)
+    known = templates.registered(all_templates)
+    return templates.resolve_templates(fx.template_references(spark, sf), known, known)
 
 
 @register
@@ -704,7 +760,8 @@ def masked_endpoints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _children(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.fleet_layout(spark, sf).filter("cluster % 8 = 0").select(F.col("inst").alias("key"))
+    """The clusters of each installation; one in eight is still there."""
+    return fx.fleet_layout(spark, sf).select(F.col("inst").alias("key"), F.expr("cluster % 8 <> 0").alias("gone"))
 
 
 def _feed(spark: SparkSession, sf: str) -> DataFrame:
@@ -731,60 +788,88 @@ def tombstones(spark: SparkSession, sf: str) -> DataFrame:
     return changes.tombstones(changes.latest_per_key(_feed(spark, sf)), _children(spark, sf))
 
 
-# Streams: the events arrive in several micro-batches, then the table they keep is read.
+# Streams: the events arrive in several parts, each taken by a run that goes on from the
+# state of the one before; then the table of keys is read.
 
 
-EVENT_BATCHES = 4
+ARRIVALS = 3
+#: Events of the last day before a border, one in four, arrive after it.
+LATE = datetime.timedelta(days=1)
 
 
-def _event_batches(spark: SparkSession, sf: str) -> list[DataFrame]:
-    """All events in the order of time, cut in spans of equal length; those without a time come first."""
+def _arrivals(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """All events in spans of time of equal length, some of them late; those without a time come first."""
     events = fx.table(spark, sf, "events")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     part = F.lit(0)
     if low is not None:
-        for k in range(1, EVENT_BATCHES):
-            begin = F.lit(str(low + (high - low) * k / EVENT_BATCHES)).cast("timestamp_ntz")
-            part = F.when(F.col("ts") >= begin, k).otherwise(part)
-    folder = fresh_dir(spark, "events")
-    events.withColumn("part", part).repartitionByRange("part", "ts", "event_id").write.partitionBy("part").parquet(folder)
-    written = spark.read.schema(f"{fx.SCHEMAS['events']}, part INT").parquet(folder)
-    return [written.filter(F.col("part") == k).drop("part") for k in range(EVENT_BATCHES)]
+        due = F.when(F.expr("event_id % 4 = 1"), F.col("ts") + F.make_dt_interval(days=F.lit(LATE.days))).otherwise(F.col("ts"))
+        for k in range(1, ARRIVALS):
+            border = F.lit(str(low + (high - low) * k / ARRIVALS)).cast("timestamp_ntz")
+            part = F.when(due >= border, k).otherwise(part)
+    return [events.filter(part == k) for k in range(ARRIVALS)]
 
 
 def _streamed(spark: SparkSession, sf: str, name: str, start: Callable[[DataFrame, str, str], StreamingQuery]) -> str:
-    """The table that a stream keeps; it goes on with each span of events when that has been written."""
+    """The table that a stream keeps; each event is written once to the folder it watches."""
     source, table = fresh_dir(spark, "arrived"), fresh_dir(spark, name)
-    for k, batch in enumerate(_event_batches(spark, sf)):
-        batch.write.parquet(f"{source}/part={k}")
+    for k, part in enumerate(_arrivals(spark, sf)):
+        part.write.parquet(f"{source}/part={k}")
         stream = feeds.read_events(spark, f"{source}/*", fx.SCHEMAS["events"], files_per_trigger=2**31 - 1)
         start(stream, f"{table}/rows", f"{table}/checkpoint").awaitTermination()
     return f"{table}/rows"
 
 
+_LATENESS = {"lateness": f"{LATE.days} days"}
+
+
 @register
 def stream_latest_state(spark: SparkSession, sf: str) -> DataFrame:
-    table = _streamed(spark, sf, "latest", lambda events, rows, at: feeds.coalesce_changes(fx.change_columns(events), rows, at))
+    table = _streamed(spark, sf, "latest", lambda events, rows, at: feeds.coalesce_changes(fx.change_columns(events), rows, at, **_LATENESS))
     return changes.present(feeds.read_latest(spark, table))
 
 
 @register
 def stream_phase_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.read_transitions(spark, _streamed(spark, sf, "phases", lambda events, rows, at: feeds.track_phase(fx.change_columns(events), rows, at)))
+    return feeds.read_transitions(spark, _streamed(spark, sf, "phases", lambda events, rows, at: feeds.track_phase(fx.change_columns(events), rows, at, **_LATENESS)))
 
 
 @register
 def stream_backlog(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.read_backlog(spark, _streamed(spark, sf, "backlog", lambda events, rows, at: feeds.requeue_backlog(fx.change_columns(events), rows, at)))
+    """The queue with its tries as of the watermark, a day before the last event."""
+    return feeds.read_queue(spark, _streamed(spark, sf, "backlog", lambda events, rows, at: feeds.requeue_backlog(fx.change_columns(events), rows, at, **_LATENESS)))
+
+
+@register
+def retry_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue with its tries as of noon of 30 January 2024."""
+    return changes.retry_queue(changes.latest_per_key(_feed(spark, sf)), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
 
 
 @register
 def stream_tombstones(spark: SparkSession, sf: str) -> DataFrame:
-    table = _streamed(spark, sf, "tombstones", lambda events, rows, at: feeds.soft_delete(fx.change_columns(events), rows, at))
-    return feeds.read_tombstones(spark, table, _children(spark, sf))
+    children = _children(spark, sf)
+    table = _streamed(spark, sf, "tombstones", lambda events, rows, at: feeds.soft_delete(fx.change_columns(events), rows, at, children, **_LATENESS))
+    return feeds.read_tombstones(spark, table)
+
+
+def _landed(spark: SparkSession, sf: str) -> str:
+    """The log table compacted from what a stream has flushed."""
+    landing = _streamed(spark, sf, "log", lambda events, rows, at: feeds.log_sink(fx.log_columns(events), rows, at, available_now=True))
+    folder = fresh_dir(spark, "log-table")
+    logs.compact_log(spark, landing, folder)
+    return folder
 
 
 @register
 def stream_log_sink(spark: SparkSession, sf: str) -> DataFrame:
-    table = _streamed(spark, sf, "log", lambda events, rows, at: feeds.log_sink(fx.log_columns(events), rows, at, available_now=True))
-    return logs.read_retained(spark, table, LOG_NOW).select("event_id", "event_date", "event_time", "value")
+    return logs.read_retained(spark, _landed(spark, sf), LOG_NOW).select("event_id", "event_date", "event_time", "value")
+
+
+@register
+def log_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """What each day holds after flushing, compaction and removal of expired days."""
+    folder = _landed(spark, sf)
+    logs.expire_log(spark, folder, LOG_NOW)
+    rows = spark.read.parquet(folder)
+    return rows.groupBy("event_date").agg(F.count(F.lit(1)).alias("rows"), F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"))

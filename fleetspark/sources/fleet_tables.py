@@ -422,9 +422,9 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label selectors: each names an instance, every second one a priority too."""
-    priority = F.expr("CASE WHEN inst % 20 = 0 THEN '1-URGENT' END")
+    priority = F.expr("CASE WHEN inst % 2 = 0 THEN '1-URGENT' END")
     instance = F.col("inst").cast("string")
-    return installations(spark, sf_dir).filter("inst % 10 = 0").select(
+    return installations(spark, sf_dir).select(
         F.col("inst").alias("selector"),
         "namespace",
         F.when(priority.isNull(), F.create_map(F.lit("instance"), instance))

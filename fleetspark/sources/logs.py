@@ -28,6 +28,46 @@ def write_log(df: DataFrame, folder: str, mode: str = "append") -> None:
     )
 
 
+def compact_log(spark: SparkSession, landing: str, folder: str, days: list[datetime.date] | None = None) -> None:
+    """Take the small files that flushes leave in a landing table to the log table, whole days at a time.
+
+    The days of the landing table, or those named, are replaced in the log
+    table by time-sorted files; other days are not touched.  Running it again
+    writes the same days anew.
+    """
+    rows = spark.read.parquet(landing)
+    if days is not None:
+        rows = rows.filter(F.col("event_date").isin(days))
+    (
+        rows.repartitionByRange("event_date", "event_time")
+        .sortWithinPartitions("event_date", "event_time")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date")
+        .parquet(folder)
+    )
+
+
+def expire_log(spark: SparkSession, folder: str, now: datetime.date, ttl_days: int = RETENTION_DAYS) -> list[datetime.date]:
+    """Remove the partitions whose days have expired; returns those days.
+
+    Only names of partitions are read.  Rows without a date are kept.  Running
+    it again finds nothing.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = []
+    for entry in hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop(folder)):
+        name, _, value = entry.getPath().getName().partition("=")
+        if name != "event_date" or value == "__HIVE_DEFAULT_PARTITION__":
+            continue
+        day = datetime.date.fromisoformat(value)
+        if day + datetime.timedelta(days=ttl_days) <= now:
+            path = entry.getPath()
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            gone.append(day)
+    return sorted(gone)
+
+
 def is_retained(now: datetime.date, ttl_days: int = RETENTION_DAYS) -> Column:
     """A row lives until its date plus the retention.
 

@@ -1,28 +1,31 @@
 """The reactive side of the fleet as Structured Streaming jobs.
 
-Every job keeps its result as one folder per micro-batch below a table folder,
-named by the batch id.  A batch that is run again overwrites its own folder, so
-a restart changes nothing.  A batch writes only the keys it touched; every
-SNAPSHOT_EVERY batches it writes all keys.  The table is the newest row of each
-key since the last such snapshot, so what a batch has to read does not grow
-with the age of the stream.  A batch reads folders of earlier batches only.
+What is known of a key lies in the engine's state store (RocksDB); the
+processors say how long.  A job appends what changed to a table of Parquet
+files, exactly once by the sink's own log.  The table of keys is the newest
+row of each key in it; rows of a key are ordered by the event they tell of, so
+the order in which batches wrote them does not matter.
+
+Events may come late by ``lateness``; those that come later than that are
+dropped by the engine, which counts them in the query's progress.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from fleetspark.operators import changes, reconcile
 from fleetspark.sources import logs
+from fleetspark.streaming import processors
 
-SNAPSHOT_EVERY = 50
-
-BatchStep = Callable[[DataFrame, int], None]
+LATENESS = "1 hour"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -30,167 +33,122 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_batches(stream: DataFrame, step: BatchStep, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
+def _time(micros: str) -> Column:
+    """Microseconds since 1970 as a time without a zone."""
+    return F.expr(f"{_EPOCH} + INTERVAL '0.000001' SECOND * {micros}")
 
-def _write_batch(df: DataFrame, table: str, batch_id: int) -> None:
-    """Write a batch's folder, then note its number beside the table.
-
-    The note tells the newest batch even if that left no row.  If a batch ends
-    between the two steps it is run again, and both are written anew.
-    """
-    df.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-    df.sparkSession.range(batch_id, batch_id + 1, 1, 1).write.mode("overwrite").parquet(_note(table))
 
-
-def _note(table: str) -> str:
-    return f"{table.rstrip('/')}-last"
+def _run(stream: DataFrame, processor: StatefulProcessor, table: str, checkpoint: str, lateness: str, available_now: bool) -> StreamingQuery:
+    """Events through a processor; columns ``at`` and ``event_time`` are their time as a number and for the watermark."""
+    spark = stream.sparkSession
+    timed = stream.withColumn("at", F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, ts)")).drop("ts")
+    timed = timed.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", lateness)
+    changed = timed.groupBy("key").transformWithStateInPandas(processor, processor.OUTPUT, "Append", "EventTime")
+    writer = changed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    # a query takes its settings along when it starts; the session's stay as they are
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        return (writer.trigger(availableNow=True) if available_now else writer).start(table)
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
-def _last(spark: SparkSession, table: str) -> int:
-    """The number of the newest batch; -1 before the first."""
+def _newest(spark: SparkSession, table: str, schema: str, *order: str) -> DataFrame:
+    """The newest row of each key; no rows before the first batch."""
     try:
-        return spark.read.schema("id BIGINT").parquet(_note(table)).first()[0]
+        rows = spark.read.schema(schema).parquet(table)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return -1
-
-
-def _snapshot_before(batch_id: int) -> int:
-    return batch_id - batch_id % SNAPSHOT_EVERY
-
-
-def _keep(df: DataFrame, table: str, batch_id: int, schema: str, newest: Callable[[DataFrame], DataFrame]) -> None:
-    """Write the rows of the touched keys, or of all keys when a snapshot is due."""
-    if batch_id and batch_id % SNAPSHOT_EVERY == 0:
-        earlier = _batches(df.sparkSession, table, schema, batch_id - SNAPSHOT_EVERY, batch_id - 1)
-        df = newest(earlier.unionByName(df.withColumn("batch", F.lit(batch_id).cast("bigint"))))
-    _write_batch(df, table, batch_id)
-
-
-def _table(spark: SparkSession, table: str, schema: str) -> DataFrame:
-    """Rows since the last snapshot."""
-    last = _last(spark, table)
-    return _batches(spark, table, schema, _snapshot_before(max(last, 0)), last)
-
-
-def _batches(spark: SparkSession, table: str, schema: str, first: int, last: int) -> DataFrame:
-    """Rows of the batches first..last with their batch number; no other folder is listed."""
-    schema = f"{schema}, batch BIGINT"
-    if last < max(first, 0):
-        return spark.createDataFrame([], schema)
-    folders = [f"{table}/batch={number}" for number in range(max(first, 0), last + 1)]
-    return spark.read.schema(schema).option("basePath", table).parquet(*folders)
-
-
-def newest_rows(rows: DataFrame) -> DataFrame:
-    """The row of the last batch for each key."""
-    kept = [c for c in rows.columns if c not in ("key", "batch")]
-    return rows.groupBy("key").agg(F.max_by(F.struct(*kept), F.col("batch")).alias("_row")).select("key", "_row.*")
+        rows = spark.createDataFrame([], schema)
+    rest = [c for c in rows.columns if c != "key"]
+    return rows.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select("key", "_row.*")
 
 
 # Latest state of each key ------------------------------------------------------
 
-STATE = "key BIGINT, kind STRING, ts TIMESTAMP_NTZ, event_id BIGINT, phase INT"
 
-
-def _latest(rows: DataFrame) -> DataFrame:
-    return changes.latest_per_key(rows.drop("batch"))
+def _states(stream: DataFrame, ownership: DataFrame | None, children: DataFrame | None) -> DataFrame:
+    events = stream if ownership is None else reconcile.map_to_owner(stream, ownership)
+    events = events.select("key", "kind", "ts", "event_id", "phase")
+    if children is None:
+        return events.withColumn("has_child", F.lit(False))
+    parents = changes.parents_left(children).withColumn("_child", F.lit(True))
+    return events.join(parents, "key", "left").select(*events.columns, F.coalesce("_child", F.lit(False)).alias("has_child"))
 
 
 def coalesce_changes(
-    stream: DataFrame, table: str, checkpoint: str, ownership: DataFrame | None = None, **options
+    stream: DataFrame, table: str, checkpoint: str, ownership: DataFrame | None = None, lateness: str = LATENESS, available_now: bool = True
 ) -> StreamingQuery:
-    """Events of a key are folded to its latest state; events of owned objects count for the owner."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        events = batch if ownership is None else reconcile.map_to_owner(batch, ownership)
-        latest = changes.latest_per_key(events.select("key", "kind", "ts", "event_id", "phase"))
-        _keep(latest, table, batch_id, STATE, _latest)
+    """Events of a key are folded to its latest state; events of owned objects count for the owner.
 
-    return run_batches(stream, step, checkpoint, **options)
+    Only present keys, and deleted ones within the lateness, have state.
+    """
+    return _run(_states(stream, ownership, None), processors.Latest(), table, checkpoint, lateness, available_now)
 
 
 def read_latest(spark: SparkSession, table: str) -> DataFrame:
-    """The state table; a late event of an earlier batch's key does not win over a newer one."""
-    return _latest(_table(spark, table, STATE))
+    """The last event of each key."""
+    rows = _newest(spark, table, processors.Latest.OUTPUT, "at", "event_id", "purged")
+    return rows.select("key", "kind", _time("at").alias("ts"), "event_id", "phase")
 
 
 # Phase tracking -----------------------------------------------------------------
 
-TRANSITIONS = (
-    "key BIGINT, phase INT, last_transition TIMESTAMP_NTZ, transitions BIGINT, last_seen TIMESTAMP_NTZ"
-)
 
-
-def track_phase(stream: DataFrame, table: str, checkpoint: str, **options) -> StreamingQuery:
+def track_phase(stream: DataFrame, table: str, checkpoint: str, lateness: str = LATENESS, available_now: bool = True) -> StreamingQuery:
     """Transition times that move on a change of phase only, carried over batches."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        first = _snapshot_before(max(batch_id - 1, 0))
-        before = newest_rows(_batches(batch.sparkSession, table, TRANSITIONS, first, batch_id - 1))
-        _keep(changes.continue_transitions(before, batch), table, batch_id, TRANSITIONS, newest_rows)
-
-    return run_batches(stream, step, checkpoint, **options)
+    events = stream.select("key", "ts", "event_id", "phase")
+    return _run(events, processors.Phases(), table, checkpoint, lateness, available_now)
 
 
 def read_transitions(spark: SparkSession, table: str) -> DataFrame:
-    return newest_rows(_table(spark, table, TRANSITIONS))
+    rows = _newest(spark, table, processors.Phases.OUTPUT, "seen")
+    return rows.select("key", "phase", _time("last_transition_at").alias("last_transition"), "transitions", _time("last_seen_at").alias("last_seen"))
 
 
 # Requeue ------------------------------------------------------------------------
 
 
-def requeue_backlog(stream: DataFrame, table: str, checkpoint: str, **options) -> StreamingQuery:
-    """Keys that are not ready stay in the queue and join the next batch.
-
-    A batch writes the keys that had news; a snapshot holds the waiting keys only.
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        latest = changes.latest_per_key(batch.select("key", "kind", "ts", "event_id", "phase"))
-        _keep(latest, table, batch_id, STATE, lambda rows: changes.backlog(newest_rows(rows)))
+def requeue_backlog(stream: DataFrame, table: str, checkpoint: str, lateness: str = LATENESS, available_now: bool = True) -> StreamingQuery:
+    """Keys that are not ready stay in the queue and are tried again at growing intervals."""
+    events = stream.select("key", "kind", "ts", "event_id", "phase")
+    return _run(events, processors.Retries(), table, checkpoint, lateness, available_now)
 
-    return run_batches(stream, step, checkpoint, **options)
 
-
-def read_backlog(spark: SparkSession, table: str) -> DataFrame:
-    """The queue after the last batch: the keys whose last batch left them not ready."""
-    return changes.backlog(newest_rows(_table(spark, table, STATE)))
+def read_queue(spark: SparkSession, table: str) -> DataFrame:
+    """The waiting keys, with tries made until the watermark and the time of the next; NULL once they are used up."""
+    rows = _newest(spark, table, processors.Retries.OUTPUT, "at", "event_id", "tries")
+    rows = rows.select("key", "kind", _time("at").alias("ts"), "event_id", "phase", "tries", _time("due_at").alias("due"))
+    return changes.backlog(rows)
 
 
 # Deletion in two steps ------------------------------------------------------------
 
 
-def soft_delete(stream: DataFrame, table: str, checkpoint: str, **options) -> StreamingQuery:
-    """Deleted keys become tombstones; a key that comes back loses its tombstone."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        latest = changes.latest_per_key(batch.select("key", "kind", "ts", "event_id", "phase"))
-        _keep(latest, table, batch_id, STATE, _latest)
+def soft_delete(
+    stream: DataFrame, table: str, checkpoint: str, children: DataFrame | None = None, lateness: str = LATENESS, available_now: bool = True
+) -> StreamingQuery:
+    """Deleted keys become tombstones; a key that comes back loses its tombstone.
 
-    return run_batches(stream, step, checkpoint, **options)
+    The tombstone of a key without a child is purged from the state once no
+    earlier event can come any more.
+    """
+    return _run(_states(stream, None, children), processors.Latest(), table, checkpoint, lateness, available_now)
 
 
-def read_tombstones(spark: SparkSession, table: str, children: DataFrame) -> DataFrame:
-    return changes.tombstones(read_latest(spark, table), children)
+def read_tombstones(spark: SparkSession, table: str) -> DataFrame:
+    """Deleted keys, and whether no child kept them from being purged."""
+    rows = _newest(spark, table, processors.Latest.OUTPUT, "at", "event_id", "purged").where("kind = 'DELETED'")
+    return rows.select("key", _time("at").alias("deleted_at"), "event_id", (~F.col("has_child")).alias("purge"))
 
 
 # Log sink ---------------------------------------------------------------------------
 
 
-def log_sink(stream: DataFrame, folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Log rows flushed at a fixed interval into the log table, each flush in the order of time.
-
-    A flush has a folder of its own, so running it again changes nothing.
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        logs.write_log(batch, f"{folder}/batch={batch_id}", "overwrite")
-
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+def log_sink(stream: DataFrame, landing: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Log rows flushed at a fixed interval to a landing table by day; ``logs.compact_log`` takes them to the log table."""
+    writer = stream.writeStream.format("parquet").partitionBy("event_date").option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": logs.FLUSH_INTERVAL}
-    return writer.trigger(**trigger).start()
+    return writer.trigger(**trigger).start(landing)

@@ -50,9 +50,59 @@ WHERE NOT EXISTS (SELECT 1 FROM fx_replicas r
                   WHERE r.cluster = old.cluster AND r.shard = old.shard AND r.ordinal = old.ordinal)
 """
 ORACLES["surplus_drop_plan"] = f"""
-WITH gone AS ({ORACLES["surplus_replicas"]})
-SELECT DISTINCT host, c.name, 'DROP TABLE IF EXISTS "' || c.database || '"."' || c.name || '"' AS statement
-FROM fx_catalog c WHERE c.engine LIKE 'Replicated%' AND host IN (SELECT (cluster * 12 + shard * 4 + ordinal) % 50 FROM gone)
+WITH gone AS ({ORACLES["surplus_replicas"]}),
+drops AS (
+  SELECT host, count(*) AS tables, min(statement) AS first, max(statement) AS last
+  FROM (SELECT DISTINCT host, 'DROP TABLE IF EXISTS "' || database || '"."' || name || '"' AS statement
+        FROM fx_catalog WHERE engine LIKE 'Replicated%')
+  GROUP BY host
+)
+SELECT inst, cluster, shard, ordinal, tables, first, last
+FROM gone JOIN drops ON host = (cluster * 12 + shard * 4 + ordinal) % (SELECT count(*) FROM supplier) WHERE guarded
+"""
+ORACLES["shard_numbers"] = """
+SELECT inst, replica_name, row_number() OVER (PARTITION BY inst ORDER BY replica_name) AS shard_number
+FROM (SELECT DISTINCT inst, replica_name FROM fx_replicas)
+"""
+ORACLES["spec_differences"] = """
+WITH lines AS (
+  SELECT l_orderkey AS object, l_linenumber AS line, min(l_partkey) AS part, min(l_suppkey) AS supp FROM lineitem GROUP BY ALL
+),
+news AS (
+  SELECT object, 'replicas' AS path, (object % 4 + 1)::VARCHAR AS value FROM lines
+  UNION SELECT object, 'template.priority', o_orderpriority FROM lines JOIN orders ON o_orderkey = object
+  UNION SELECT object, 'template.containers[name=c' || line || '].name', 'c' || line FROM lines
+  UNION SELECT object, 'template.containers[name=c' || line || '].image', 'i' || (part % 5) FROM lines
+  UNION SELECT object, 'template.containers[name=c' || line || '].ports[0]', (supp % 4)::VARCHAR FROM lines
+  UNION SELECT object, 'template.containers[name=c' || line || '].ports[1]', (supp % 3)::VARCHAR FROM lines
+),
+kept AS (SELECT * FROM lines WHERE part % 7 <> 0),
+olds AS (
+  SELECT object, 'replicas' AS path, (object % 3 + 1)::VARCHAR AS value FROM kept
+  UNION SELECT object, 'template.priority', o_orderpriority FROM kept JOIN orders ON o_orderkey = object
+  UNION SELECT object, 'template.containers[name=c' || line || '].name', 'c' || line FROM kept
+  UNION SELECT object, 'template.containers[name=c' || line || '].image', 'i' || (part % 4) FROM kept
+  UNION SELECT object, 'template.containers[name=c' || line || '].ports[0]', (supp % 4)::VARCHAR FROM kept
+)
+SELECT object, path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS change,
+       o.value AS old, n.value AS new
+FROM news n FULL JOIN olds o USING (object, path) WHERE n.value IS DISTINCT FROM o.value
+"""
+ORACLES["tree_differences"] = """
+WITH n AS (SELECT inst, cluster, shard, ordinal, image FROM fx_desired),
+o AS (SELECT inst, cluster, shard, ordinal, image FROM fx_observed JOIN fx_layout USING (cluster)),
+d AS (
+  SELECT inst, cluster, shard, ordinal, n.image AS a, o.image AS b FROM n FULL JOIN o USING (inst, cluster, shard, ordinal)
+),
+sides AS (
+  SELECT level, CASE WHEN depth >= 1 THEN inst END AS inst, CASE WHEN depth >= 2 THEN cluster END AS cluster,
+         CASE WHEN depth >= 3 THEN shard END AS shard, CASE WHEN depth >= 4 THEN ordinal END AS ordinal,
+         count(a) AS news, count(b) AS olds, bool_or(a IS DISTINCT FROM b) AS differs
+  FROM d, (VALUES (1, 'inst'), (2, 'cluster'), (3, 'shard'), (4, 'ordinal')) AS l(depth, level) GROUP BY ALL
+)
+SELECT level, inst, cluster, shard, ordinal,
+       CASE WHEN olds = 0 THEN 'added' WHEN news = 0 THEN 'removed' ELSE 'changed' END AS change
+FROM sides WHERE differs
 """
 ORACLES["declared_shards"] = """
 WITH own AS (SELECT inst, cluster, cluster % 4 AS shard FROM fx_layout WHERE cluster % 6 = 0),

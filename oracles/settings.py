@@ -44,7 +44,7 @@ SELECT owner, coalesce(scalar, 'default') AS scalar, coalesce(timeout, 300)::INT
 """
 ORACLES["merge_where"] = f"""
 WITH rows AS ({normalized("fx_settings", "owner, layer")}),
-ranked AS (SELECT * FROM rows WHERE layer = 0 OR (layer = 2 AND contains(path, '/')
+ranked AS (SELECT * FROM rows WHERE layer = 0 OR (layer > 0 AND contains(path, '/')
                                                    AND lower(string_split(path, '/')[1]) IN ('host', 'conf.d')))
 SELECT owner, path, seq, {_VECTOR} FROM ranked
 QUALIFY row_number() OVER (PARTITION BY owner, path ORDER BY layer DESC) = 1

@@ -150,8 +150,8 @@ FROM orders JOIN fx_installations ON o_custkey = inst
 """
 VIEWS["fx_selectors"] = """
 SELECT inst AS selector, namespace, inst::VARCHAR AS m_instance,
-       CASE WHEN inst % 20 = 0 THEN '1-URGENT' END AS m_priority
-FROM fx_installations WHERE inst % 10 = 0
+       CASE WHEN inst % 2 = 0 THEN '1-URGENT' END AS m_priority
+FROM fx_installations
 """
 VIEWS["fx_members"] = """
 SELECT l_orderkey AS host,

@@ -42,9 +42,13 @@ def queue_files(spark, folder, batches):
     return feeds.read_events(spark, f"{folder}/*", FEED, files_per_trigger=1)
 
 
-@pytest.mark.parametrize("every", [50, 2, 1])
-def test_queue_that_empties_fills_and_empties(spark, tmp_path, monkeypatch, every):
-    monkeypatch.setattr(feeds, "SNAPSHOT_EVERY", every)
+def state_keys(spark, checkpoint, name):
+    """Keys that have a value in a processor's state."""
+    rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    return sorted(r[0] for r in rows.selectExpr("key.key").distinct().collect())
+
+
+def test_queue_that_empties_fills_and_empties(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
     ready = changes.READY_PHASE
     feed = [[(1, "ADDED", at, 0, 1)], [(1, "MODIFIED", at, 1, ready)], [(2, "ADDED", at, 2, 1)], [(2, "MODIFIED", at, 3, ready), (3, "ADDED", at, 4, ready)]]
@@ -53,7 +57,7 @@ def test_queue_that_empties_fills_and_empties(spark, tmp_path, monkeypatch, ever
         stream = queue_files(spark, tmp_path / f"in{k}", feed[:k])
         table = str(tmp_path / f"table{k}")
         feeds.requeue_backlog(stream, table, str(tmp_path / f"checkpoint{k}")).awaitTermination()
-        waiting.append(sorted(r.key for r in feeds.read_backlog(spark, table).collect()))
+        waiting.append(sorted(r.key for r in feeds.read_queue(spark, table).collect()))
     assert waiting == [[1], [], [2], []]
 
 
@@ -61,9 +65,59 @@ def test_queue_that_is_always_empty_and_stream_without_batch(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
     stream = queue_files(spark, tmp_path / "in", [[(1, "ADDED", at, 0, changes.READY_PHASE)], [(2, "ADDED", at, 1, changes.READY_PHASE)]])
     table = str(tmp_path / "table")
-    assert feeds.read_backlog(spark, table).count() == 0 and feeds.read_latest(spark, table).count() == 0
+    assert feeds.read_queue(spark, table).count() == 0 and feeds.read_latest(spark, table).count() == 0
     feeds.requeue_backlog(stream, table, str(tmp_path / "checkpoint")).awaitTermination()
-    assert feeds.read_backlog(spark, table).count() == 0
+    assert feeds.read_queue(spark, table).count() == 0
+
+
+def test_tries_follow_the_watermark(spark, tmp_path):
+    """Tries at 5, 15, 30 .. 275 seconds; the clock is another key's events."""
+    start = datetime.datetime(2024, 1, 1)
+    seconds = [0, 4, 5, 16, 29, 274, 275, 900]
+    folder, table, checkpoint = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    for k, s in enumerate(seconds):
+        clock = [(9, "MODIFIED", start + datetime.timedelta(seconds=s), 100 + k, changes.READY_PHASE)]
+        spark.createDataFrame(([(1, "ADDED", start, 0, 1)] if k == 0 else []) + clock, FEED).coalesce(1).write.parquet(f"{folder}/part{k}")
+        stream = feeds.read_events(spark, f"{folder}/*", FEED)
+        feeds.requeue_backlog(stream, table, checkpoint, lateness="0 seconds").awaitTermination()
+        now = start + datetime.timedelta(seconds=s)
+        [row] = feeds.read_queue(spark, table).collect()
+        assert row.tries == sum(5 * n * (n + 1) // 2 <= s for n in range(1, 11))
+        assert row.due == (None if row.tries == 10 else start + datetime.timedelta(seconds=5 * (row.tries + 1) * (row.tries + 2) // 2))
+        latest = changes.latest_per_key(spark.read.schema(FEED).parquet(f"{folder}/*"))
+        twin = changes.retry_queue(latest, F.lit(str(now)).cast("timestamp_ntz")).collect()
+        assert [(r.key, r.tries, r.due) for r in twin] == [(1, row.tries, row.due)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_late_and_untimed_events_in_any_batch(spark, tmp_path, parts):
+    """Events are dealt to batches at random and arrive within the lateness."""
+    rng = random.Random(parts)
+    rows = [(k, kind, None if rng.random() < 0.1 else ts, i, phase) for k, kind, ts, i, phase in events(seed=parts, n=200)]
+    dealt = [[] for _ in range(parts)]
+    for row in rows:
+        rng.choice(dealt).append(row)
+    whole = spark.createDataFrame(rows, FEED)
+    twins = {"track_phase": (feeds.read_transitions, changes.phase_transitions(whole)), "coalesce_changes": (feeds.read_latest, changes.latest_per_key(whole))}
+    for name, (read, twin) in twins.items():
+        stream = queue_files(spark, tmp_path / name, dealt)
+        table = str(tmp_path / f"{name}-table")
+        getattr(feeds, name)(stream, table, str(tmp_path / f"{name}-at"), lateness="60 days").awaitTermination()
+        assert sorted(map(str, read(spark, table).select(*twin.columns).collect())) == sorted(map(str, twin.collect()))
+
+
+def test_purged_keys_leave_no_state(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    hour = datetime.timedelta(hours=1)
+    first = [(1, "ADDED", day, 0, 0), (2, "ADDED", day, 1, 0), (1, "DELETED", day + hour, 2, 0), (2, "DELETED", day + hour, 3, 0), (3, "DELETED", None, 4, 0)]
+    later = [(9, "ADDED", day + 30 * hour, 5, 0)]
+    back = [(1, "ADDED", day + 31 * hour, 6, 1)]
+    children = spark.createDataFrame([(2, False), (2, True), (1, True)], "key bigint, gone boolean")
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "at")
+    feeds.soft_delete(queue_files(spark, tmp_path / "in", [first, later, back]), table, checkpoint, children).awaitTermination()
+    assert state_keys(spark, checkpoint, "last") == [1, 2, 9]  # 2 has a child, 1 came back
+    assert sorted((r.key, r.purge) for r in feeds.read_tombstones(spark, table).collect()) == [(2, False), (3, True)]
+    assert sorted(r.key for r in changes.present(feeds.read_latest(spark, table)).collect()) == [1, 9]
 
 
 def as_dict(df):
@@ -84,24 +138,30 @@ def batches(spark, tmp_path):
         part = spark.createDataFrame(rows[i * 150 : (i + 1) * 150], FEED)
         part.coalesce(1).write.mode("append").parquet(str(at / f"part{i}"))
     stream = feeds.read_events(spark, str(at / "*"), FEED, files_per_trigger=1)
-    return rows, stream, str(tmp_path / "table"), str(tmp_path / "checkpoint")
 
+    class Batches(tuple):
+        folder = at
 
-@pytest.mark.parametrize("every", [50, 2, 1])
-def test_phase_stream_over_batches(spark, batches, monkeypatch, every):
+    return Batches((rows, stream, str(tmp_path / "table"), str(tmp_path / "checkpoint")))
+
+
+def test_phase_stream_over_batches(spark, batches):
+    """Late by less than the lateness in every batch; a restart goes on from the state."""
     rows, stream, table, checkpoint = batches
-    monkeypatch.setattr(feeds, "SNAPSHOT_EVERY", every)
-    feeds.track_phase(stream, table, checkpoint).awaitTermination()
-    assert spark.read.parquet(table).select("batch").distinct().count() > 1
+    query = feeds.track_phase(stream, table, checkpoint)
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 4
     assert as_dict(feeds.read_transitions(spark, table)) == transitions(rows)
+    more = [(k, "MODIFIED", rows[-1][2] + datetime.timedelta(minutes=k), 10_000 + k, k % 3) for k in range(25)]
+    spark.createDataFrame(more, FEED).coalesce(1).write.parquet(f"{batches.folder}/part9")
     feeds.track_phase(stream, table, checkpoint).awaitTermination()
-    assert as_dict(feeds.read_transitions(spark, table)) == transitions(rows)
+    assert as_dict(feeds.read_transitions(spark, table)) == transitions(rows + more)
+    feeds.track_phase(stream, table, checkpoint).awaitTermination()
+    assert as_dict(feeds.read_transitions(spark, table)) == transitions(rows + more)
 
 
-@pytest.mark.parametrize("every", [50, 2, 1])
-def test_latest_stream_over_batches(spark, batches, monkeypatch, every):
+def test_latest_stream_over_batches(spark, batches):
     rows, stream, table, checkpoint = batches
-    monkeypatch.setattr(feeds, "SNAPSHOT_EVERY", every)
     feeds.coalesce_changes(stream, table, checkpoint).awaitTermination()
     last = {}
     for row in sorted(rows, key=lambda r: (r[2], r[3])):
@@ -113,16 +173,18 @@ def test_latest_stream_over_batches(spark, batches, monkeypatch, every):
 def test_backlog_stream_over_batches(spark, batches):
     rows, stream, table, checkpoint = batches
     feeds.requeue_backlog(stream, table, checkpoint).awaitTermination()
-    whole = changes.backlog(changes.latest_per_key(spark.createDataFrame(rows, FEED)))
-    assert sorted(feeds.read_backlog(spark, table).collect()) == sorted(whole.collect())
+    latest = changes.latest_per_key(spark.createDataFrame(rows, FEED))
+    passed = F.lit(str(max(r[2] for r in rows) - datetime.timedelta(hours=1))).cast("timestamp_ntz")
+    whole = changes.retry_queue(latest, passed)
+    assert sorted(feeds.read_queue(spark, table).select(*whole.columns).collect()) == sorted(whole.collect())
 
 
 def test_tombstones(spark, batches):
     rows, stream, table, checkpoint = batches
-    feeds.soft_delete(stream, table, checkpoint).awaitTermination()
-    children = spark.createDataFrame([(k,) for k in range(0, 21, 2)], "key bigint")
+    children = spark.createDataFrame([(k, k % 2 == 1) for k in range(21)], "key bigint, gone boolean")
+    feeds.soft_delete(stream, table, checkpoint, children).awaitTermination()
     whole = changes.tombstones(changes.latest_per_key(spark.createDataFrame(rows, FEED)), children)
-    got = feeds.read_tombstones(spark, table, children)
+    got = feeds.read_tombstones(spark, table)
     assert sorted(got.collect()) == sorted(whole.collect())
     assert {r.key for r in got.collect() if r.purge} == {r.key for r in got.collect() if r.key % 2}
 
@@ -152,6 +214,32 @@ def test_log_table(spark, tmp_path):
     assert logs.expired_days(spark, folder, now).count() == 11
 
 
+def test_flushes_are_compacted_and_days_expire(spark, tmp_path):
+    schema = "event_id int, event_time timestamp_ntz"
+    landing, folder = str(tmp_path / "landing"), str(tmp_path / "log")
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, day + datetime.timedelta(hours=7 * (i * 37 % 100))) for i in range(100)]
+    for k in range(5):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    stream = feeds.read_events(spark, f"{tmp_path}/in/*", schema, 1).withColumn("event_date", F.to_date("event_time"))
+    feeds.log_sink(stream, landing, str(tmp_path / "at"), available_now=True).awaitTermination()
+    logs.compact_log(spark, landing, folder)
+    per_day = lambda path: spark.read.parquet(path).select("event_date", F.input_file_name().alias("file")).distinct().groupBy("event_date").count().collect()
+    assert max(r["count"] for r in per_day(landing)) > 1 == max(r["count"] for r in per_day(folder))
+    rows_of = lambda: sorted(tuple(r) for r in spark.read.parquet(folder).select("event_id", "event_time").collect())
+    assert rows_of() == sorted(rows)
+    for file in spark.read.parquet(folder).select(F.input_file_name().alias("f")).distinct().collect():
+        times = [r.event_time for r in spark.read.parquet(file.f).collect()]
+        assert times == sorted(times)
+    logs.compact_log(spark, landing, folder, [datetime.date(2024, 1, 3)])
+    assert rows_of() == sorted(rows)
+    now = datetime.date(2024, 2, 10)
+    gone = logs.expire_log(spark, folder, now)
+    assert gone == [datetime.date(2024, 1, d) for d in range(1, 12)]
+    assert rows_of() == sorted(r for r in rows if r[1].date() not in gone)
+    assert logs.expire_log(spark, folder, now) == [] and logs.expired_days(spark, folder, now).count() == 0
+
+
 def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
     folder = str(tmp_path / "log")
     day = datetime.datetime(2024, 1, 1)
@@ -176,8 +264,9 @@ def test_registered_streams_keep_all_events_in_order(spark, tmp_path):
         for i in range(600)
     ]
     spark.createDataFrame(rows, fx.SCHEMAS["events"]).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
-    parts = [sorted((r.ts or datetime.datetime.min, r.event_id) for r in part.collect()) for part in registry._event_batches(spark, str(tmp_path))]
-    assert [x for part in parts for x in part] == sorted((r[1] or datetime.datetime.min, r[0]) for r in rows) and all(parts)
+    arrived = [part.select("ts", "event_id").collect() for part in registry._arrivals(spark, str(tmp_path))]
+    assert sorted((str(r.ts), r.event_id) for part in arrived for r in part) == sorted((str(r[1]), r[0]) for r in rows) and all(arrived)
+    assert any(max(r.ts for r in a if r.ts) > min(r.ts for r in b if r.ts) for a, b in zip(arrived, arrived[1:]))  # some come late
     for name in ("latest_state", "phase_transitions"):
         want, got = (registry.QUERIES[q](spark, str(tmp_path)) for q in (name, f"stream_{name}"))
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
