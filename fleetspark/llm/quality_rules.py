@@ -1,7 +1,7 @@
 """Quality rules: base counts and a calibrated logistic regression on hashed n-grams.
 
-The classifier sees each text as the frequencies of its hashed words and hashed
-character 4-grams.  It is trained on labelled rows (a bounded sample, see
+The classifier sees each text as the frequencies of its hashed words, pairs of
+neighbouring words and character 4-grams.  It is trained on labelled rows (a bounded sample, see
 TRAIN_DOCS), its margin is turned into a probability on rows kept out of the
 training, and whole texts are scored in Arrow batches against KEEP_FROM.
 """
@@ -21,9 +21,10 @@ from fleetspark.llm import flat
 TRAIN_DOCS = 4000
 #: Every fifth of them calibrates only.
 CALIBRATE_EVERY = 5
-#: Hash slots of words, and as many of character n-grams.
+#: Hash slots of words, and as many of character n-grams and of word n-grams.
 SLOTS = 1 << 16
-CHAR_N = 4
+CHAR_N, WORD_N = 4, 2
+ALL_SLOTS = 3 * SLOTS
 #: A document is kept if its calibrated probability of good quality is at least this.
 KEEP_FROM = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -34,7 +35,7 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 @dataclass
 class QualityModel:
-    weights: np.ndarray  # float32, words then character n-grams
+    weights: np.ndarray  # float32, words, then character n-grams, then word n-grams
     bias: float
     slope: float
     shift: float
@@ -44,16 +45,17 @@ class QualityModel:
 
 
 def _slots(data, offsets, starts, ends, word_rows, hashes):
-    """(slot, row) of every word and every character n-gram."""
+    """(slot, row) of every word, every character n-gram and every word n-gram."""
     points, at = flat.code_points(data, offsets)
     rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
     grams, first = flat.windows(points.astype(np.uint64) + np.uint64(1), rows, CHAR_N)
-    word_slot = (hashes >> np.uint64(48)).astype(np.int64) % SLOTS
-    return (word_slot, word_rows), ((grams >> np.uint64(48)).astype(np.int64) % SLOTS + SLOTS, rows[first])
+    pairs, begin = flat.windows(hashes, word_rows, WORD_N)
+    slot = lambda h: (h >> np.uint64(48)).astype(np.int64) % SLOTS
+    return (slot(hashes), word_rows), (slot(grams) + SLOTS, rows[first]), (slot(pairs) + 2 * SLOTS, word_rows[begin])
 
 
 def _scores(weights, parts, n_rows):
-    """Mean weight of the words plus mean weight of the character n-grams of each row."""
+    """Mean weight of the words, of the character n-grams and of the word n-grams of each row, added."""
     total = np.zeros(n_rows)
     for slot, row in parts:
         n = np.bincount(row, minlength=n_rows)
@@ -112,12 +114,12 @@ def _features(batches):
             _, work = _counts(data, offsets)
             slots, values = [[] for _ in range(b - a)], [[] for _ in range(b - a)]
             for slot, row in _slots(*work):
-                key, count = np.unique(row * (2 * SLOTS) + slot, return_counts=True)
-                of, n = key // (2 * SLOTS), np.bincount(row, minlength=b - a)
+                key, count = np.unique(row * ALL_SLOTS + slot, return_counts=True)
+                of, n = key // ALL_SLOTS, np.bincount(row, minlength=b - a)
                 cut = np.searchsorted(of, np.arange(b - a + 1))
                 for i in range(b - a):
                     part = slice(cut[i], cut[i + 1])
-                    slots[i].append((key[part] % (2 * SLOTS)).astype(np.int32))
+                    slots[i].append((key[part] % ALL_SLOTS).astype(np.int32))
                     values[i].append((count[part] / max(n[i], 1)).astype(np.float32))
             yield pa.record_batch(
                 [batch.column("doc_id").slice(a, b - a), batch.column("good").slice(a, b - a),
@@ -126,22 +128,22 @@ def _features(batches):
             )
 
 
-def _fit(slots, values, good, rounds=150):
-    """Weights and bias of a ridge logistic regression by Adam over the whole sample."""
-    sizes = np.array([len(s) for s in slots])
-    row, slot, value = np.repeat(np.arange(len(slots), dtype=np.int32), sizes), np.concatenate(slots), np.concatenate(values)
-    share = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1))  # both classes weigh the same
-    w, b = np.zeros(2 * SLOTS + 1), 0.0
+def _fit(row, slot, value, good, fit, rounds=150):
+    """Weights and bias of a ridge logistic regression by Adam over the rows of fit, and the margins of all rows."""
+    # both classes weigh the same, rows that are not fitted nothing
+    share = fit * np.where(good, 0.5 / max((good & fit).sum(), 1), 0.5 / max((~good & fit).sum(), 1))
+    w = np.zeros(ALL_SLOTS + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        margin = np.bincount(row, w[slot] * value, minlength=len(slots)) + w[-1]
+        margin = np.bincount(row, w[slot] * value, minlength=len(good)) + w[-1]
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - good) * share
         grad = np.bincount(slot, error[row] * value, minlength=len(w))
         grad[-1] = error.sum()
         grad[:-1] += 1e-7 * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    return w[:-1].astype(np.float32), float(w[-1])
+    margin = np.bincount(row, w[slot] * value, minlength=len(good)) + w[-1]
+    return w[:-1].astype(np.float32), float(w[-1]), margin
 
 
 def _calibrate(margin, good, rounds=50):
@@ -175,22 +177,21 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Q
     rows.sort(key=lambda r: (r.doc_id, bytes(r.slots)))
     good = np.array([r.good for r in rows], bool)
     if not rows or good.all() or not good.any():
-        return QualityModel(np.zeros(2 * SLOTS, np.float32), 0.0, 1.0, 20.0 if not rows or good.all() else -20.0)
-    slots = [np.frombuffer(r["slots"], np.int32) for r in rows]
-    values = [np.frombuffer(r["values"], np.float32) for r in rows]
+        return QualityModel(np.zeros(ALL_SLOTS, np.float32), 0.0, 1.0, 20.0 if not rows or good.all() else -20.0)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["slots"]) // 4 for r in rows])
+    slot = np.frombuffer(b"".join(r["slots"] for r in rows), np.int32)
+    value = np.frombuffer(b"".join(r["values"] for r in rows), np.float32)
     del rows
-    held = np.arange(len(slots)) % CALIBRATE_EVERY == 0
+    held = np.arange(len(good)) % CALIBRATE_EVERY == 0
     if good[held].all() or not good[held].any() or good[~held].all() or not good[~held].any():
-        held = np.zeros(len(slots), bool)
-    fit = np.flatnonzero(~held)
-    weights, bias = _fit([slots[i] for i in fit], [values[i] for i in fit], good[fit])
-    on = np.flatnonzero(held) if held.any() else fit
-    margin = np.array([float(weights[slots[i]] @ values[i]) + bias for i in on])
-    slope, shift = _calibrate(margin, good[on])
+        held = np.zeros(len(good), bool)
+    weights, bias, margin = _fit(row, slot, value, good, ~held)
+    on = held if held.any() else ~held
+    slope, shift = _calibrate(margin[on], good[on])
     return QualityModel(weights, bias, slope, shift)
 
 
-OUTPUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
+OUTPUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
 
 
 def judge(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", keep_from: float = KEEP_FROM) -> DataFrame:
@@ -211,8 +212,8 @@ def judge(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", keep_
                 p = m.probability(_scores(m.weights, _slots(*work), b - a))
                 failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
                 yield pa.record_batch(
-                    [batch.column("id").slice(a, b - a), *(pa.array(c.astype(np.int64)) for c in counts.values()), pa.array(failed), pa.array(p), pa.array(~failed & (p >= keep_from))],
-                    names=["id", *counts, "base_failed", "probability", "kept"],
+                    [batch.column("id").slice(a, b - a), *(pa.array(c.astype(np.int64)) for c in counts.values()), pa.array(failed), pa.array(~failed & (p >= keep_from)), pa.array(p)],
+                    names=["id", *counts, "base_failed", "kept", "probability"],
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
