@@ -792,7 +792,7 @@ def tombstones(spark: SparkSession, sf: str) -> DataFrame:
 # state of the one before; then the table of keys is read.
 
 
-ARRIVALS = 3
+ARRIVALS = 2
 #: Events of the last day before a border, one in four, arrive after it.
 LATE = datetime.timedelta(days=1)
 

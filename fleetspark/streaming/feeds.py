@@ -43,7 +43,7 @@ def _run(stream: DataFrame, processor: StatefulProcessor, table: str, checkpoint
     spark = stream.sparkSession
     timed = stream.withColumn("at", F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, ts)")).drop("ts")
     timed = timed.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", lateness)
-    changed = timed.groupBy("key").transformWithStateInPandas(processor, processor.OUTPUT, "Append", "EventTime")
+    changed = timed.groupBy("key").transformWithState(processor, processor.OUTPUT, "Append", "EventTime")
     writer = changed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     # a query takes its settings along when it starts; the session's stay as they are
     before = spark.conf.get(_PROVIDER, None)

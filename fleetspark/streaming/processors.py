@@ -15,8 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Row
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, ValueState
 
 from fleetspark.operators.changes import READY_PHASE, RETRY_SECONDS, RETRY_TRIES
 
@@ -24,13 +24,13 @@ EVENTS = "at LONG, event_id LONG, phase INT"
 LATEST = "kind STRING, at LONG, event_id LONG, phase INT, has_child BOOLEAN"
 
 
-def _rows(frames: Iterator[pd.DataFrame], *names: str) -> list[tuple]:
-    """The events as tuples of Python values, missing ones as None."""
-    out = []
-    for frame in frames:
-        columns = [[None if pd.isna(v) else v for v in frame[name].tolist()] for name in names]
-        out += list(zip(*columns))
-    return [tuple(int(v) if isinstance(v, float) else v for v in row) for row in out]
+def _rows(rows: Iterator[Row], *names: str) -> list[tuple]:
+    return [tuple(row[name] for name in names) for row in rows]
+
+
+def _held(state: ValueState) -> tuple | None:
+    value = state.get()
+    return None if value is None else tuple(value)
 
 
 def _placed(row: tuple) -> tuple:
@@ -74,10 +74,10 @@ class Phases(StatefulProcessor):
         changed_at = b[3] if b[3] is not None else b[1] if opens and b[1] is not None else a[3]
         return (a[0], a[1], b[2], changed_at, a[4] + b[4] + opens, b[5] if b[5] is not None else a[5], a[6] + b[6])
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         events = sorted([tuple(r) for r in self.open.get()] + _rows(rows, "at", "event_id", "phase"), key=_placed)
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        folded = tuple(self.folded.get()) if self.folded.exists() else None
+        folded = _held(self.folded)
         untimed = [e for e in events if e[0] is None]
         done = [e for e in events if e[0] is not None and e[0] <= passed]
         late = [e for e in events if e[0] is not None and e[0] > passed]
@@ -87,16 +87,8 @@ class Phases(StatefulProcessor):
         self.open.put(untimed + late)
         before = self._joined(self._extended(None, untimed), folded)
         first, first_at, phase, changed_at, changes, last_at, seen = self._extended(before, late)
-        yield pd.DataFrame(
-            {
-                "key": pd.array([key[0]], "Int64"),
-                "phase": pd.array([phase], "Int32"),
-                "last_transition_at": pd.array([changed_at if changed_at is not None else first_at], "Int64"),
-                "transitions": [changes + 1],
-                "last_seen_at": pd.array([last_at], "Int64"),
-                "seen": [seen],
-            }
-        )
+        moved_at = changed_at if changed_at is not None else first_at
+        yield Row(key=key[0], phase=phase, last_transition_at=moved_at, transitions=changes + 1, last_seen_at=last_at, seen=seen)
 
 
 class Latest(StatefulProcessor):
@@ -113,22 +105,12 @@ class Latest(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", LATEST)
 
-    def _row(self, key: Any, last: tuple, purged: bool) -> pd.DataFrame:
+    def _row(self, key: Any, last: tuple, purged: bool) -> Row:
         kind, at, event_id, phase, has_child = last
-        return pd.DataFrame(
-            {
-                "key": pd.array([key[0]], "Int64"),
-                "kind": [kind],
-                "at": pd.array([at], "Int64"),
-                "event_id": [event_id],
-                "phase": pd.array([phase], "Int32"),
-                "has_child": [has_child],
-                "purged": [purged],
-            }
-        )
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = tuple(self.last.get()) if self.last.exists() else None
+        return Row(key=key[0], kind=kind, at=at, event_id=event_id, phase=phase, has_child=has_child, purged=purged)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        known = _held(self.last)
         events = _rows(rows, "kind", "at", "event_id", "phase", "has_child")
         last = max(([known] if known else []) + events, key=lambda e: _placed(e[1:]))
         if last == known:
@@ -142,8 +124,8 @@ class Latest(StatefulProcessor):
             self.handle.registerTimer(max((last[1] or 0) // 1000, passed) + 1)
         yield self._row(key, last, False)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        last = tuple(self.last.get()) if self.last.exists() else None
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        last = _held(self.last)
         if last is None or last[0] != "DELETED" or last[4]:
             return
         self.last.clear()
@@ -173,7 +155,7 @@ class Retries(StatefulProcessor):
             return None
         return (at or 0) + RETRY_SECONDS * 1_000_000 * (tries + 1) * (tries + 2) // 2
 
-    def _advance(self, key: Any, known: tuple | None, last: tuple, timerValues: Any) -> Iterator[pd.DataFrame]:
+    def _advance(self, key: Any, known: tuple | None, last: tuple, timerValues: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         while (due := self._due(last)) is not None and due <= passed * 1000:
             last = (*last[:4], last[4] + 1)
@@ -187,28 +169,18 @@ class Retries(StatefulProcessor):
         elif last[3] == "DELETED":
             self.handle.registerTimer(max((last[0] or 0) // 1000, passed) + 1)
         at, event_id, phase, kind, tries = last
-        yield pd.DataFrame(
-            {
-                "key": pd.array([key[0]], "Int64"),
-                "kind": [kind],
-                "at": pd.array([at], "Int64"),
-                "event_id": [event_id],
-                "phase": pd.array([phase], "Int32"),
-                "tries": pd.array([tries], "Int32"),
-                "due_at": pd.array([due], "Int64"),
-            }
-        )
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = tuple(self.last.get()) if self.last.exists() else None
+        yield Row(key=key[0], kind=kind, at=at, event_id=event_id, phase=phase, tries=tries, due_at=due)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        known = _held(self.last)
         events = [(*row, 0) for row in _rows(rows, "at", "event_id", "phase", "kind")]
         last = max(([known] if known else []) + events, key=lambda e: (*_placed(e), e[4]))
         yield from self._advance(key, known, last, timerValues)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if not self.last.exists():
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        last = _held(self.last)
+        if last is None:
             return
-        last = tuple(self.last.get())
         if last[3] == "DELETED":
             self.last.clear()
         else:
