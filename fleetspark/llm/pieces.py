@@ -205,11 +205,13 @@ class Coder:
     def _learn(self, fresh: list[str]) -> None:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
         checked = [ids[self.lead :] for ids in self.reference.encode(["\n" + w for w in fresh], num_threads=2)]
-        self.same = np.concatenate([self.same, np.array([a == b for a, b in zip(encoded, checked)], bool)])
-        self.right = np.concatenate([self.right, np.array([self.decode(ids) == w.replace(MARK, " ") for w, ids in zip(fresh, checked)], bool)])
-        # where the libraries differ the reference decides, and the word is reported
-        size = np.fromiter(map(len, checked), np.int64, len(checked))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in checked for i in ids), np.int32, int(size.sum()))])
+        same = [a == b for a, b in zip(encoded, checked)]
+        # the tokenizers library's ids; where the libraries differ the reference decides, and the word is reported
+        chosen = [a if ok else b for a, b, ok in zip(encoded, checked, same)]
+        self.same = np.concatenate([self.same, np.array(same, bool)])
+        self.right = np.concatenate([self.right, np.array([self.decode(ids) == w.replace(MARK, " ") for w, ids in zip(fresh, chosen)], bool)])
+        size = np.fromiter(map(len, chosen), np.int64, len(chosen))
+        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in chosen for i in ids), np.int32, int(size.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
 
     def decode(self, ids) -> str:
