@@ -40,8 +40,8 @@ MIN_COUNT = 30
 TOP = 2000
 NO_LANG = "und"
 #: Word occurrences that a range is to hold.
-RANGE_WORDS = 1 << 20
-SLICE_BYTES = 1 << 21
+RANGE_WORDS = 1 << 19
+SLICE_BYTES = 1 << 20
 #: Rows and paths a slice that the borders of ranges are taken from; they change no result.
 BORDER_ROWS, BORDER_PATHS = 4000, 512
 #: Bits of the order of paths by word.
