@@ -230,11 +230,14 @@ def routing_topology(replicas: DataFrame, weights: DataFrame | None = None) -> D
     """Routing entries: the user's clusters, one shard of all replicas, and each replica its own shard.
 
     A shard is named rather than numbered, so no total order per installation
-    is needed.  ``weights`` is ``(shard_name, weight)``; only positive ones show.
+    is needed (``numbered`` gives numbers).  Weights are a column of the
+    replicas or a table ``(shard_name, weight)``; only positive ones show.
     """
     columns = ["inst", "routing_cluster", "routing_shard", "internal_replication", "weight", "host"]
     user = replicas
-    if weights is None:
+    if weights is None and "weight" in replicas.columns:
+        user = user.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")))
+    elif weights is None:
         user = user.withColumn("weight", F.lit(None).cast("int"))
     else:
         user = user.join(weights, "shard_name", "left").withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")))

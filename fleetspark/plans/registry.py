@@ -176,10 +176,11 @@ def topology_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def routing_topology(spark: SparkSession, sf: str) -> DataFrame:
-    weights = layout.expand_shards(fx.fleet_layout(spark, sf)).select(
-        "shard_name", (F.col("cluster") % 3).cast("int").alias("weight")
-    )
-    return layout.routing_topology(materialize(_replicas(spark, sf), "replicas"), weights)
+    return layout.routing_topology(materialize(_weighted(_replicas(spark, sf)), "replicas"))
+
+
+def _weighted(replicas: DataFrame) -> DataFrame:
+    return replicas.withColumn("weight", (F.col("cluster") % 3).cast("int"))
 
 
 @register
@@ -555,9 +556,12 @@ def port_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, sf: str) -> DataFrame:
-    all_templates = fx.templates(spark, sf)
+    return _resolve(fx.template_references(spark, sf), fx.templates(spark, sf))
+
+
+def _resolve(references: DataFrame, all_templates: DataFrame) -> DataFrame:
     known = templates.registered(all_templates)
-    return templates.resolve_templates(fx.template_references(spark, sf), known, known)
+    return templates.resolve_templates(references, known, known)
 
 
 @register
@@ -591,16 +595,39 @@ def merge_templates(spark: SparkSession, sf: str) -> DataFrame:
     return templates.merge_templates(fx.templates(spark, sf).withColumnRenamed("namespace", "owner"), present)
 
 
-@register
-def normalized_replicas(spark: SparkSession, sf: str) -> DataFrame:
-    own = fx.installation_keys(spark, sf).select(
+def _normalized(spark: SparkSession, sf: str, all_templates: DataFrame, raised: Column, touched: DataFrame | None = None) -> DataFrame:
+    """The whole chain for all installations, or for those touched; the own claims of some are raised."""
+    only = (lambda df, key="inst": df) if touched is None else (lambda df, key="inst": df.join(touched.withColumnRenamed("inst", key), key, "left_semi"))
+    own = only(fx.installation_keys(spark, sf)).select(
         "inst",
         F.expr("CASE WHEN inst % 4 = 0 THEN 'own-data' ELSE '' END").alias("data_claim"),
-        F.expr("CAST(inst % 3 AS INT)").alias("claim_size"),
+        (F.expr("CAST(inst % 3 AS INT)") + raised.cast("int")).alias("claim_size"),
     )
-    defaults = normalize.template_defaults(own, _resolved(spark, sf))
-    replicas = materialize(_replicas(spark, sf), "replicas")
-    return normalize.normalized_replicas(replicas, defaults, _inherited(spark, sf, replicas))
+    defaults = normalize.template_defaults(own, _resolve(only(fx.template_references(spark, sf)), all_templates))
+    fleet = only(fx.fleet_layout(spark, sf))
+    replicas = materialize(layout.allocate_replicas(fleet, fx.delete_slots(spark, sf).join(fleet.select("cluster"), "cluster", "left_semi")), "replicas")
+    users = only(_user_settings(spark, sf), "owner")
+    return normalize.normalized_replicas(replicas, defaults, _inherited(spark, sf, replicas), inherit_nodes(spark, sf), users)
+
+
+@register
+def normalized_replicas(spark: SparkSession, sf: str) -> DataFrame:
+    return _normalized(spark, sf, fx.templates(spark, sf), F.lit(False))
+
+
+@register
+def renormalized_replicas(spark: SparkSession, sf: str) -> DataFrame:
+    """The fleet after some templates have grown, come or gone and some installations want more, from the former result."""
+    before = fx.templates(spark, sf)
+    grown, turned = F.expr("ord % 11 = 0"), F.expr("ord % 23 = 0")
+    after = before.withColumns({"size": F.col("size") + grown.cast("int"), "retired": F.col("retired") != turned})
+    raised = F.expr("inst % 17 = 0")
+    changed = before.filter(grown | turned).select(F.lit("template").alias("kind"), F.concat_ws("/", "namespace", "name").alias("id"))
+    changed = changed.unionByName(fx.installation_keys(spark, sf).filter(raised).select(F.lit("installation").alias("kind"), F.col("inst").cast("string").alias("id")))
+    index = materialize(normalize.dependencies(fx.template_references(spark, sf)), "dependencies")
+    touched = materialize(normalize.affected(changed, index), "touched")
+    previous = materialize(_normalized(spark, sf, before, F.lit(False)), "normalized")
+    return normalize.renormalized(previous, touched, lambda only: _normalized(spark, sf, after, raised, only))
 
 
 # Documents --------------------------------------------------------------------
@@ -634,7 +661,15 @@ def coordination_document(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def config_files(spark: SparkSession, sf: str) -> DataFrame:
     rows = materialize(_effective(spark, sf).drop("seq"), "settings")
-    replicas = materialize(_replicas(spark, sf), "replicas")
+    replicas = materialize(_weighted(_replicas(spark, sf)), "replicas")
+    nodes = inherit_nodes(spark, sf).withColumnRenamed("cluster", "owner")
+    options = fx.fleet_layout(spark, sf).select(
+        F.col("cluster").alias("owner"),
+        F.expr("cluster % 3 * 1000").alias("session_timeout_ms"),
+        F.expr("cluster % 2 * 500").alias("operation_timeout_ms"),
+        F.expr("CASE WHEN cluster % 5 = 0 THEN '' ELSE concat('/c', cluster % 5) END").alias("root"),
+        F.lit("").alias("identity"),
+    )
     region = fx.table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("content"))
     extra = region.select(
         F.when(F.col("r_regionkey") == 0, "f3").otherwise(F.concat(F.lit("r"), "r_regionkey", F.lit(".xml"))).alias("file"),
@@ -649,6 +684,7 @@ def config_files(spark: SparkSession, sf: str) -> DataFrame:
         routing=layout.routing_topology(replicas),
         replicas=replicas,
         replica_settings=materialize(_inherited(spark, sf, replicas), "replica-settings"),
+        coordination=materialize(documents.coordination_document(nodes, options).withColumnRenamed("owner", "cluster"), "coordination"),
         extra={"common": extra, "users": extra.filter("file <> 'r2.xml'"), "host": extra.filter("file = 'f3'")},
     )
 
