@@ -208,22 +208,28 @@ def topology_counts(replicas: DataFrame) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, owner: str, order: list[str], name: str) -> DataFrame:
-    """Distinct rows (owner, order..) with their dense number from 1 within the owner, in the given order.
+def prefix_sums(rows: DataFrame, owner: list[str], order: list[str], size: str, name: str) -> DataFrame:
+    """rows with the sum of the sizes before each within its owner, in the given order.
 
     The rows are sorted in ranges over all owners, so an owner of any size is
-    spread over tasks.  A range counts within itself; what an owner has in
-    earlier ranges is added from the ranges' counts, at most one per owner and
+    spread over tasks.  A range sums within itself; what an owner has in
+    earlier ranges is added from the ranges' sums, at most one per owner and
     range.
     """
-    keys = [owner, *order]
-    sorted_rows = rows.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    sorted_rows = rows.repartitionByRange(*owner, *order).sortWithinPartitions(*owner, *order)
     parts = materialize(sorted_rows.withColumn("_part", F.spark_partition_id()), "ranges")
-    counts = parts.groupBy(owner, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(owner).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(owner, "_part").orderBy(*order))
-    return parts.withColumn("_inside", inside).join(starts, [owner, "_part"]).select(*keys, (F.col("_start") + F.col("_inside")).alias(name))
+    sums = parts.groupBy(*owner, "_part").agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(*owner).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    up_to = Window.partitionBy(*owner, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(size).over(up_to), F.lit(0))
+    return parts.withColumn("_inside", inside).join(starts, [*owner, "_part"]).select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
+def numbered(rows: DataFrame, owner: str, order: list[str], name: str) -> DataFrame:
+    """Distinct rows (owner, order..) with their dense number from 1 within the owner, in the given order."""
+    distinct = rows.select(owner, *order).distinct().withColumn("_one", F.lit(1).cast("bigint"))
+    return prefix_sums(distinct, [owner], order, "_one", name).drop("_one").withColumn(name, F.col(name) + 1)
 
 
 def routing_topology(replicas: DataFrame, weights: DataFrame | None = None) -> DataFrame:

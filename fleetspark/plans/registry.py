@@ -647,6 +647,13 @@ def routing_document(spark: SparkSession, sf: str) -> DataFrame:
     return documents.routing_document(routing_topology(spark, sf))
 
 
+@register
+def document_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The routing documents as text, in chunks of 4096 characters."""
+    lines = documents.routing_document(routing_topology(spark, sf))
+    return documents.document_texts(lines, ["inst"], 4096)
+
+
 @register
 def coordination_document(spark: SparkSession, sf: str) -> DataFrame:
     options = fx.nodes(spark, sf).groupBy("owner").agg(

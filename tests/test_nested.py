@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fleetspark.operators import layout, nested
+from fleetspark.operators import documents, layout, nested
 from fleetspark.plans import normalize
 
 
@@ -113,6 +113,19 @@ def test_numbers_over_ranges(spark, partitions):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("chunk", [1, 50, 10_000])
+def test_texts_of_documents_in_chunks(spark, chunk):
+    rng = random.Random(5)
+    rows = [(o, f"{i:04d}", "x" * rng.randint(0, 90) + "é") for o in (1, 1, 1, 2) for i in range(rng.randint(1, 200))]
+    rows = sorted({(o, p): (o, p, line) for o, p, line in rows}.values())
+    got = documents.document_texts(spark.createDataFrame(rows, "owner int, pos string, line string"), ["owner"], chunk).collect()
+    for owner in (1, 2):
+        mine = sorted((r for r in got if r.owner == owner), key=lambda r: r.chunk)
+        whole = "".join(f"{line}\n" for o, _, line in rows if o == owner)
+        assert "".join(r.text for r in mine) == whole
+        assert all(whole[r.start : r.start + len(r.text)] == r.text and r.start // chunk == r.chunk for r in mine)
+
+
 def test_who_depends_on_a_template(spark):
     references = spark.createDataFrame(
         [(1, "n", "a", "own"), (2, "n", "b", "own"), (3, "m", "a", "n"), (3, "m", "z", "n")], "inst bigint, namespace string, name string, own_namespace string"
