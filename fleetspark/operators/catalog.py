@@ -19,6 +19,31 @@ def read_catalogs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.option("ignoreMissingFiles", True).parquet(*paths)
 
 
+#: Hosts whose catalogs share a partition of the stored catalog.
+HOSTS_PER_GROUP = 64
+
+
+def _host_group() -> Column:
+    return F.expr(f"host div {HOSTS_PER_GROUP}").alias("host_group")
+
+
+def store_catalog(catalog: DataFrame, folder: str) -> None:
+    """Write catalogs by groups of neighbouring hosts, sorted by host, so that a plan for few hosts reads few files."""
+    keys = ["host_group", "host"]
+    rows = catalog.select("*", _host_group()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows.write.partitionBy("host_group").parquet(folder)
+
+
+def read_hosts(spark: SparkSession, folder: str, hosts: DataFrame) -> DataFrame:
+    """Stored catalog rows of the hosts in a table with a column host.
+
+    The join is on the partition column too: which groups are read is known
+    from the hosts when the plan runs (dynamic partition pruning).
+    """
+    wanted = hosts.select("host", _host_group()).distinct()
+    return spark.read.parquet(folder).join(wanted, ["host_group", "host"], "left_semi").drop("host_group")
+
+
 def scan_catalog(catalog: DataFrame, hosts: DataFrame) -> DataFrame:
     """Catalog rows of the listed hosts, leaving out those that cannot be reached.
 

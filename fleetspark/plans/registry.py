@@ -89,6 +89,14 @@ def drop_table_plan(spark: SparkSession, sf: str) -> DataFrame:
     return schema_sync.drop_table_plan(removed, fx.catalog_tables(spark, sf))
 
 
+@register
+def catalog_of_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables of the hosts that are being scaled, from the catalogs stored by host."""
+    folder = fresh_dir(spark, "catalog-by-host")
+    cat.store_catalog(fx.catalog_tables(spark, sf), folder)
+    return cat.read_hosts(spark, folder, fx.hosts(spark, sf).filter("phase = 'Scale'")).select("host", "database", "name", "engine")
+
+
 @register
 def surplus_drop_plan(spark: SparkSession, sf: str) -> DataFrame:
     """What has to be dropped on each replica that a smaller shard leaves out: number of tables, first and last statement.

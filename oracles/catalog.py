@@ -2,6 +2,10 @@
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["catalog_of_hosts"] = """
+SELECT host, database, name, engine FROM fx_catalog WHERE host IN (SELECT host FROM fx_hosts WHERE phase = 'Scale')
+"""
+
 SCANNED = """
 scanned AS (
   SELECT c.* FROM fx_catalog c WHERE host IN (SELECT host FROM fx_hosts WHERE available)

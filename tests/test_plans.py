@@ -24,6 +24,18 @@ def test_scans_read_only_what_is_needed(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)" in plan
 
 
+def test_few_hosts_read_few_files(spark, tmp_path):
+    from fleetspark.operators import catalog
+
+    rows = spark.range(6400).selectExpr("id % 1280 AS host", "concat('t', id) AS name")
+    catalog.store_catalog(rows, str(tmp_path / "catalog"))
+    hosts = spark.range(1280).selectExpr("id AS host", "id % 640 = 7 AS picked").filter("picked")
+    df = catalog.read_hosts(spark, str(tmp_path / "catalog"), hosts)
+    assert sorted(r.host for r in df.collect()) == [7] * 5 + [647] * 5
+    scans = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in line]
+    assert "dynamicpruning" in scans[0]
+
+
 @pytest.fixture()
 def no_broadcast(spark):
     """Plans as they are where no side is small enough to be broadcast."""
