@@ -4,10 +4,13 @@ Shingles are put in one global order: frequent ones last, otherwise by hash.
 Similar sets share a shingle among their first ones (the prefix), so prefixes
 make an inverted index.  Equal sets are one class.  Then
 
-* index level: a list is cut into blocks by set size and position; a block is
-  only met by blocks of sizes near enough.  Pairs are compared at their first
-  common prefix shingle and nowhere else, and are dropped where so few prefix
-  shingles agree that the rest cannot make up for it.
+* index level: a list is cut into blocks by set size and by the shingle's position
+  in the set.  At a pair's first common shingle, a set at a late position has so
+  few shingles left that only a smaller set can be like it.  So blocks of late
+  positions are never met by one another, nor by blocks of larger sets, and no
+  block by sizes too far off.  Pairs are compared at their first common prefix
+  shingle and nowhere else, and are dropped where so few prefix shingles agree
+  that the rest cannot make up for it.
 * answer level: inside of a block the overlaps of a set come from the overlaps
   of one similar set, its pivot: only the shingles in which the two differ are
   looked up again.
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -51,6 +54,10 @@ class Rule:
     def least_overlap(self, a, b):
         return -((-self.percent * (a + b)) // (100 + self.percent))
 
+    def late(self, n: Column, position: Column) -> Column:
+        """Whether a set of n shingles, of which so many lie before, has too few left for a set of its size or larger."""
+        return (n - position) * (100 + self.percent) < 2 * self.percent * n
+
     def prefix(self, n):
         return n + ((-self.percent * n) // 100) + 1
 
@@ -199,8 +206,11 @@ def _index_rows(batches):
         if len(size):
             place = np.repeat(np.arange(len(size)), size)
             yield pa.record_batch(
-                [pa.array(np.concatenate(prefixes)), batch.column("cid").take(pa.array(place)), batch.column("n").take(pa.array(place))],
-                names=["token", "cid", "n"],
+                [
+                    pa.array(np.concatenate(prefixes)), batch.column("cid").take(pa.array(place)), batch.column("n").take(pa.array(place)),
+                    pa.array(np.concatenate([np.arange(k) for k in size]).astype(np.int64)),
+                ],
+                names=["token", "cid", "n", "position"],
             )
 
 
@@ -308,7 +318,8 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     """Numbers of the rows on either side of a unit; whether it is a block against itself."""
     second = table.column("second").to_numpy()
     left, right = np.flatnonzero(~second), np.flatnonzero(second)
-    return (left, right, False) if len(right) else (left, left, True)
+    size_a, block_a, size_b, block_b = (table.column(c)[0] for c in ("size_a", "block_a", "size_b", "block_b"))
+    return (left, left, True) if size_a == size_b and block_a == block_b else (left, right, False)
 
 
 def _pairs_of(rule: Rule, table: pa.Table):
@@ -416,21 +427,33 @@ def _bits(batches):
 
 
 def _units(index: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of long lists dealt to units, pairs of blocks of a list whose sizes are near enough."""
-    largest = F.pow(F.lit(100 / rule.percent), F.col("bucket") + 1)
+    """Rows of long lists dealt to units, pairs of blocks whose sizes and positions allow a link.
+
+    A list's sets are grouped by size; early positions of size class c have the
+    code 2c, late ones 2c + 1.  Early blocks are met by the early ones of their
+    code, and by those one, two and three codes on: the late ones of their size
+    class, and the early and late ones of the next.
+    """
+    largest = F.pow(F.lit(100 / rule.percent), F.floor(F.col("code") / 2) + 1)
     rows_per_block = F.greatest(F.least(F.floor(BLOCK_SHINGLES / largest), F.lit(BLOCK_ROWS)), F.lit(min(16, BLOCK_ROWS)))
-    lists = index.groupBy("token", "bucket").agg(F.count("*").alias("sets")).select("token", "bucket", F.ceil(F.col("sets") / rows_per_block).alias("blocks"))
-    rows = index.join(lists, ["token", "bucket"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    base = ["token", "cid"]
+    index = index.select("token", "cid", (2 * F.col("bucket") + F.col("late").cast("int")).alias("code"))
+    lists = index.groupBy("token", "code").agg(F.count("*").alias("sets")).select("token", "code", F.ceil(F.col("sets") / rows_per_block).alias("blocks"))
+    rows = index.join(lists, ["token", "code"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    early, zero = F.col("code") % 2 == 0, F.lit(0).cast("long")
     each = lambda a, b: F.explode(F.sequence(a, b))
-    zero = F.lit(0).cast("long")
-    same_first = rows.select(*base, F.col("bucket").alias("size_a"), F.col("block").alias("block_a"), F.col("bucket").alias("size_b"), each(F.col("block"), F.col("blocks") - 1).alias("block_b"), F.lit(False).alias("second"))
-    same_second = rows.where("block > 0").select(*base, F.col("bucket").alias("size_a"), each(zero, F.col("block") - 1).alias("block_a"), F.col("bucket").alias("size_b"), F.col("block").alias("block_b"), F.lit(True).alias("second"))
-    above = lists.select("token", (F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("others"))
-    below = lists.select("token", (F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("others"))
-    next_first = rows.join(above, ["token", "bucket"]).select(*base, F.col("bucket").alias("size_a"), F.col("block").alias("block_a"), (F.col("bucket") + 1).alias("size_b"), each(zero, F.col("others") - 1).alias("block_b"), F.lit(False).alias("second"))
-    next_second = rows.join(below, ["token", "bucket"]).select(*base, (F.col("bucket") - 1).alias("size_a"), each(zero, F.col("others") - 1).alias("block_a"), F.col("bucket").alias("size_b"), F.col("block").alias("block_b"), F.lit(True).alias("second"))
-    return same_first.unionByName(same_second).unionByName(next_first).unionByName(next_second)
+    unit = lambda df, size_a, block_a, size_b, block_b, second: df.select(
+        "token", "cid", F.col(size_a).alias("size_a"), block_a.alias("block_a"), F.col(size_b).alias("size_b"), block_b.alias("block_b"), F.lit(second).alias("second")
+    )
+    own = rows.where(early)
+    same_first = unit(own, "code", F.col("block"), "code", each(F.col("block"), F.col("blocks") - 1), False)
+    same_second = unit(own.where("block > 0"), "code", each(zero, F.col("block") - 1), "code", F.col("block"), True)
+    met = lists.select("token", F.col("code").alias("other"), F.col("blocks").alias("others"))
+    onward = own.withColumn("step", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("other", F.col("code") + F.col("step")).join(met, ["token", "other"])
+    back = rows.withColumn("step", F.explode(F.when(early, F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(3)))))
+    back = back.withColumn("other", F.col("code") - F.col("step")).join(met, ["token", "other"])
+    first = unit(onward, "code", F.col("block"), "other", each(zero, F.col("others") - 1), False)
+    second = unit(back, "other", each(zero, F.col("others") - 1), "code", F.col("block"), True)
+    return same_first.unionByName(same_second).unionByName(first).unionByName(second)
 
 
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -456,7 +479,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
         sets.where("prefix IS NOT NULL").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .join(copies, "sig").withColumn("cid", F.monotonically_increasing_id())
     )
-    index = classes.select("cid", "n", "prefix").mapInArrow(_index_rows, "token long, cid long, n long")
+    index = classes.select("cid", "n", "prefix").mapInArrow(_index_rows, "token long, cid long, n long, position long")
     hot = F.col("token") >= int(_HOT_BIT)
     listed = index.where(~hot).withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1")
     bucket = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
@@ -468,7 +491,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     unit = ["token", "size_a", "block_a", "size_b", "block_b"]
     heads = classes.select("cid", "n", F.substring("prefix", 1, 5 * HEAD).alias("head"))
     met = checkpointed(
-        _units(long_.select("token", "cid", "bucket"), rule).join(heads, "cid")
+        _units(long_.select("token", "cid", "bucket", rule.late(F.col("n"), F.col("position")).alias("late")), rule).join(heads, "cid")
         .groupBy(*unit).applyInArrow(_met_first(rule), f"{_UNIT}, second boolean, cid long")
     )
     active = checkpointed(
