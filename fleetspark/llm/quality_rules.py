@@ -128,6 +128,15 @@ def _features(batches):
             )
 
 
+def _summed(at, values, n):
+    """Sums of values(stretch) by the numbers in at, in stretches that bound the scratch memory."""
+    total = np.zeros(n)
+    for begin in range(0, len(at), 1 << 19):
+        part = slice(begin, begin + (1 << 19))
+        total += np.bincount(at[part], values(part), minlength=n)
+    return total
+
+
 def _fit(row, slot, value, good, fit, rounds=150):
     """Weights and bias of a ridge logistic regression by Adam over the rows of fit, and the margins of all rows."""
     # both classes weigh the same, rows that are not fitted nothing
@@ -135,14 +144,14 @@ def _fit(row, slot, value, good, fit, rounds=150):
     w = np.zeros(ALL_SLOTS + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        margin = np.bincount(row, w[slot] * value, minlength=len(good)) + w[-1]
+        margin = _summed(row, lambda s: w[slot[s]] * value[s], len(good)) + w[-1]
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - good) * share
-        grad = np.bincount(slot, error[row] * value, minlength=len(w))
+        grad = _summed(slot, lambda s: error[row[s]] * value[s], len(w))
         grad[-1] = error.sum()
         grad[:-1] += 1e-7 * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    margin = np.bincount(row, w[slot] * value, minlength=len(good)) + w[-1]
+    margin = _summed(row, lambda s: w[slot[s]] * value[s], len(good)) + w[-1]
     return w[:-1].astype(np.float32), float(w[-1]), margin
 
 
