@@ -39,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The models learn from the labels of docs.  Null texts and texts without a
     letter are rejected.
     """
-    new_stage()
+    new_stage(spark)
     model = language_id.train(docs, F.lit(True))
     kept = language_id.identify(docs, model).where("NOT rejected")
     return kept.select(*[F.coalesce("doc.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"doc.`{c}`") for c in docs.columns])
@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     files that the stage before has written, which no split of the scan changes.
     Null and empty texts are linked with nothing and stay.
     """
-    new_stage()
+    new_stage(spark)
     keyed = _numbered(docs)
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")
     groups = jaccard_join.similar_documents(keyed.select(key.alias("key"), "text"), words=5, percent=80, id_column="key")
@@ -65,7 +65,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null texts stay null with null n_chars; repeated rows are rewritten alike.
     """
-    new_stage()
+    new_stage(spark)
     out = surrogates.replaced(docs, carry=[c for c in docs.columns if c != "text"])
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
@@ -77,7 +77,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rows are written in ranges of their position: the files' numbers and the
     rows' places in them are that order.  Texts without a word are not taken.
     """
-    new_stage()
+    new_stage(spark)
     return curriculum.mixed(docs)
 
 
@@ -86,7 +86,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids; repeated rows are passes of the mix.
     """
-    new_stage()
+    new_stage(spark)
     out = pieces.encoded(_numbered(docs, "position"), PIECES_MODEL, ["doc_id", "lang", "source", "position"])
     return out.select("doc.*", "n_tokens", "round_trip", "ids")
 

@@ -32,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _OPEN: list | None = None
+#: Bytes of an Arrow batch in a pipeline; a batch of 10,000 rows of long texts is held by the JVM and by the Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def share(spark: SparkSession, value) -> Broadcast:
@@ -42,9 +44,13 @@ def share(spark: SparkSession, value) -> Broadcast:
     return shared
 
 
-def new_stage() -> None:
-    """Takes the broadcasts of the stage before, whose result has been written, from driver and executors."""
+def new_stage(spark: SparkSession) -> None:
+    """Takes the broadcasts of the stage before, whose result has been written, from driver and executors.
+
+    From now on the session's Arrow batches are bounded by their bytes too.
+    """
     global _OPEN
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     for shared in _OPEN or []:
         shared.destroy()
     _OPEN = []

@@ -18,6 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are worked on at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 19
+#: The same where many arrays of 64 bits a byte are held beside the text.
+SMALL_SLICE_BYTES = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets in the bytes) of consecutive rows; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if len(texts) == 0:
@@ -40,7 +42,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

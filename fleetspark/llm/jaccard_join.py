@@ -152,7 +152,7 @@ def _local_counts(words: int):
             return pa.record_batch([pa.array(grams[many].view(np.int64)), pa.array(count[many])], names=["gram", "n"])
 
         for batch in batches:
-            for a, b, data, offsets in flat.slices(batch.column("text")):
+            for a, b, data, offsets in flat.slices(batch.column("text"), flat.SMALL_SLICE_BYTES):
                 held.append(shingle_sets(data, offsets, words)[0])
                 rows += len(held[-1])
                 if rows > 3_000_000:
@@ -181,7 +181,7 @@ def _set_rows(rule: Rule, shared):
         """(id, sig, n, prefix); the prefix only once per set and task."""
         seen: set[bytes] = set()
         for batch in batches:
-            for a, b, data, offsets in flat.slices(batch.column("text")):
+            for a, b, data, offsets in flat.slices(batch.column("text"), flat.SMALL_SLICE_BYTES):
                 grams, cuts = shingle_sets(data, offsets, rule.words)
                 sigs = _signatures(grams, cuts)
                 fresh = []
@@ -220,7 +220,7 @@ def _chosen_sets(rule: Rule, shared):
         seen: set[bytes] = set()
         wanted = shared.value
         for batch in batches:
-            for a, b, data, offsets in flat.slices(batch.column("text")):
+            for a, b, data, offsets in flat.slices(batch.column("text"), flat.SMALL_SLICE_BYTES):
                 grams, cuts = shingle_sets(data, offsets, rule.words)
                 rows = []
                 for i, sig in enumerate(_signatures(grams, cuts)):

@@ -189,7 +189,7 @@ def _gram_counts(batches):
     """(lang, gram, n) of the sample, summed per slice; a gram is its code points as bytes."""
     n = ORDER
     for batch in batches:
-        for a, b, data, offsets in flat.slices(batch.column("text")):
+        for a, b, data, offsets in flat.slices(batch.column("text"), flat.SMALL_SLICE_BYTES):
             codes, rows = letters(data, offsets)
             lang = np.array(batch.column("lang").slice(a, b - a).to_pylist(), object)
             for name in set(lang):
@@ -214,7 +214,7 @@ def _calibration_rows(model):
     def run(batches):
         m = model.value
         for batch in batches:
-            for a, b, data, offsets in flat.slices(batch.column("text")):
+            for a, b, data, offsets in flat.slices(batch.column("text"), flat.SMALL_SLICE_BYTES):
                 codes, rows = letters(data, offsets)
                 entropy, n, excess = m.measured(codes, rows, b - a)
                 yield pa.record_batch(
@@ -395,7 +395,7 @@ def identify(docs: DataFrame, model: LanguageModel, carry: list[str] | None = No
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
             texts = batch.column("doc").field("text") if carried else batch.column("text")
-            for a, b, data, offsets in flat.slices(texts):
+            for a, b, data, offsets in flat.slices(texts, flat.SMALL_SLICE_BYTES):
                 codes, rows = letters(data, offsets)
                 if m.languages:
                     entropy, n, excess = m.measured(codes, rows, b - a)

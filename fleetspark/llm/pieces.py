@@ -14,6 +14,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -236,15 +237,22 @@ class Coder:
         return ids, total(size), total(~self.same[words]), total(~self.right[words])
 
 
-_CODERS: dict[bytes, Coder] = {}
+class ModelFile:
+    """A model file for a broadcast.  A worker's coder is made once and goes with the broadcast.
 
+    Workers live on through later work, which a coder of the module would take
+    its memory from.
+    """
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    @cached_property
+    def coder(self) -> Coder:
+        return Coder(self.raw)
 
-def coder(raw: bytes) -> Coder:
-    """The worker's coder for a model; one model is kept."""
-    if raw not in _CODERS:
-        _CODERS.clear()
-        _CODERS[raw] = Coder(raw)
-    return _CODERS[raw]
+    def __getstate__(self) -> dict:
+        return {"raw": self.raw}
 
 
 def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -271,11 +279,11 @@ def encoded(docs: DataFrame, model_file: str, carry: list[str] | None = None) ->
     with open(model_file, "rb") as f:
         raw = f.read()
     parse_model(raw)
-    shared = share(docs.sparkSession, raw)
+    shared = share(docs.sparkSession, ModelFile(raw))
     carry = docs.columns if carry is None else carry
 
     def run(batches):
-        own = coder(shared.value)
+        own = shared.value.coder
         for batch in batches:
             texts = batch.column("text")
             for a, b in _stretches(texts):
@@ -295,10 +303,10 @@ def decoded(tokens: DataFrame, model_file: str, ids_column: str = "ids") -> Data
     """tokens with a column text of the decoded ids, without the added space at the start; null ids give null."""
     with open(model_file, "rb") as f:
         raw = f.read()
-    shared = share(tokens.sparkSession, raw)
+    shared = share(tokens.sparkSession, ModelFile(raw))
 
     def run(batches):
-        own = coder(shared.value)
+        own = shared.value.coder
         cut = 1 if own.model.dummy_prefix else 0
         for batch in batches:
             texts = []

@@ -360,7 +360,8 @@ def surrogate_table(entities: DataFrame, key: str, rounds: int = 64) -> DataFram
 
     schema = "kind string, canonical string, surrogate string"
     real = entities.select("kind", F.col("canonical").alias("surrogate"))
-    open_, given = entities, entities.sparkSession.createDataFrame([], schema)
+    # empty by a filter: rows given by the driver's Python start further Python workers on the executors
+    open_, given = entities, real.select("kind", F.lit("").alias("canonical"), "surrogate").where(F.lit(False))
     for attempt in range(rounds):
         drawn = checkpointed(open_.mapInArrow(draw(attempt), schema))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
@@ -397,9 +398,9 @@ def _enumerated(open_: DataFrame, real: DataFrame, given: DataFrame) -> DataFram
     for r in sorted(rows.groupBy("part").count().collect()):
         offsets.append((r["part"], n))
         n += r["count"]
-    starts = spark.createDataFrame(offsets, "part long, start long")
+    starts = spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in zip(*offsets)], names=["part", "start"]))
     left = checkpointed(rows.join(starts, "part").select("kind", "canonical", (F.col("start") + F.col("pos")).alias("place")))
-    done = spark.createDataFrame([], "kind string, canonical string, surrogate string")
+    done = given.where(F.lit(False))
     first, many = 0, 1
     while not left.isEmpty():
         drawn = left.mapInArrow(tries(first, many, n), "kind string, canonical string, place long, surrogate string, at long")

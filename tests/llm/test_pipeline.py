@@ -316,3 +316,87 @@ def test_training_order_survives_the_files(spark, sf_dir, tmp_path, settings):
     settings(files__openCostInBytes="1", files__minPartitionNum="5")
     tokens = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mix")), sf_dir).select("position", "doc_id").collect()
     assert [r.doc_id for r in sorted(tokens)] == order and len({r.position for r in tokens}) == len(order) > 200
+
+
+@needs_model
+def test_workers_keep_no_coder_for_later_work(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(400)], "doc_id long, text string").repartition(8)
+    assert pieces.encoded(docs, PIECES_MODEL).where("n_tokens > 0").count() == 400
+
+    def coders(batches):
+        import gc
+        import time
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        time.sleep(0.3)  # so that all workers get a task
+        yield pa.record_batch([pa.array([sum(type(x).__name__ == "Coder" for x in gc.get_objects())])], names=["n"])
+
+    assert [r.n for r in docs.mapInArrow(coders, "n long").collect()] == [0] * 8
+
+
+def test_batches_of_a_stage_are_bounded_by_bytes(spark, settings):
+    import corpus_pipeline
+
+    settings(execution__arrow__maxBytesPerBatch=str(1 << 30))
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1600) AS text", "'en' AS lang", "'s' AS source", "8000L AS n_chars")
+    corpus_pipeline.mix(spark, docs, "")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    seen = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) < 8_000_000
+
+
+@pytest.mark.parametrize("rounds", [0, 64])
+def test_surrogate_tables_come_from_no_rows_of_the_driver(spark, monkeypatch, rounds):
+    """Such rows go through Python workers of another kind, which stay beside the others."""
+    entities = spark.createDataFrame([("phone", f"4930{i:08d}") for i in range(50)] + [("email", "a@b.org")], "kind string, canonical string")
+    plain = type(spark).createDataFrame
+
+    def refused(self, data, *args, **kwargs):
+        assert not isinstance(data, list)
+        return plain(self, data, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    rows = surrogates.surrogate_table(entities, "k", rounds).collect()
+    given = {(r.kind, r.surrogate) for r in rows}
+    assert len(rows) == len(given) == 51 and {(r.kind, r.canonical) for r in rows}.isdisjoint(given)
+    assert all(isinstance(r.canonical, str) for r in rows) and len({r.canonical for r in rows}) == 51
+
+
+def test_scratch_memory_of_a_batch_is_bounded():
+    """The arrays beside a batch of long texts, as a worker of the language and near-duplicate stages holds them."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fleetspark.llm import flat, jaccard_join, language_id
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(500)) for _ in range(400)]
+    batch = pa.record_batch([pa.array(range(400)), pa.array(texts)], names=["id", "text"])
+    code = language_id.letters(*next(flat.slices(batch.column("text")))[2:])
+    one = [np.unique(language_id.grams(*code, k)[0]) for k in range(1, 5)]
+    none = np.zeros(1, np.uint64)
+    model = language_id.LanguageModel(["a", "b"], one, [np.full((len(h), 2), -3, np.float32) for h in one], [none] * 4, [np.zeros((1, 2), np.float32)] * 4, -9.0, np.zeros(2), np.full(2, np.inf), (1.0, 0.0))
+    labelled = pa.record_batch([batch.column("id"), pa.array(["a"] * 400), batch.column("text")], names=["doc_id", "lang", "text"])
+
+    def peak(rows):
+        tracemalloc.start()
+        count = sum(r.num_rows for r in rows)
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return count, size / 1e6
+
+    sets = peak(jaccard_join._set_rows(jaccard_join.Rule(5, 80), SimpleNamespace(value=none[:0]))([batch]))
+    measured = peak(language_id._calibration_rows(SimpleNamespace(value=model))([labelled]))
+    assert sets[0] == measured[0] == 400 and sets[1] < 8 and measured[1] < 12
