@@ -47,13 +47,26 @@ def share(spark: SparkSession, value) -> Broadcast:
 def new_stage(spark: SparkSession) -> None:
     """Takes the broadcasts of the stage before, whose result has been written, from driver and executors.
 
-    From now on the session's Arrow batches are bounded by their bytes too.
+    Their JVMs then give back the heap that it took.  From now on the session's
+    Arrow batches are bounded by their bytes too.
     """
     global _OPEN
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     for shared in _OPEN or []:
-        shared.destroy()
+        shared.destroy(blocking=True)
     _OPEN = []
+    collect_garbage(spark)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """A full collection in each executor, by one short task on each core.
+
+    A JVM that has grown to its limit otherwise stays as large, beside the
+    Python workers of later work.  A task that finds no free core runs on
+    another executor, whose collection is then one more; no result needs it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").collect()
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

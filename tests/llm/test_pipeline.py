@@ -354,6 +354,24 @@ def test_batches_of_a_stage_are_bounded_by_bytes(spark, settings):
     assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) < 8_000_000
 
 
+def test_heap_of_a_stage_goes_back_with_the_next(spark):
+    import gc
+
+    from fleetspark.llm import components
+
+    jvm = spark._jvm
+    heap = lambda: jvm.java.lang.Runtime.getRuntime().totalMemory()
+    components.new_stage(spark)
+    before = heap()
+    taken = [jvm.java.nio.ByteBuffer.allocate(1 << 29) for _ in range(4)]
+    assert heap() > before + (1 << 30)
+    del taken
+    gc.collect()
+    grown = heap()
+    components.new_stage(spark)
+    assert heap() < grown - (1 << 30)
+
+
 @pytest.mark.parametrize("rounds", [0, 64])
 def test_surrogate_tables_come_from_no_rows_of_the_driver(spark, monkeypatch, rounds):
     """Such rows go through Python workers of another kind, which stay beside the others."""
