@@ -126,6 +126,29 @@ def test_texts_of_documents_in_chunks(spark, chunk):
         assert all(whole[r.start : r.start + len(r.text)] == r.text and r.start // chunk == r.chunk for r in mine)
 
 
+def test_long_documents_are_spread_and_short_ones_whole(spark, monkeypatch):
+    """Documents on both sides of the limit, one line said twice, and lines without an owner."""
+    monkeypatch.setattr(documents, "WHOLE_ROWS", 40)
+    rng = random.Random(6)
+    rows = [(o, f"{i:04d}", "x" * rng.randint(0, 30)) for o, n in ((1, 300), (2, 40), (3, 41), (4, 1), (None, 90)) for i in range(n)]
+    got = documents.document_texts(spark.createDataFrame([*rows, rows[7]], "owner int, pos string, line string"), ["owner"], 100).collect()
+    assert {r.owner for r in got} == {1, 2, 3, 4}
+    for owner in (1, 2, 3, 4):
+        whole = "".join(f"{line}\n" for o, _, line in sorted([r for r in [*rows, rows[7]] if r[0] == owner]))
+        mine = sorted((r for r in got if r.owner == owner), key=lambda r: r.chunk)
+        assert "".join(r.text for r in mine) == whole and all(whole[r.start : r.start + len(r.text)] == r.text and r.start // 100 == r.chunk for r in mine)
+
+
+def test_lines_of_routing_documents_do_not_move(spark, sf_dir):
+    """Only the replicas are exchanged: no exchange lies above the lines made of them."""
+    from fleetspark.plans.registry import QUERIES
+
+    plan = QUERIES["document_texts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+    above = plan[: max(at for at, line in enumerate(plan) if "Generate inline" in line)]
+    exchanges = [line for line in above if "Exchange" in line]
+    assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges)
+
+
 def test_who_depends_on_a_template(spark):
     references = spark.createDataFrame(
         [(1, "n", "a", "own"), (2, "n", "b", "own"), (3, "m", "a", "n"), (3, "m", "z", "n")], "inst bigint, namespace string, name string, own_namespace string"
