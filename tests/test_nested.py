@@ -69,6 +69,51 @@ def test_items_are_compared_by_name_not_by_place(spark):
     assert nested.nested_differences(frame(left), frame(left), ["id"], "spec").count() == 0
 
 
+def joined(spark, new, old):
+    """The leaves of both sides, joined by path, in plain Python."""
+    want = []
+    for i in new.keys() | old.keys():
+        a, b = ([(p, v) for spec in side.get(i, []) for p, v in spec] for side in (new, old))
+        want += [(i, p, "changed", w, v) for p, v in a for q, w in b if p == q and v != w]
+        want += [(i, p, "added", None, v) for p, v in a if p not in {q for q, _ in b}]
+        want += [(i, p, "removed", v, None) for p, v in b if p not in {q for q, _ in a}]
+    return sorted(want, key=str)
+
+
+def test_paths_that_are_written_alike(spark):
+    """A path with several meanings has the leaves of all; deep specs take more than one pass."""
+    deep = lambda v: json.dumps({"a": [{"name": "x", "b": [[[[[[{"c": v}]]]]]]}, {"name": "x", "b": v}]})
+    at = "a[name=x].b" + "[0]" * 6 + ".c"
+    cases = {
+        1: ('{"a.b": 1, "a": {"b": 2}, "k": {"p.q": 5}}', [("a.b", "1"), ("a.b", "2"), ("k.p.q", "5")], '{"a": {"b": 1}, "k": {"p.q": 6}}', [("a.b", "1"), ("k.p.q", "6")]),
+        2: ('{"l": [{"name": "x#2", "v": 1}, {"name": "x", "v": 2}, {"name": "x", "v": 3}]}', [("l[name=x#2].name", "x#2"), ("l[name=x#2].v", "1"), ("l[name=x].name", "x"), ("l[name=x].v", "2"), ("l[name=x#2].name", "x"), ("l[name=x#2].v", "3")], "{}", [("", "{}")]),
+        3: ('{"": {"a": 1}, "a": 2}', [("a", "1"), ("a", "2")], '{"a": 2}', [("a", "2")]),
+        4: (deep(1), [("a[name=x].name", "x"), (at, "1"), ("a[name=x#2].name", "x"), ("a[name=x#2].b", "1")], deep(2), [("a[name=x].name", "x"), (at, "2"), ("a[name=x#2].name", "x"), ("a[name=x#2].b", "2")]),
+        5: ('{"a": {"b": 1}}', [("a.b", "1")], '{"a": [1]}', [("a[0]", "1")]),
+        6: ('{"a": "1", "b": null}', [("a", "1"), ("b", None)], '{"a": 1, "b": {}}', [("a", "1"), ("b", "{}")]),
+    }
+    frame = lambda at: spark.createDataFrame([(i, c[at]) for i, c in cases.items()], "id int, spec string")
+    got = [tuple(r) for r in nested.nested_differences(frame(0), frame(2), ["id"], "spec").collect()]
+    assert sorted(got, key=str) == joined(spark, {i: [c[1]] for i, c in cases.items()}, {i: [c[3]] for i, c in cases.items()})
+
+
+def test_objects_that_come_twice(spark):
+    """A key's leaves of either side are joined by path, as often as they come; keys without a value meet none."""
+    frame = lambda rows: spark.createDataFrame(rows, "id int, spec string")
+    new, old = frame([(1, '{"a": 1}'), (1, '{"a": 2}'), (2, "{broken"), (None, '{"n": 1}')]), frame([(1, '{"a": 1}'), (2, '{"z": 0}'), (None, '{"n": 2}')])
+    got = [tuple(r) for r in nested.nested_differences(new, old, ["id"], "spec").collect()]
+    want = [(1, "a", "changed", "1", "2"), (2, "z", "removed", "0", None), (None, "n", "added", None, "1"), (None, "n", "removed", "2", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_leaves_are_not_exchanged(spark, sf_dir):
+    """Both objects are unfolded within their row; the result is what one pass has stored."""
+    from fleetspark.plans.registry import QUERIES
+
+    plan = QUERIES["spec_differences"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("FileScan") == 1
+
+
 def leaves(spark, rows):
     return spark.createDataFrame([(*k, v) for k, v in rows.items()], "inst int, cluster int, shard int, ordinal int, digest string")
 
