@@ -186,6 +186,20 @@ def test_own_files_replace_generated_ones(spark):
     assert got == [(1, "own"), (2, "a")]
 
 
+def test_only_files_that_can_share_a_name_are_compared(spark):
+    """Contributions of other names are not asked for their files; of three that claim a name the last has it."""
+    lines = spark.createDataFrame([(1, "0", "a"), (2, "0", "b"), (None, "0", "n")], "owner int, pos string, line string")
+    broken = lines.select("owner", F.raise_error(F.lit("not to be read")).cast("string").alias("file"))
+    named = lambda name, files=None: documents.Contribution(lines.withColumn("file", F.lit(name)), files or lines.select("owner", F.lit(name).alias("file")), frozenset([name]))
+    own = spark.createDataFrame([(1, "g", "own"), (2, "other", "own"), (None, "g", "own")], "owner int, file string, content string")
+    last = spark.createDataFrame([(1, "g", "last"), (2, "h", "last")], "owner int, file string, content string")
+    got = documents.assemble_files([named("g", broken), named("h", broken)], "owner").collect()
+    assert len(got) == 6
+    got = documents.assemble_files([named("g", broken), named("h", broken), documents.whole_files(own, "owner"), documents.whole_files(last, "owner")], "owner").collect()
+    want = [(1, "g", "last"), (2, "g", "b"), (None, "g", "n"), (None, "g", "own"), (1, "h", "a"), (2, "h", "last"), (None, "h", "n"), (2, "other", "own")]
+    assert sorted(((r.owner, r.file, r.line) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_written_documents_come_back_in_order(spark, tmp_path):
     rows = as_rows(spark, 1, {f"a/k{i:03d}": str(i) for i in range(200)})
     documents.write_documents(documents.render_document(rows, ["owner"]), ["owner"], str(tmp_path / "docs"))
